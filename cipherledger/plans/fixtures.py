@@ -62,6 +62,29 @@ FINDINGS = Projection(
     ),
 ).register()
 
+SCANS = Projection(
+    "scans",
+    "orders",
+    (
+        "'scan-' || o_orderkey AS scan_id",
+        "'project-' || (o_custkey % 211) AS project_id",
+        "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS state",
+        "CASE o_orderkey % 2 WHEN 0 THEN 'live' ELSE 'replay' END AS mode",
+        "CAST(o_orderdate AS DATE) AS created_at",
+    ),
+).register()
+
+PROJECTS = Projection(
+    "projects",
+    "customer",
+    (
+        "'project-' || c_custkey AS project_id",
+        "CASE c_custkey % 60 WHEN 0 THEN 'jjwt-' || c_custkey WHEN 1 THEN 'PyJWT' WHEN 2 THEN ' certbot ' "
+        "WHEN 3 THEN 'paramiko' WHEN 4 THEN 'My JJWT fork' ELSE c_name END AS name",
+        "c_mktsegment AS description",
+    ),
+).register()
+
 # --- fixed tables ------------------------------------------------------------
 cte("aliases", f"SELECT * FROM ({values_sql(vocab.ALIAS_ROWS)}) AS t({', '.join(vocab.ALIAS_COLUMNS)})")
 cte(
