@@ -41,28 +41,51 @@ def _newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def _running(counts: Column, upto: Column) -> Column:
-    return F.aggregate(F.slice(counts, F.lit(1), upto), F.lit(0), lambda a, b: a + b)
+def match_lines(content: Column, pattern: str) -> Column:
+    """Start line of every match in a text, also of matches that span lines.
+
+    The pieces between matches come from ``split`` on the same pattern; one
+    pass over both lists adds up the newlines before each match.
+    """
+    found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    between = F.split(content, pattern, -1)
+    steps = F.zip_with(found, between, lambda m, b: F.struct(_newlines(m).alias("m"), _newlines(b).alias("b")))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, z: Column) -> Column:
+        here = acc["at"] + z["b"]
+        return F.struct(
+            (here + F.coalesce(z["m"], F.lit(0))).alias("at"),
+            F.when(z["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(here))).alias("out"),
+        )
+
+    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+
+def occurrences(content: Column, pattern: str, **groups: int) -> Column:
+    """All matches as array<struct<line, group columns...>>."""
+    parts = [match_lines(content, pattern)]
+    parts += [F.regexp_extract_all(content, F.lit(pattern), F.lit(g)) for g in groups.values()]
+    names = ["line", *groups]
+    return F.transform(F.arrays_zip(*parts), lambda z: F.struct(*[z[str(i)].alias(n) for i, n in enumerate(names)]))
 
 
-def matches(content: Column, pattern: str) -> Column:
-    """All matches in a text as array<struct<text, line>>, also those that span lines.
+def text_lines(content: Column) -> Column:
+    return F.split(content, LINE_BREAK)
 
-    The line of a match is one plus the newlines in all text before it:
-    the pieces between matches come from ``split`` on the same pattern.
+
+def line_at(all_lines: Column, line: Column) -> Column:
+    """Trimmed text of one line, '' when out of range."""
+    return F.coalesce(strip(F.get(all_lines, line - 1)), F.lit(""))
+
+
+def blank_out(content: Column, pattern: str, keep_group: int | None = None) -> Column:
+    """Text with all matches replaced by their line breaks, so line numbers stay.
+
+    Matches where ``keep_group`` took part stay as they are.
     """
     found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(content, pattern, -1), _newlines)
-    inside = F.transform(found, _newlines)
-    return F.transform(
-        found,
-        lambda m, i: F.struct(
-            m.alias("text"),
-            (F.lit(1) + _running(between, i + 1) + _running(inside, i)).cast("int").alias("line"),
-        ),
-    )
-
-
-def line_at(content: Column, line: Column) -> Column:
-    """Trimmed text of one line, '' when out of range."""
-    return F.coalesce(strip(F.get(F.split(content, LINE_BREAK), line - 1)), F.lit(""))
+    kept = F.regexp_extract_all(content, F.lit(pattern), F.lit(keep_group)) if keep_group else F.transform(found, lambda m: F.lit(""))
+    tokens = F.zip_with(found, kept, lambda m, k: F.when(k != "", k).otherwise(F.repeat(F.lit("\n"), _newlines(m))))
+    joined = F.zip_with(F.split(content, pattern, -1), tokens, lambda piece, t: F.concat(piece, F.coalesce(t, F.lit(""))))
+    return F.array_join(joined, "")

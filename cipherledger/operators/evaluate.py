@@ -83,14 +83,14 @@ def presence_checks(scans: DataFrame, assets: DataFrame, evidence: DataFrame) ->
 
 
 def check_score(checks: DataFrame, names: list[str]) -> DataFrame:
-    """Passed and total checks per row with a verdict: all, at least 70 percent, or fewer."""
+    """Passed and total checks per row with a verdict: all, at most two missing, or fewer."""
     passed = reduce(lambda a, b: a + b, [F.when(F.coalesce(F.col(c), F.lit(False)), 1).otherwise(0) for c in names])
     scored = checks.withColumns({"passed": passed, "total": F.lit(len(names))})
     return scored.withColumn(
         "verdict",
-        F.when(F.col("passed") == F.col("total"), "READY")
-        .when(F.col("passed") >= 0.7 * F.col("total"), "MOSTLY READY")
-        .otherwise("NOT READY"),
+        F.when(F.col("passed") == F.col("total"), "FULLY VALIDATED")
+        .when(F.col("passed") >= F.col("total") - 2, "MOSTLY VALIDATED")
+        .otherwise("VALIDATION INCOMPLETE"),
     )
 
 
