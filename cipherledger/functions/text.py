@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C\x1D\x1E\x85  ]"
+LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C\x1D\x1E\x85\u2028\u2029]"
+
+
+def record(**fields: Column) -> Column:
+    """Struct with the given field names (kept through every rewrite of nested lambdas)."""
+    return F.named_struct(*[x for n, c in fields.items() for x in (F.lit(n), c)])
 
 
 def strip(c: Column) -> Column:
@@ -30,48 +35,81 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
 
 
+def each(df: DataFrame, keep: list[str], items: Column, name: str) -> DataFrame:
+    """One row per element of a computed list, none for an empty or null list.
+
+    The outer form with a null test is on purpose: for the inner form the
+    optimizer adds a size filter that would compute the list a second time.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
+def each_with_position(df: DataFrame, keep: list[str], items: Column, position: str, name: str) -> DataFrame:
+    """``each`` with the 0-based position of the element."""
+    return df.select(*keep, F.posexplode_outer(items).alias(position, name)).filter(F.col(name).isNotNull())
+
+
 def lines(files: DataFrame, content: str = "content") -> DataFrame:
     """One row per line: ``line`` (1-based) and trimmed ``line_text``; ``content`` is dropped."""
     keep = [c for c in files.columns if c != content]
-    exploded = files.select(*keep, F.posexplode(F.split(F.col(content), LINE_BREAK)).alias("_pos", "_raw"))
+    exploded = each_with_position(files, keep, F.split(F.col(content), LINE_BREAK), "_pos", "_raw")
     return exploded.select(*keep, (F.col("_pos") + 1).alias("line"), strip(F.col("_raw")).alias("line_text"))
 
 
 def _newlines(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def match_lines(content: Column, pattern: str) -> Column:
-    """Start line of every match in a text, also of matches that span lines.
+# Unicode noncharacters: never part of interchanged text
+_START, _NEXT, _END = "\ufdd0", "\ufdd1", "\ufdd2"
 
-    The pieces between matches come from ``split`` on the same pattern; one
-    pass over both lists adds up the newlines before each match.
+
+def _marked(content: Column, pattern: str, groups: list[int]) -> Column:
+    """Pieces of a text cut at every match, from a single pass of the pattern.
+
+    The first piece is the text before the first match; every further piece
+    holds the groups, the match and the text up to the next match.
     """
-    found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    between = F.split(content, pattern, -1)
-    steps = F.zip_with(found, between, lambda m, b: F.struct(_newlines(m).alias("m"), _newlines(b).alias("b")))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, z: Column) -> Column:
-        here = acc["at"] + z["b"]
-        return F.struct(
-            (here + F.coalesce(z["m"], F.lit(0))).alias("at"),
-            F.when(z["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(here))).alias("out"),
+    for mark in (_START, _NEXT, _END):
+        content = F.replace(content, F.lit(mark), F.lit(""))
+    shown = "".join(f"${g}{_NEXT}" for g in groups)
+    return F.split(F.regexp_replace(content, pattern, f"{_START}{shown}$0{_END}"), _START)
+
+
+def occurrences(content: Column, pattern: str, **groups: int) -> Column:
+    """All matches as array<struct<line, group columns...>>, also matches that span lines.
+
+    ``line`` is one plus the line breaks in all text before the match.
+    """
+    pieces = _marked(content, pattern, list(groups.values()))
+
+    def cut(piece: Column) -> Column:
+        fields = F.split(F.substring_index(piece, _END, 1), _NEXT)
+        return record(
+            fields=fields,
+            # line breaks of the match itself and of the text behind it
+            breaks=_newlines(F.get(fields, F.lit(len(groups)))) + _newlines(F.substring_index(piece, _END, -1)),
         )
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    cuts = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), cut)
+    empty = F.array().cast("array<struct<line:int," + ",".join(f"{g}:string" for g in groups) + ">>")
+    start = record(at=F.lit(1) + _newlines(F.get(pieces, F.lit(0))), out=empty)
 
+    def step(acc: Column, c: Column) -> Column:
+        found = record(line=acc["at"], **{g: F.get(c["fields"], F.lit(i)) for i, g in enumerate(groups)})
+        return record(at=acc["at"] + c["breaks"], out=F.concat(acc["out"], F.array(found)))
 
-def occurrences(content: Column, pattern: str, **groups: int) -> Column:
-    """All matches as array<struct<line, group columns...>>."""
-    parts = [match_lines(content, pattern)]
-    parts += [F.regexp_extract_all(content, F.lit(pattern), F.lit(g)) for g in groups.values()]
-    names = ["line", *groups]
-    return F.transform(F.arrays_zip(*parts), lambda z: F.struct(*[z[str(i)].alias(n) for i, n in enumerate(names)]))
+    return F.aggregate(cuts, start, step, lambda acc: acc["out"])
+
+
+def match_lines(content: Column, pattern: str) -> Column:
+    """Start line of every match in a text."""
+    return F.transform(occurrences(content, pattern, found=0), lambda m: m["line"])
 
 
 def text_lines(content: Column) -> Column:
-    return F.split(content, LINE_BREAK)
+    """Lines as counted by ``match_lines``."""
+    return F.split(content, "\n")
 
 
 def line_at(all_lines: Column, line: Column) -> Column:
@@ -79,13 +117,18 @@ def line_at(all_lines: Column, line: Column) -> Column:
     return F.coalesce(strip(F.get(all_lines, line - 1)), F.lit(""))
 
 
-def blank_out(content: Column, pattern: str, keep_group: int | None = None) -> Column:
+def blank_out(content: Column, pattern: str, keep_group: int = 1) -> Column:
     """Text with all matches replaced by their line breaks, so line numbers stay.
 
     Matches where ``keep_group`` took part stay as they are.
     """
-    found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    kept = F.regexp_extract_all(content, F.lit(pattern), F.lit(keep_group)) if keep_group else F.transform(found, lambda m: F.lit(""))
-    tokens = F.zip_with(found, kept, lambda m, k: F.when(k != "", k).otherwise(F.repeat(F.lit("\n"), _newlines(m))))
-    joined = F.zip_with(F.split(content, pattern, -1), tokens, lambda piece, t: F.concat(piece, F.coalesce(t, F.lit(""))))
-    return F.array_join(joined, "")
+    pieces = _marked(content, pattern, [keep_group])
+
+    def rest(piece: Column) -> Column:
+        kept = F.substring_index(piece, _NEXT, 1)
+        match = F.substring_index(F.substring_index(piece, _END, 1), _NEXT, -1)
+        return F.concat(
+            F.when(kept != "", kept).otherwise(F.repeat(F.lit("\n"), _newlines(match))), F.substring_index(piece, _END, -1)
+        )
+
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(rest(p))), "")

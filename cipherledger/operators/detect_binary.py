@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cipherledger.functions import vocab
 from cipherledger.functions.tables import first_containing
-from cipherledger.functions.text import base_name, first_match
+from cipherledger.functions.text import base_name, each_with_position, first_match
 from cipherledger.operators.inventory import first_of_key
 
 ROLES = ["capability", "observed"]
@@ -48,9 +48,8 @@ def string_matches(files: DataFrame) -> DataFrame:
             for p in vocab.BINARY_SYMBOLS + vocab.BINARY_STRINGS
         ]
     )
-    return small.select(*keys, "file_size", "file_type", F.posexplode(found).alias("ord", "signal")).withColumn(
-        "algorithm_hint", algorithm_of_symbol(F.col("signal"))
-    )
+    rows = each_with_position(small, [*keys, "file_size", "file_type"], found, "ord", "signal")
+    return rows.withColumn("algorithm_hint", algorithm_of_symbol(F.col("signal")))
 
 
 def scan_strings(files: DataFrame) -> DataFrame:

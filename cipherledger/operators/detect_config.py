@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from cipherledger.functions import vocab
-from cipherledger.functions.text import first_match, lines, strip
+from cipherledger.functions.text import each, first_match, lines, strip
 
 
 def scan_config_text(files: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def scan_config_json(files: DataFrame) -> DataFrame:
     keys = [c for c in files.columns if c != "content"]
     possible = files.filter(F.rlike("content", F.lit(vocab.CONFIG_VALUE)) | F.contains("content", F.lit("\\")))
     walked = possible.withColumn("_w", json_strings("content"))
-    hits = walked.filter("_w.ok").select(*keys, F.explode("_w.hits").alias("h")).select(*keys, "h.*")
+    hits = each(walked.filter("_w.ok"), keys, F.col("_w.hits"), "h").select(*keys, "h.*")
     found = hits.withColumn("algorithm_hint", first_match(F.col("value"), vocab.CONFIG_VALUE, 0)).filter("algorithm_hint IS NOT NULL")
     structured = found.select(
         *keys, F.lit(0).alias("line"), F.lit("config.json_scan").alias("detector"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cipherledger.functions import vocab
 from cipherledger.functions.tables import package_table
-from cipherledger.functions.text import blank_to_null, first_match, lines, match_lines, strip, text_lines
+from cipherledger.functions.text import blank_to_null, each, each_with_position, first_match, lines, match_lines, strip, text_lines, record
 from cipherledger.sources.files import manifest_files
 
 PACKAGE_NAMES = [r[1] for r in vocab.PACKAGE_ROWS]
@@ -74,7 +74,7 @@ def _table_packages(section: Column) -> Column:
         version = F.when(F.rlike(value, F.lit(quoted)), F.regexp_extract(value, quoted, 1)).when(
             value.startswith("{") & F.rlike(value, F.lit(inner)), F.regexp_extract(value, inner, 1)
         )
-        return F.struct(z["0"].alias("package_name"), version.alias("version"))
+        return record(package_name=z["0"], version=version)
 
     return F.transform(found, entry)
 
@@ -85,10 +85,7 @@ def _listed_packages(section: Column) -> Column:
     good = F.filter(items, lambda x: F.rlike(x, F.lit(vocab.REQUIREMENT_LINE)))
     return F.transform(
         good,
-        lambda x: F.struct(
-            F.regexp_extract(x, vocab.REQUIREMENT_LINE, 1).alias("package_name"),
-            F.regexp_extract(x, vocab.REQUIREMENT_LINE, 3).alias("version"),
-        ),
+        lambda x: record(package_name=F.regexp_extract(x, vocab.REQUIREMENT_LINE, 1), version=F.regexp_extract(x, vocab.REQUIREMENT_LINE, 3)),
     )
 
 
@@ -105,7 +102,7 @@ def pyproject(files: DataFrame) -> DataFrame:
         "_all",
         lambda x, i: ~F.exists(F.slice("_all", i + 2, F.size("_all") + 1), lambda y: y["package_name"] == x["package_name"]),
     )
-    parsed = rows.select(*_keys(files), F.explode(last).alias("e")).select(
+    parsed = each(rows, _keys(files), last, "e").select(
         *_keys(files), F.lit(0).alias("line"),
         F.concat(F.col("e.package_name"), F.lit(" = "), F.coalesce(F.col("e.version"), F.lit("None"))).alias("raw_signal"), "e.*",
     )
@@ -122,10 +119,8 @@ def _last_value(stanza: Column, field: str) -> Column:
 
 def poetry_lock(files: DataFrame) -> DataFrame:
     """name/version of every [[package]] stanza; the line is that of the next header, 0 for the last stanza."""
-    rows = files.select(
-        *_keys(files), match_lines(F.col("content"), _HEADER).alias("_heads"),
-        F.posexplode(F.split("content", _HEADER, -1)).alias("_i", "_stanza"),
-    )
+    heads = files.withColumn("_heads", match_lines(F.col("content"), _HEADER))
+    rows = each_with_position(heads, [*_keys(files), "_heads"], F.split("content", _HEADER, -1), "_i", "_stanza")
     final = F.col("_i") == F.size("_heads")
     parsed = rows.select(
         *_keys(files), F.coalesce(F.get("_heads", F.col("_i")), F.lit(0)).alias("line"), final.alias("_final"),
@@ -136,14 +131,17 @@ def poetry_lock(files: DataFrame) -> DataFrame:
 
 
 def _resolve(value: Column, names: Column, values: Column) -> Column:
-    """Three passes of ${reference} replacement; an unknown reference stays."""
-    for _ in range(3):
-        ref = F.regexp_extract(value, vocab.MAVEN_REFERENCE, 1)
-        # properties are read from the end, so the last definition counts
-        at = F.array_position(names, ref)
-        known = F.coalesce((ref != "") & (at > 0), F.lit(False))
-        value = F.when(known, F.replace(value, F.concat(F.lit("${"), ref, F.lit("}")), F.get(values, (at - 1).cast("int")))).otherwise(value)
-    return value
+    """Three passes of ${reference} replacement; an unknown reference stays.
+
+    ``names`` are the properties in reverse order, so the last definition counts.
+    """
+
+    def step(text: Column, _: Column) -> Column:
+        ref = F.regexp_extract(text, vocab.MAVEN_REFERENCE, 1)
+        known = F.get(values, (F.array_position(names, ref) - 1).cast("int"))
+        return F.coalesce(F.replace(text, F.concat(F.lit("${"), ref, F.lit("}")), known), text)
+
+    return F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), value, step)
 
 
 def pom(files: DataFrame) -> DataFrame:
@@ -152,21 +150,18 @@ def pom(files: DataFrame) -> DataFrame:
     props = F.filter(
         F.transform(
             "_lines",
-            lambda t: F.struct(
-                F.regexp_extract(t, vocab.MAVEN_PROPERTY, 1).alias("k"), strip(F.regexp_extract(t, vocab.MAVEN_PROPERTY, 2)).alias("v")
-            ),
+            lambda t: record(k=F.regexp_extract(t, vocab.MAVEN_PROPERTY, 1), v=strip(F.regexp_extract(t, vocab.MAVEN_PROPERTY, 2))),
         ),
         lambda p: (p["k"] != "") & ~p["k"].isin(vocab.MAVEN_NOT_PROPERTIES),
     )
     tagged = lambda pattern: F.filter(
-        F.transform("_lines", lambda t, i: F.struct((i + 1).alias("line"), strip(t).alias("text"), F.regexp_extract(t, pattern, 1).alias("v"))),
+        F.transform("_lines", lambda t, i: record(line=(i + 1), text=strip(t), v=F.regexp_extract(t, pattern, 1))),
         lambda a: a["v"] != "",
     )
-    rows = (
-        files.select(*keys, text_lines(F.col("content")).alias("_lines"))
-        .select(*keys, F.reverse(props).alias("_props"), tagged(vocab.MAVEN_ARTIFACT).alias("_arts"), tagged(vocab.MAVEN_VERSION).alias("_vers"))
-        .select(*keys, "_props", "_vers", F.posexplode("_arts").alias("_i", "a"))
+    found = files.select(*keys, text_lines(F.col("content")).alias("_lines")).select(
+        *keys, F.reverse(props).alias("_props"), tagged(vocab.MAVEN_ARTIFACT).alias("_arts"), tagged(vocab.MAVEN_VERSION).alias("_vers")
     )
+    rows = each_with_position(found, [*keys, "_props", "_vers"], F.col("_arts"), "_i", "a")
     names, values = F.col("_props.k"), F.col("_props.v")
     raw = F.col("a.v")
     parsed = rows.select(

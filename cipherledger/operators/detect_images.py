@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherledger.functions import vocab
-from cipherledger.functions.text import blank_to_null, first_match, lines, strip
+from cipherledger.functions.text import blank_to_null, each, first_match, lines, strip, record
 from cipherledger.operators.detect_dependencies import package_capabilities
 
 _NAME = r"(?s)^(?:.*\n)?Package: ([^\n]*)(.*)$"
@@ -22,7 +22,7 @@ def package_stanzas(files: DataFrame) -> DataFrame:
     text = F.regexp_replace("content", r"\r\n?", "\n")
     stanzas = F.split(text, r"\n\s*\n", -1)
     ended = F.slice(stanzas, F.lit(1), F.size(stanzas) - 1)
-    rows = files.filter(F.contains("content", F.lit("Package: "))).select(*keys, F.explode(ended).alias("_s"))
+    rows = each(files.filter(F.contains("content", F.lit("Package: "))), keys, ended, "_s")
     rest = F.regexp_extract("_s", _NAME, 2)
     return rows.select(
         *keys, blank_to_null(strip(F.regexp_extract("_s", _NAME, 1))).alias("package_name"),
@@ -47,7 +47,7 @@ def package_line(line: Column) -> Column:
     """struct<name, version> of one package line; null for blank lines and comments."""
     text = strip(line)
     parts = F.split(text, r"\s+")
-    pair = lambda n, v: F.struct(n.alias("name"), v.cast("string").alias("version"))
+    pair = lambda n, v: record(name=n, version=v.cast("string"))
     return F.when((text != "") & ~text.startswith("#"), F.when(
         text.startswith("Package: "), pair(strip(F.substring(text, 10, 2**31 - 1)), F.lit(None))
     ).when(F.size(parts) >= 2, pair(F.get(F.split(F.get(parts, F.lit(0)), ":"), F.lit(0)), F.get(parts, F.lit(1)))).otherwise(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from cipherledger.functions import vocab
-from cipherledger.functions.text import blank_out, blank_to_null, first_match, line_at, occurrences, strip, text_lines
+from cipherledger.functions.text import blank_out, blank_to_null, each, first_match, line_at, occurrences, strip, text_lines, record
 
 TOKEN = "(?i)" + vocab.PY_ALGORITHM_TOKEN
 # triple-quoted strings and comments go, ordinary strings (group 1) stay
@@ -96,10 +96,7 @@ def _imported(listing: Column) -> Column:
     good = F.filter(F.split(listing, ","), lambda n: F.rlike(n, F.lit(_NAME_AS)))
     return F.transform(
         good,
-        lambda n: F.struct(
-            F.regexp_extract(n, _NAME_AS, 1).alias("name"),
-            F.coalesce(first_match(n, _NAME_AS, 2), F.regexp_extract(n, _NAME_AS, 1)).alias("local"),
-        ),
+        lambda n: record(name=F.regexp_extract(n, _NAME_AS, 1), local=F.coalesce(first_match(n, _NAME_AS, 2), F.regexp_extract(n, _NAME_AS, 1))),
     )
 
 
@@ -109,10 +106,7 @@ def _bindings(kind: str, found: Column) -> Column:
     def bind(m: Column, n: Column) -> Column:
         module = n["name"] if kind == "import" else m["a"]
         target = n["name"] if kind == "import" else F.concat_ws(".", m["a"], n["name"])
-        return F.struct(
-            F.lit(kind).alias("kind"), m["line"].alias("line"), module.alias("module"), n["name"].alias("name"),
-            n["local"].alias("local"), target.alias("target"),
-        )
+        return record(kind=F.lit(kind), line=m["line"], module=module, name=n["name"], local=n["local"], target=target)
 
     each = F.flatten(F.transform(found, lambda m: F.transform(_imported(m["b"]), lambda n: bind(m, n))))
     return F.filter(each, lambda x: is_crypto_module(x["module"]))
@@ -120,7 +114,7 @@ def _bindings(kind: str, found: Column) -> Column:
 
 def _tagged(kind: str, found: Column) -> Column:
     return F.transform(
-        found, lambda m: F.struct(F.lit(kind).alias("kind"), m["line"].alias("line"), m["a"].alias("a"), m["b"].alias("b"))
+        found, lambda m: record(kind=F.lit(kind), line=m["line"], a=m["a"], b=m["b"])
     )
 
 
@@ -128,10 +122,10 @@ def file_facts(code: DataFrame) -> DataFrame:
     """Per file: ``_imports`` (bindings), ``_names`` (local name -> full name, last binding) and ``_facts``."""
     keys = [c for c in code.columns if c not in ("_lines", "_code")]
     text = F.col("_code")
-    plain = F.transform(occurrences(text, _IMPORT, b=1), lambda m: F.struct(m["line"].alias("line"), F.lit("").alias("a"), m["b"].alias("b")))
+    plain = F.transform(occurrences(text, _IMPORT, b=1), lambda m: record(line=m["line"], a=F.lit(""), b=m["b"]))
     named = F.transform(
         occurrences(text, _FROM, a=1, i=2, p=3),
-        lambda m: F.struct(m["line"].alias("line"), m["a"].alias("a"), F.coalesce(blank_to_null(m["i"]), m["p"]).alias("b")),
+        lambda m: record(line=m["line"], a=m["a"], b=F.coalesce(blank_to_null(m["i"]), m["p"])),
     )
     facts = F.concat(*[_tagged(kind, occurrences(text, pattern, a=a, b=b)) for kind, pattern, a, b in FACTS])
     rows = code.select(*keys, "_lines", plain.alias("_p"), named.alias("_n"), facts.alias("_facts"))
@@ -139,7 +133,7 @@ def file_facts(code: DataFrame) -> DataFrame:
         *keys, "_lines", "_facts", F.concat(_bindings("import", F.col("_p")), _bindings("from", F.col("_n"))).alias("_imports")
     )
     ordered = rows.withColumn(
-        "_o", F.array_sort(F.transform("_imports", lambda x: F.struct(x["line"].alias("line"), x["local"].alias("local"), x["target"].alias("target"))))
+        "_o", F.array_sort(F.transform("_imports", lambda x: record(line=x["line"], local=x["local"], target=x["target"])))
     )
     last = F.filter(
         "_o", lambda x, i: ~F.exists(F.slice("_o", i + 2, F.size("_o") + 1), lambda y: y["local"] == x["local"])
@@ -151,13 +145,13 @@ def file_facts(code: DataFrame) -> DataFrame:
 def import_facts(files: DataFrame, check_syntax: bool = True) -> DataFrame:
     """Import facts table: kind, line, module, name, local, target."""
     keys = [c for c in files.columns if c != "content"]
-    return file_facts(clean_files(files, check_syntax)).select(*keys, F.inline("_imports"))
+    return each(file_facts(clean_files(files, check_syntax)), keys, F.col("_imports"), "_x").select(*keys, "_x.*")
 
 
 def call_facts(files: DataFrame, check_syntax: bool = True) -> DataFrame:
     """Call facts table: line, callee, args, local (first segment), attr (last segment), depth."""
     keys = [c for c in files.columns if c != "content"]
-    rows = file_facts(clean_files(files, check_syntax)).select(*keys, F.inline("_facts")).filter("kind = 'call'")
+    rows = each(file_facts(clean_files(files, check_syntax)), keys, F.col("_facts"), "_x").select(*keys, "_x.*").filter("kind = 'call'")
     parts = F.split("a", r"\.")
     return rows.select(
         *keys, "line", F.col("a").alias("callee"), F.col("b").alias("args"), F.get(parts, F.lit(0)).alias("local"),
@@ -236,10 +230,7 @@ def call_hints(inferred: Column, in_args: Column) -> Column:
 def _hit(detector: str, line: Column, signal: Column, roles: Column | list[str], hint: Column, confidence: Column | float) -> Column:
     roles = roles if isinstance(roles, Column) else F.array(*[F.lit(r) for r in roles])
     confidence = confidence if isinstance(confidence, Column) else F.lit(confidence)
-    return F.struct(
-        line.cast("int").alias("line"), F.lit(detector).alias("detector"), signal.alias("raw_signal"), roles.alias("roles"),
-        hint.alias("algorithm_hint"), confidence.cast("double").alias("confidence"),
-    )
+    return record(line=line.cast("int"), detector=F.lit(detector), raw_signal=signal, roles=roles, algorithm_hint=hint, confidence=confidence.cast("double"))
 
 
 def _import_hits(snippet: Column) -> Column:
@@ -332,16 +323,16 @@ def _fact_hits(snippet: Column) -> Column:
 def scan_python(files: DataFrame, check_syntax: bool = True) -> DataFrame:
     """All Python findings of a files table (key columns, ``path``, ``content``)."""
     keys = [c for c in files.columns if c != "content"]
-    imported = F.transform("_imports", lambda x: F.struct(F.lit("binding").alias("kind"), x.alias("m"), F.lit(None).cast(_FACT).alias("f")))
-    stated = F.transform("_facts", lambda x: F.struct(F.lit("fact").alias("kind"), F.lit(None).cast(_BINDING).alias("m"), x.alias("f")))
+    imported = F.transform("_imports", lambda x: record(kind=F.lit("binding"), m=x, f=F.lit(None).cast(_FACT)))
+    stated = F.transform("_facts", lambda x: record(kind=F.lit("fact"), m=F.lit(None).cast(_BINDING), f=x))
     rows = file_facts(clean_files(files, check_syntax)).withColumn("_all", F.concat(imported, stated))
-    each = rows.select(*keys, "_lines", "_imports", "_names", F.explode("_all").alias("_x")).select(
-        *keys, "_lines", "_imports", "_names", "_x.m", "_x.f.*"
-    )
+    context = [*keys, "_lines", "_imports", "_names"]
+    facts = each(rows, context, F.col("_all"), "_x").select(*context, "_x.m", "_x.f.*")
     snippet = line_at(F.col("_lines"), F.coalesce(F.col("m.line"), F.col("line")))
     binding = _import_hits(snippet)
     hits = F.when(F.col("m").isNotNull(), F.when(binding.isNotNull(), F.array(binding))).otherwise(_fact_hits(snippet))
-    return each.select(*keys, F.inline(hits)).withColumn("source_type", F.lit("python_source"))
+    found = each(facts, keys, hits, "_h").select(*keys, "_h.*")
+    return found.withColumn("source_type", F.lit("python_source"))
 
 
 _FACT = "struct<kind:string,line:int,a:string,b:string>"

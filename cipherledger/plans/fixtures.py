@@ -19,6 +19,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores when a table comes in fewer splits than there are cores (files of one row group).
+
+    Only for plain scans; a large table has more splits than cores and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+TEXT_TABLES = ("documents",)
+
+
 @dataclass(frozen=True)
 class Projection:
     name: str
@@ -30,6 +42,8 @@ class Projection:
         df = table(spark, folder, self.source)
         if self.where:
             df = df.filter(self.where)
+        if self.source in TEXT_TABLES:
+            df = spread(df)
         return df.selectExpr(*self.columns)
 
     def register(self) -> Projection:
