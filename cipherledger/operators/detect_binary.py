@@ -38,7 +38,7 @@ def algorithm_of_library(library: Column) -> Column:
 def string_matches(files: DataFrame) -> DataFrame:
     """Every distinct signature text per pattern in raw bytes, in pattern order."""
     keys = [c for c in files.columns if c != "content"]
-    text = F.decode("content", F.lit("ISO-8859-1"))
+    text = F.decode("content", "ISO-8859-1")
     small = files.filter(F.octet_length("content") <= vocab.BINARY_MAX_BYTES).select(
         *keys, F.octet_length("content").alias("file_size"), file_type(F.col("content")).alias("file_type"), text.alias("_t")
     )
