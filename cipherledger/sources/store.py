@@ -8,24 +8,47 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cipherledger.functions import vocab
 from cipherledger.operators.normalize import sha_key
+from cipherledger.session import written
 
 
-def store_by_scan(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet partitioned by scan; ``overwrite`` replaces only the scans that occur in ``rows``."""
-    writer = rows.hint("rebalance", "scan_id").write.partitionBy("scan_id").mode(mode)
+BUCKETS = 64
+_BUCKET = "scan_bucket"
+
+
+def bucketed(rows: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows with the storage bucket of their scan: the number of folders does not grow with the scans."""
+    return rows.withColumn(_BUCKET, F.pmod(F.xxhash64("scan_id"), F.lit(buckets)).cast("int"))
+
+
+def store_by_scan(rows: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS) -> None:
+    """Parquet in scan buckets; ``overwrite`` replaces only the buckets that occur in ``rows``."""
+    writer = bucketed(rows, buckets).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).mode(mode)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def store_and_read(rows: DataFrame, path: str) -> DataFrame:
+def read_store(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
+    return spark.read.schema(StructType(columns.fields).add(_BUCKET, "int")).parquet(path)
+
+
+def store_and_read(rows: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
     target = f"{path}-{uuid.uuid4().hex}"
-    store_by_scan(rows, target)
-    schema = rows.select(*[c for c in rows.columns if c != "scan_id"], "scan_id").schema
-    return rows.sparkSession.read.schema(schema).parquet(target)
+    store_by_scan(rows, target, buckets=buckets)
+    return read_store(rows.sparkSession, target, rows.schema).drop(_BUCKET)
+
+
+def rescan(incoming: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Replace stored scans by a new run: only the buckets of the new scans are read and written again."""
+    spark = incoming.sparkSession
+    new = written(incoming, "rescan")
+    touched = bucketed(new.select("scan_id"), buckets).select(_BUCKET).distinct()
+    stored = read_store(spark, path, incoming.schema).join(F.broadcast(touched), _BUCKET, "left_semi").drop(_BUCKET)
+    store_by_scan(written(replace_scans(stored, new), "merged"), path, "overwrite", buckets)
 
 
 def store_graph(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
