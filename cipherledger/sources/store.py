@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from cipherledger.functions import vocab
 from cipherledger.operators.normalize import sha_key
@@ -33,7 +33,7 @@ def store_by_scan(rows: DataFrame, path: str, mode: str = "append", buckets: int
 
 
 def read_store(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
-    return spark.read.schema(StructType(columns.fields).add(_BUCKET, "int")).parquet(path)
+    return spark.read.schema(StructType(columns.fields).add(_BUCKET, IntegerType())).parquet(path)
 
 
 def store_and_read(rows: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
