@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# line breaks other than \n alone, and all of them
+RARE_BREAK = r"[\x0B\f\r\x1C\x1D\x1E\x85\u2028\u2029]"
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C\x1D\x1E\x85\u2028\u2029]"
 
 
@@ -14,7 +16,7 @@ def record(**fields: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -49,10 +51,15 @@ def each_with_position(df: DataFrame, keep: list[str], items: Column, position:
     return df.select(*keep, F.posexplode_outer(items).alias(position, name)).filter(F.col(name).isNotNull())
 
 
+def split_lines(content: Column) -> Column:
+    """Lines of a text; the costly pattern only runs on texts with rare line breaks."""
+    return F.when(F.rlike(content, F.lit(RARE_BREAK)), F.split(content, LINE_BREAK)).otherwise(F.split(content, "\n"))
+
+
 def lines(files: DataFrame, content: str = "content") -> DataFrame:
     """One row per line: ``line`` (1-based) and trimmed ``line_text``; ``content`` is dropped."""
     keep = [c for c in files.columns if c != content]
-    exploded = each_with_position(files, keep, F.split(F.col(content), LINE_BREAK), "_pos", "_raw")
+    exploded = each_with_position(files, keep, split_lines(F.col(content)), "_pos", "_raw")
     return exploded.select(*keep, (F.col("_pos") + 1).alias("line"), strip(F.col("_raw")).alias("line_text"))
 
 
@@ -64,14 +71,19 @@ def _newlines(c: Column) -> Column:
 _START, _NEXT, _END = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
+def without_marks(content: Column) -> Column:
+    """Text in which the marks cannot occur; to be taken once before the match functions."""
+    for mark in (_START, _NEXT, _END):
+        content = F.replace(content, F.lit(mark), F.lit(""))
+    return content
+
+
 def _marked(content: Column, pattern: str, groups: list[int]) -> Column:
-    """Pieces of a text cut at every match, from a single pass of the pattern.
+    """Pieces of a text (without marks) cut at every match, from a single pass of the pattern.
 
     The first piece is the text before the first match; every further piece
     holds the groups, the match and the text up to the next match.
     """
-    for mark in (_START, _NEXT, _END):
-        content = F.replace(content, F.lit(mark), F.lit(""))
     shown = "".join(f"${g}{_NEXT}" for g in groups)
     return F.split(F.regexp_replace(content, pattern, f"{_START}{shown}$0{_END}"), _START)
 

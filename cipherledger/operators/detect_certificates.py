@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cipherledger.functions.text import LINE_BREAK
+from cipherledger.functions.text import split_lines
 
 BEGIN = "-----BEGIN"
 
@@ -15,7 +15,7 @@ def private_key_markers(files: DataFrame) -> DataFrame:
     keys = [c for c in files.columns if c != "content"]
     likely = files.filter(F.contains("content", F.lit(BEGIN)) & F.contains("content", F.lit("PRIVATE KEY")))
     header = F.get(
-        F.filter(F.split("content", LINE_BREAK), lambda t: F.contains(t, F.lit("PRIVATE KEY")) & F.startswith(t, F.lit(BEGIN))), F.lit(0)
+        F.filter(split_lines(F.col("content")), lambda t: F.contains(t, F.lit("PRIVATE KEY")) & F.startswith(t, F.lit(BEGIN))), F.lit(0)
     )
     hint = F.trim(F.replace(F.replace(header, F.lit(f"{BEGIN} "), F.lit("")), F.lit("-----"), F.lit("")))
     return likely.select(*keys, hint.alias("key_type_hint")).filter("key_type_hint IS NOT NULL")

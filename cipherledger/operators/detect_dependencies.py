@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cipherledger.functions import vocab
 from cipherledger.functions.tables import package_table
-from cipherledger.functions.text import blank_to_null, each, each_with_position, first_match, lines, match_lines, strip, text_lines, record
+from cipherledger.functions.text import blank_to_null, each, each_with_position, first_match, lines, match_lines, record, strip, text_lines, without_marks
 from cipherledger.sources.files import manifest_files
 
 PACKAGE_NAMES = [r[1] for r in vocab.PACKAGE_ROWS]
@@ -119,7 +119,7 @@ def _last_value(stanza: Column, field: str) -> Column:
 
 def poetry_lock(files: DataFrame) -> DataFrame:
     """name/version of every [[package]] stanza; the line is that of the next header, 0 for the last stanza."""
-    heads = files.withColumn("_heads", match_lines(F.col("content"), _HEADER))
+    heads = files.withColumn("_heads", match_lines(without_marks(F.col("content")), _HEADER))
     rows = each_with_position(heads, [*_keys(files), "_heads"], F.split("content", _HEADER, -1), "_i", "_stanza")
     final = F.col("_i") == F.size("_heads")
     parsed = rows.select(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherledger.functions import vocab
-from cipherledger.functions.text import blank_to_null, each, first_match, lines, strip, record
+from cipherledger.functions.text import blank_to_null, each, first_match, lines, record, strip
 from cipherledger.operators.detect_dependencies import package_capabilities
 
 _NAME = r"(?s)^(?:.*\n)?Package: ([^\n]*)(.*)$"

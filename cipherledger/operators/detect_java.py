@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherledger.functions import vocab
-from cipherledger.functions.text import each_with_position, first_match, line_at, occurrences, text_lines, record
+from cipherledger.functions.text import each_with_position, first_match, line_at, occurrences, record, text_lines, without_marks
 from cipherledger.operators.inventory import first_of_key
 from cipherledger.operators.normalize import normalize_names
 
 IMPORT = r"import\s+((?:" + "|".join(vocab.JAVA_IMPORT_PACKAGES) + r")\.[\w.*]+)"
 CODE = ["implementation", "usage"]
 # rule, detector, pattern, group with the name, group with the class, confidence
-# (NEEDLES: text without which a rule cannot match, tested before the pattern)
-NEEDLES = {"import": "import", "getinstance": "getinstance", "key_size": "initialize", "engine": "new", "pqc": '"'}
 RULES = [
     ("import", "java.rule.import", IMPORT, 1, 1, 0.60),
     ("getinstance", "java.rule.getinstance", vocab.JAVA_GET_INSTANCE, 2, 1, 0.90),
@@ -35,26 +33,17 @@ def scan_java(files: DataFrame) -> DataFrame:
 
 def _tagged(rule: str, found: Column) -> Column:
     return F.transform(
-        found, lambda m: record(rule=F.lit(rule), line=m["line"], name=m["name"], cls=m["cls"])
+        found,
+        lambda m: record(rule=F.lit(rule), line=m["line"], name=m["name"], cls=m["cls"], raw_signal=line_at(F.col("_lines"), m["line"])),
     )
 
 
 def raw_java(files: DataFrame) -> DataFrame:
     keys = [c for c in files.columns if c != "content"]
     content = F.col("content")
-    low = F.lower(content)
-    found = F.concat(
-        *[
-            F.when(F.contains(low, F.lit(NEEDLES[rule])), _tagged(rule, occurrences(content, pattern, name=g, cls=c))).otherwise(
-                F.array().cast("array<struct<rule:string,line:int,name:string,cls:string>>")
-            )
-            for rule, _, pattern, g, c, _ in RULES
-        ]
-    )
-    split = files.select(*keys, text_lines(content).alias("_lines"), found.alias("_found"))
-    rows = each_with_position(split, [*keys, "_lines"], F.col("_found"), "ord", "m").select(
-        *keys, "ord", "m.*", line_at(F.col("_lines"), F.col("m.line")).alias("raw_signal")
-    )
+    found = F.concat(*[_tagged(rule, occurrences(content, pattern, name=g, cls=c)) for rule, _, pattern, g, c, _ in RULES])
+    prepared = files.select(*keys, without_marks(content).alias("content"), text_lines(content).alias("_lines"))
+    rows = each_with_position(prepared.select(*keys, found.alias("_found")), keys, F.col("_found"), "ord", "m").select(*keys, "ord", "m.*")
     rule, name = F.col("rule"), F.col("name")
     token = first_match(F.when(rule == "import", F.replace(name, F.lit("."), F.lit(" "))).otherwise(name), vocab.JAVA_ALGORITHM_TOKEN)
     simple = F.when(rule == "import", F.element_at(F.split(name, r"\."), -1)).otherwise(name)

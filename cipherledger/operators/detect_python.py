@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from cipherledger.functions import vocab
-from cipherledger.functions.text import blank_out, blank_to_null, each, first_match, line_at, occurrences, strip, text_lines, record
+from cipherledger.functions.text import blank_out, blank_to_null, each, first_match, line_at, occurrences, record, strip, text_lines, without_marks
 
 TOKEN = "(?i)" + vocab.PY_ALGORITHM_TOKEN
 # triple-quoted strings and comments go, ordinary strings (group 1) stay
@@ -79,7 +79,7 @@ def clean_files(files: DataFrame, check_syntax: bool = True) -> DataFrame:
     likely = files.filter(F.rlike("content", F.lit(r"\b(?:" + "|".join(tops) + r")\b")) | F.rlike("content", F.lit(TOKEN)))
     if check_syntax:
         likely = likely.filter(parses("content"))
-    return likely.select(*keys, text_lines(F.col("content")).alias("_lines"), blank_out(F.col("content"), _LEXEME, 1).alias("_code"))
+    return likely.select(*keys, text_lines(F.col("content")).alias("_lines"), blank_out(without_marks(F.col("content")), _LEXEME).alias("_code"))
 
 
 # --- facts ---------------------------------------------------------------------------

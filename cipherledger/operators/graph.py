@@ -132,10 +132,16 @@ def location_matches(services: DataFrame, locations: DataFrame) -> DataFrame:
 
 
 def _parts(locations: DataFrame, repos: DataFrame, starts: Column) -> DataFrame:
-    """Substrings of each location with the lengths that occur among ``repos``."""
+    """Substrings of each location with the lengths that occur among ``repos``.
+
+    Only positions where some repository's first two characters stand are cut.
+    """
     lengths = repos.agg(F.collect_set(F.length("part"))).scalar()
-    at = locations.select("source_location", F.explode(lengths).alias("_n"), starts.alias("_starts"))
-    cut = at.select("source_location", "_n", F.explode("_starts").alias("_at"))
+    heads = repos.agg(F.collect_set(F.substring("part", 1, 2))).scalar()
+    at = locations.select("source_location", F.explode(starts).alias("_at"))
+    head = F.expr("substring(source_location, _at, 2)")
+    likely = at.filter(F.array_contains(heads, head) | F.array_contains(heads, F.substring(head, 1, 1)))
+    cut = likely.select("source_location", "_at", F.explode(lengths).alias("_n"))
     fits = cut.filter(F.col("_at") + F.col("_n") - 1 <= F.length("source_location"))
     return fits.select("source_location", F.expr("substring(source_location, _at, _n)").alias("part"))
 

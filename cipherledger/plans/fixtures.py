@@ -28,7 +28,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-TEXT_TABLES = ("documents",)
+LARGE_TABLES = ("documents", "events")
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ class Projection:
         df = table(spark, folder, self.source)
         if self.where:
             df = df.filter(self.where)
-        if self.source in TEXT_TABLES:
+        if self.source in LARGE_TABLES:
             df = spread(df)
         return df.selectExpr(*self.columns)
 
