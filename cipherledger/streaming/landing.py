@@ -21,7 +21,11 @@ def watch(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> Data
 
 
 def detect_arrivals(stream: DataFrame, output: str, name: str) -> StreamingQuery:
-    """Append findings of every micro-batch; a batch that is retried overwrites its own folder only."""
+    """Append findings of every micro-batch; a batch that is retried overwrites its own folder only.
+
+    ``name`` identifies the stream's progress in the shared folder: the same name
+    resumes where it stopped.
+    """
     spark = stream.sparkSession
 
     def keep(batch: DataFrame, batch_id: int) -> None:

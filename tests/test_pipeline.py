@@ -1,6 +1,7 @@
 """Fusion, graph, risk, migration, stores, streaming: assertions and brute force on small data."""
 
 import random
+import uuid
 from collections import deque
 
 import numpy as np
@@ -212,7 +213,7 @@ def test_landing_stream_equals_batch(spark, tmp_path):
 
     raw = spark.createDataFrame(SOURCES, "scan_id string, path string, content string")
     land_files(raw.filter("scan_id = 's1'"), str(tmp_path / "land")).select("scan_id", "path", "content", "artifact_type").write.parquet(str(tmp_path / "in"))
-    query = detect_arrivals(watch(spark, str(tmp_path / "in")), str(tmp_path / "out"), "arrivals")
+    query = detect_arrivals(watch(spark, str(tmp_path / "in")), str(tmp_path / "out"), f"arrivals-{uuid.uuid4().hex}")
     query.awaitTermination()
     streamed = spark.read.parquet(str(tmp_path / "out"))
     batch = discover(spark.read.parquet(str(tmp_path / "in")))
