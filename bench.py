@@ -30,7 +30,7 @@ def run(plan, spark, folder: str) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
-    repeats = int(os.environ.get("BENCH_REPEATS", "2"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     spark = local_session(os.environ.get("BENCH_CPUS", "4"))
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
