@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cipherledger.llm import words
+from cipherledger.llm import bitmap, words
 from cipherledger.session import written
 
 WINDOW = 10
 GRAM = 6
-BITMAP_BITS = 24
 
 _HIT = T.StructType().add("fp", "long").add("at", "integer").add("size", "integer").add("around", T.ArrayType(T.LongType()))
 
@@ -75,7 +74,7 @@ def _fingerprints(h: np.ndarray, sizes, passes) -> list[tuple]:
     return found
 
 
-def _scan(texts: DataFrame, key: str, sizes: list[int] | None, bitmap) -> DataFrame:
+def _scan(texts: DataFrame, key: str, sizes: list[int] | None, filtering) -> DataFrame:
     """Of each row: key, n_words and its fingerprints. Without sizes the rows are items and keep all of theirs."""
     import pyarrow as pa
 
@@ -83,14 +82,8 @@ def _scan(texts: DataFrame, key: str, sizes: list[int] | None, bitmap) -> DataFr
     hits = pa.list_(pa.struct([("fp", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("around", pa.list_(pa.int64()))]))
 
     def run(batches):
-        mask = np.uint64((1 << BITMAP_BITS) - 1)
-        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
-
         def passes(x):
-            if bits is None:
-                return np.ones(len(x), bool)
-            low = x & mask
-            return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 > 0
+            return np.ones(len(x), bool) if filtering is None else bitmap.passes(filtering.value, x)
 
         for batch in batches:
             all_texts = words.utf8(batch.column(1))
@@ -109,22 +102,12 @@ def _scan(texts: DataFrame, key: str, sizes: list[int] | None, bitmap) -> DataFr
     return texts.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, out)
 
 
-def _bitmap(items: DataFrame) -> bytes:
-    """The low bits of all item fingerprints, folded inside the tasks to at most 2^BITMAP_BITS values."""
-    low = items.select(F.explode("hits.fp").alias("fp")).select(F.col("fp").bitwiseAND((1 << BITMAP_BITS) - 1).alias("low")).distinct()
-    pages = low.groupBy(F.shiftright("low", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("low").bitwiseAND(32767)).alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for page, bits in pages.toLocalIterator():  # at most 512 pages of 4 KB
-        out[page * 4096 : page * 4096 + 4096] = np.frombuffer(bits, np.uint8)
-    return out.tobytes()
-
-
 def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents: row, doc_id, n_words; spans: row, item_id, start, end in words) of all shared windows."""
     items = written(_scan(benchmark, "item_id", None, None), "benchmark-prints")
     sizes = [r[0] for r in items.select(F.explode("hits.size").alias("size")).filter(F.col("size") < WINDOW).distinct().collect()]  # nine at most
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(items))
-    scanned = written(_scan(docs, "doc_id", sorted(sizes), bitmap).withColumn("row", F.monotonically_increasing_id()), "document-prints")
+    filtering = docs.sparkSession.sparkContext.broadcast(bitmap.build(items.select(F.explode("hits.fp").alias("h"))))
+    scanned = written(_scan(docs, "doc_id", sorted(sizes), filtering).withColumn("row", F.monotonically_increasing_id()), "document-prints")
     d = scanned.select("row", F.explode("hits").alias("d")).select("row", "d.*")
     b = (
         items.select("item_id", F.explode("hits").alias("b"))

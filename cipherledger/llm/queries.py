@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bpe, decontaminate, sharding
+from cipherledger.llm import bpe, decontaminate, language, near_dedup, perplexity, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,31 @@ def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha(F.array_join("item_ids", ",")).alias("items_sha256"), "contaminated")
+
+
+@query("op7_perplexity")
+def perplexity_bands(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.judged(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score", "low", "high"
+    )
+
+
+@query("op8_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    labels = table(spark, folder, "labels").filter(fold != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.classify(table(spark, folder, "documents"), labels)
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = table(spark, folder, "documents")
+    net = language.train(language.sample(docs.filter(~held_out)))
+    return language.identify(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_near_dedup")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.classes(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
