@@ -31,7 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_POWERS = np.ones(64, np.uint64)
+_POWERS = np.ones(0, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
@@ -44,8 +44,6 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-_powers(64)
-
 
 def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and offsets: document i has words offsets[i]:offsets[i + 1]."""
