@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bpe, decontaminate, language, near_dedup, perplexity, quality, sharding
+from cipherledger.llm import bpe, decontaminate, disclosure, language, license_scan, near_dedup, perplexity, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,3 +124,33 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_near_dedup")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.classes(table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op1_license_scan")
+def license_notices(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(table(spark, folder, "documents"))
+    base = F.filter("places", lambda p: p.base)
+    starts = F.transform(base, lambda p: p.start)
+
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p.label))), ",")
+
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p.share)), F.lit(0.0)).alias("score"),
+    )
+
+
+@query("op4_disclosure")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = disclosure.listed(table(spark, folder, "documents"))
+
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s.place <= 4)
+    return found.select("doc_id", *map(count, disclosure.KINDS[:4]), sha(text(base)).alias("base_sha256"), text(F.col("spans")).alias("spans"))
