@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cipherledger.llm import bitmap, words
+from cipherledger.llm import bitmap, rows, words
 from cipherledger.session import written
 
 WINDOW = 10
@@ -125,7 +125,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """row, doc_id, n_words, n_hit, n_items, item_ids (sorted as strings), spans (start, end; sorted), contaminated."""
-    rows, spans = hits(docs, benchmark)
+    every, spans = hits(docs, benchmark)
     places = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     names = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     covered = F.expr(
@@ -134,9 +134,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     return (
-        rows.join(places.join(names, "row"), "row", "left")
+        every.join(places.join(names, "row"), "row", "left")
         .withColumn("n_hit", F.coalesce(covered, F.lit(0).cast("long")))
         .withColumn("item_ids", F.coalesce("item_ids", none))
         .withColumn("n_items", F.size("item_ids").cast("long"))
         .withColumn("contaminated", F.col("n_hit") > 0)
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without any hit, all columns kept."""
+    keyed = docs.select(F.struct("doc_id", rows.text_hash().alias("text_hash")).alias("doc_id"), "text")
+    return rows.without(docs, contamination(keyed, benchmark).filter("contaminated").select("doc_id.*"))

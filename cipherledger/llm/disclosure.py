@@ -51,7 +51,7 @@ def _digits(value: str) -> F.Column:
 
 
 def _luhn(digits: F.Column) -> F.Column:
-    back = F.split(F.reverse(digits), "(?!^)")
+    back = F.regexp_extract_all(F.reverse(digits), F.lit("[0-9]"), F.lit(0))
     doubled = F.transform(back, lambda d, i: d.cast("int") * (1 + i % 2))
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + d - F.when(d > 9, 9).otherwise(0)) % 10 == 0
 
@@ -121,7 +121,7 @@ def _terms(spans: DataFrame) -> DataFrame:
     cut = cut.withColumn("whole_after", F.when(F.length("after") > REACH, F.regexp_replace("after", rf"{_TERM}$", "")).otherwise(F.col("after")))
     placed = cut.select(
         "row", "kind", "value", F.xxhash64("before", "after").alias("context"),
-        F.explode(F.concat(words_of("whole_before", (F.col("start") - F.length("whole_before"))), words_of("whole_after", F.col("end") + F.length("after") * 0))).alias("t"),
+        F.explode(F.concat(words_of("whole_before", F.col("start") - F.length("whole_before")), words_of("whole_after", F.col("end")))).alias("t"),
     )
     return placed.select("row", "kind", "value", "context", "t.*").filter(F.col("term").rlike(r"\p{L}") & (F.length("term") >= 3))
 

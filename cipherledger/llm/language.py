@@ -212,12 +212,12 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     return with_language(docs.select("doc_id", "text"), net).drop("text")
 
 
-def with_language(docs: DataFrame, net: Network | None) -> DataFrame:
-    """All columns of ``docs`` and lang_pred and score after them."""
+def with_language(docs: DataFrame, net: Network | None, name: str = "lang_pred", share: str = "score") -> DataFrame:
+    """All columns of ``docs`` and, after them, the language and its share."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(share, T.DoubleType())])
     place = docs.columns.index("text")
 
     def run(batches):

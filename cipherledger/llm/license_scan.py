@@ -17,6 +17,8 @@ ignored. Work is linear in the text and in the number of candidates.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,13 +86,25 @@ def _notices() -> list[Notice]:
     return [Notice(p, x, True) for p, x in BASE.items()] + [Notice(p, x, False) for p, x in NOTICES.items()]
 
 
+def _closest(found: list[tuple]) -> list[tuple]:
+    """Places without those that overlap a place of another label with fewer edits: the nearer notice is meant."""
+    reach = max((len(f[3].text) + f[3].edits for f in found), default=0)
+    kept, starts = [], []  # starts of kept places, sorted; an overlapping one starts within reach
+    for f in sorted(found, key=lambda f: f[2]):
+        near = starts[bisect_left(starts, (f[0] - reach,)) : bisect_left(starts, (f[1],))]
+        if not any(end > f[0] and edits < f[2] and label != f[3].label for _, end, edits, label in near):
+            kept.append(f)
+            insort(starts, (f[0], f[1], f[2], f[3].label))
+    return kept
+
+
 def find(text: bytes, notices: list[Notice]) -> tuple[int, list[dict]]:
     """(number of words, places as label, base, start and end in words, edits, share of unchanged characters, text)."""
     tokens = text.translate(words.ALNUM).split()
     joined = b" " + b" ".join(tokens) + b" "
     found = [(s, e, k, x) for x in notices for s, e, k in x.places(joined)]
     out, at, word = [], 0, 0
-    for s, e, k, x in sorted(found, key=lambda f: f[:3]):
+    for s, e, k, x in sorted(_closest(found), key=lambda f: f[:3]):
         word += joined.count(b" ", at, s)
         at = s
         out.append(

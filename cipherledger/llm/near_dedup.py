@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cipherledger.llm import bitmap, words
+from cipherledger.llm import bitmap, rows, words
 from cipherledger.llm.components import connected
 from cipherledger.session import written
 
@@ -97,8 +97,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     out = T.StructType([docs.schema["doc_id"]]).add("text_hash", "long").add("n_shingles", "long").add("d1", "long").add("d2", "long")
     out = out.add("sig", "binary").add("bands", T.ArrayType(T.LongType()))
-    text = F.col("text").cast("string")
-    return docs.select("doc_id", F.xxhash64(text), text).mapInArrow(run, out)
+    return docs.select("doc_id", rows.text_hash(), F.col("text").cast("string")).mapInArrow(run, out)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -227,11 +226,11 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row; kept: doc_id is the component's smallest."""
-    rows = written(features(docs), "features")
-    same = rows.filter("n_shingles > 0").withColumn("_at", F.monotonically_increasing_id())
+    every = written(features(docs), "features")
+    same = every.filter("n_shingles > 0").withColumn("_at", F.monotonically_increasing_id())
     same = same.groupBy("d1", "d2", "n_shingles").agg(F.min("_at").alias("node"), F.min("doc_id").alias("first"))
     named = written(same, "classes")
-    unique = rows.join(named.select("node", "d1", "d2", "first"), ["d1", "d2"]).filter(F.col("doc_id").eqNullSafe(F.col("first")))
+    unique = every.join(named.select("node", "d1", "d2", "first"), ["d1", "d2"]).filter(F.col("doc_id").eqNullSafe(F.col("first")))
     nodes = unique.select("node", "doc_id", "n_shingles", "d1", "d2", "sig", "bands").dropDuplicates(["node"])
     labels = links(docs, written(nodes, "nodes"))
     if labels is None:
@@ -241,7 +240,14 @@ def classes(docs: DataFrame) -> DataFrame:
         least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
         leaders = joined.join(least, "component").select("d1", "d2", "component_id")
     leaders = written(leaders, "leaders")
-    known = rows.filter("n_shingles > 0").join(leaders, ["d1", "d2"])
-    alone = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    known = every.filter("n_shingles > 0").join(leaders, ["d1", "d2"])
+    alone = every.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
     columns = ["doc_id", "text_hash", "n_shingles", "component_id"]
     return known.select(columns).unionByName(alone.select(columns)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def unique(docs: DataFrame) -> DataFrame:
+    """The documents that lead their component, all columns kept; of repeated rows one stays."""
+    known = written(classes(docs).select("doc_id", "text_hash", "kept"), "kept")
+    once = known.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.without(docs, known.filter("not kept"), once)

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bpe, decontaminate, disclosure, language, license_scan, near_dedup, perplexity, quality, sharding
+from cipherledger.llm import (
+    bpe,
+    decontaminate,
+    disclosure,
+    language,
+    license_scan,
+    line_dedup,
+    near_dedup,
+    perplexity,
+    quality,
+    sharding,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +165,8 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
     base = F.filter("spans", lambda s: s.place <= 4)
     return found.select("doc_id", *map(count, disclosure.KINDS[:4]), sha(text(base)).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+@query("op2_line_dedup")
+def near_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.removed(table(spark, folder, "documents"))
