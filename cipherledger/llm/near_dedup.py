@@ -10,11 +10,11 @@ In every bucket all nodes are then held against one pivot, and against other
 pivots in further rounds; nodes that already share a component need no further
 comparison, which keeps a large group of near copies linear. What is left are the
 buckets whose nodes are still in different components: there the nodes outside the
-largest component are compared with all others, signature against signature, in
-blocks of BLOCK by BLOCK inside the tasks, and only likely pairs come out. A pair
-that passes the signature test (LEAST equal lanes: at 0.85 missed with probability
-below 1e-7) is confirmed on the full sets. Links lost are thus those lost by banding
-or by the signature test alone.
+largest component are compared with all others, signatures first and then full sets,
+in blocks of about BLOCK by BLOCK shingles inside the tasks; only links that join two
+components come out. Every link has passed the signature test (LEAST equal lanes: at
+0.85 missed with probability below 1e-7) and is confirmed on the full sets; links
+between components are lost by banding or by the signature test alone.
 
 Defined results: null, empty and wordless texts have an empty set and stay alone;
 texts of fewer than SHINGLE words have one shingle, the whole sequence; repeated
@@ -39,8 +39,8 @@ ROWS = 5
 LANES = BANDS * ROWS
 SIMILAR = 85  # percent
 LEAST = 101  # equal lanes of LANES
-PIVOTS = 3
-BLOCK = 512
+PIVOTS = 2
+BLOCK = 150_000  # shingles on each side of a block
 
 _rng = np.random.default_rng(77)
 _LANE = (_rng.integers(1, 2**63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
@@ -160,8 +160,12 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _pivot_pairs(m: DataFrame, turn: int) -> DataFrame:
-    """In every bucket of several components all nodes against one, the same one in as many buckets as possible."""
-    rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+    """In every bucket of several components all nodes against one, the same one in as many buckets as possible.
+
+    At first that is the node that meets most others: copies of a text with edits of
+    their own meet it more often than each other.
+    """
+    rank = F.struct(-F.col("met"), F.col("node")) if turn == 0 else F.xxhash64("node", F.lit(turn))
     pivot = F.min_by(F.struct("node", "label", "size", "sig"), rank).alias("p")
     buckets = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), pivot).filter("lo != hi")
     met = m.join(buckets.select("bucket", "p"), "bucket").filter((F.col("label") != F.col("p.label")) & _size_fits("size", "p.size"))
@@ -169,33 +173,67 @@ def _pivot_pairs(m: DataFrame, turn: int) -> DataFrame:
     return pairs.dropDuplicates(["a", "b"])
 
 
-def _left_over(m: DataFrame) -> DataFrame:
-    """Likely pairs across components inside buckets: nodes outside the largest component against all, in blocks."""
+class _Roots(dict):
+    """Labels and what they have been joined to inside one block."""
+
+    def of(self, x):
+        while self.get(x, x) != x:
+            x = self[x]
+        return x
+
+
+def _compared(x, y, band: int) -> list[tuple[int, int]]:
+    """Links between the rows of two frames of one bucket; one link is enough to join two components.
+
+    A pair that shares several bands is looked at in the first of them only.
+    """
+    sx, sy = (np.frombuffer(b"".join(f.sig), np.uint32).reshape(-1, LANES) for f in (x, y))
+    flat = np.concatenate(y.set.to_list()).view(np.uint64)
+    ends = np.cumsum(y["size"].to_numpy())
+    starts = ends - y["size"].to_numpy()
+    nx, ny, ly, node_y = x["size"].to_numpy(), y["size"].to_numpy(), y.label.to_list(), y.node.to_numpy()
+    roots, found = _Roots(), []
+    for k, (own, label) in enumerate(zip(x.set, x.label, strict=True)):
+        near = np.flatnonzero(100 * np.minimum(ny, nx[k]) >= SIMILAR * np.maximum(ny, nx[k]))
+        equal = sy[near] == sx[k]
+        likely = equal.sum(1) >= LEAST
+        near, equal = near[likely], equal[likely]
+        near = near[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
+        mine = roots.of(label)
+        near = [j for j in near if roots.of(ly[j]) != mine]
+        if not near:
+            continue
+        own = own.view(np.uint64)
+        places = np.concatenate([np.arange(starts[j], ends[j]) for j in near])
+        at = np.minimum(np.searchsorted(own, flat[places]), len(own) - 1)
+        sizes = ny[near]
+        both = np.add.reduceat((own[at] == flat[places]).astype(np.int64), np.cumsum(sizes) - sizes)
+        for j in np.asarray(near)[100 * both >= SIMILAR * (nx[k] + sizes - both)]:
+            other = roots.of(ly[j])
+            if other != roots.of(label):
+                roots[other] = roots.of(label)
+                found.append((int(x.node.iloc[k]), int(node_y[j])))
+    return found
+
+
+def _left_over(m: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components inside buckets: nodes outside the largest component against all, in blocks."""
     import pandas as pd
 
-    parts = m.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    parts = m.groupBy("bucket", "label").agg(F.sum("size").alias("n"))
     whole = parts.groupBy("bucket").agg(F.sum("n").alias("all"), F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"))
     whole = whole.filter("all > n_main").withColumn("rows", F.ceil((F.col("all") - F.col("n_main")) / BLOCK)).withColumn("cols", F.ceil(F.col("all") / BLOCK))
-    m = m.join(whole, "bucket")
+    m = m.join(whole, "bucket").join(sets, "node")
     spot = F.xxhash64("node", "bucket")
     row = F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))
     col = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1))
     across = m.filter("label != main").withColumn("i", F.pmod(spot, "rows")).withColumn("j", col).withColumn("asks", F.lit(True))
     down = m.withColumn("j", F.pmod(spot, "cols")).withColumn("i", row).withColumn("asks", F.lit(False))
-    columns = ["bucket", "i", "j", "asks", "node", "label", "size", "sig"]
+    columns = ["bucket", "band", "i", "j", "asks", "node", "label", "size", "sig", "set"]
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame.asks], frame[~frame.asks]
-        found = []
-        if len(x) and len(y):
-            sx, sy = (np.frombuffer(b"".join(f.sig), np.uint32).reshape(-1, LANES) for f in (x, y))
-            nx, ny, lx, ly = x["size"].to_numpy(), y["size"].to_numpy(), x.label.to_numpy(), y.label.to_numpy()
-            node_x, node_y = x.node.to_numpy(), y.node.to_numpy()
-            for k in range(len(x)):
-                near = (ly != lx[k]) & (100 * np.minimum(ny, nx[k]) >= SIMILAR * np.maximum(ny, nx[k]))
-                near = np.flatnonzero(near)
-                near = near[(sy[near] == sx[k]).sum(1) >= LEAST]
-                found += [(node_x[k], b) for b in node_y[near]]
+        found = _compared(x, y, int(frame.band.iloc[0])) if len(x) and len(y) else []
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     grouped = across.select(columns).unionByName(down.select(columns)).groupBy("bucket", "i", "j")
@@ -204,19 +242,20 @@ def _left_over(m: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     """(node, component) of nodes that are linked; ``nodes``: node, doc_id, n_shingles, d1, d2, sig, bands."""
-    keys = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     narrow = written(keys.join(shared, "bucket"), "buckets")
     if narrow.isEmpty():
         return None
-    wanted = written(nodes.join(narrow.select("node").distinct(), "node", "left_semi").drop("bands"), "candidates")
+    meets = narrow.groupBy("node").agg(F.sum("n").alias("met"))
+    wanted = written(nodes.drop("bands").join(meets, "node"), "candidates")
     sets = _sets(docs, wanted)
-    members = written(narrow.join(wanted.select("node", F.col("n_shingles").alias("size"), "sig"), "node"), "members")
+    members = written(narrow.drop("n").join(wanted.select("node", "met", F.col("n_shingles").alias("size"), "sig"), "node"), "members")
     found, labels = None, None
     for turn in range(PIVOTS + 1):
         m = _labelled(members, labels)
-        likely = _alike(_pivot_pairs(m, turn)) if turn < PIVOTS else _left_over(m)
-        new = written(_confirmed(likely, sets), "links")
+        new = _confirmed(_alike(_pivot_pairs(m, turn)), sets) if turn < PIVOTS else _left_over(m, sets)
+        new = written(new, "links")
         if new.isEmpty():
             continue
         found = new if found is None else found.unionByName(new)
