@@ -70,7 +70,7 @@ def _valid() -> F.Column:
 def matches(docs: DataFrame) -> DataFrame:
     """row, doc_id, hits: every pattern match with the gap before it and the text around it; one row a document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    row = F.col("_row") if docs.schema.names[-1] == "_row" else F.monotonically_increasing_id()
     d = docs.select(row.alias("row"), "doc_id", text.alias("text"))
     nothing = F.array().cast("array<string>")
     for kind, (pattern, needs) in PATTERNS.items():
@@ -183,15 +183,17 @@ def listed(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with found values as ``[KIND]``, removed terms gone and generalised ones as ``[TERM]``."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    marked = listed(numbered).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    joined = numbered.join(marked, "_row")
+    numbered = written(docs.drop("_row").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    _, marked = spans(numbered)
+    # base spans may overlap each other: a span's own part begins where the furthest earlier one ended
+    order = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    placed = marked.withColumn("done", F.coalesce(F.max("end").over(order), F.lit(0)))
+    word = F.when((F.col("end") <= F.col("done")) | (F.col("kind") == "remove"), "").when(F.col("kind") == "generalise", "[TERM]")
+    word = word.otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
+    part = F.struct("start", "end", F.col("done").cast("int").alias("done"), word.alias("word"))
+    parts = placed.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(part)).alias("_parts"), F.max("end").cast("int").alias("_last"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # base spans may overlap each other: each piece starts where the furthest earlier span ended
-    safe = F.expr(
-        "aggregate(_spans, named_struct('out', cast(array() as array<string>), 'to', 0), (a, s) -> named_struct("
-        "'out', concat(a.out, array(substring(text, a.to + 1, greatest(0, s.start - a.to)), case when s.end <= a.to or s.kind = 'remove' then '' "
-        "when s.kind = 'generalise' then '[TERM]' else concat('[', upper(s.kind), ']') end)), 'to', greatest(a.to, s.end)), "
-        "a -> concat(array_join(a.out, ''), substring(text, a.to + 1)))"
-    )
-    return joined.withColumn("text", text).withColumn("text", safe).select(docs.columns)
+    cut = F.expr("transform(_parts, s -> concat(substring(text, s.done + 1, cast(greatest(0, s.start - s.done) as int)), s.word))")
+    joined = numbered.withColumn("text", text).join(parts, "_row", "left")
+    whole = F.when(F.col("_parts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(cut, ""), F.expr("substring(text, _last + 1)")))
+    return joined.withColumn("text", whole).select(docs.columns)
