@@ -88,6 +88,22 @@ def _marked(content: Column, pattern: str, groups: list[int]) -> Column:
     return F.split(F.regexp_replace(content, pattern, f"{_START}{shown}$0{_END}"), _START)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of all elements up to each one, by doubling steps: n log n additions and no growing copies."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int"))
+
+    def add(sums: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - back), F.lit(0)))
+
+    return F.aggregate(rounds, numbers, add)
+
+
 def occurrences(content: Column, pattern: str, **groups: int) -> Column:
     """All matches as array<struct<line, group columns...>>, also matches that span lines.
 
@@ -103,15 +119,22 @@ def occurrences(content: Column, pattern: str, **groups: int) -> Column:
             breaks=_newlines(F.get(fields, F.lit(len(groups)))) + _newlines(F.substring_index(piece, _END, -1)),
         )
 
-    cuts = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), cut)
-    empty = F.array().cast("array<struct<line:int," + ",".join(f"{g}:string" for g in groups) + ">>")
-    start = record(at=F.lit(1) + _newlines(F.get(pieces, F.lit(0))), out=empty)
-
-    def step(acc: Column, c: Column) -> Column:
-        found = record(line=acc["at"], **{g: F.get(c["fields"], F.lit(i)) for i, g in enumerate(groups)})
-        return record(at=acc["at"] + c["breaks"], out=F.concat(acc["out"], F.array(found)))
+    def found(pieces: Column) -> Column:
+        cuts = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), cut)
+        return let(record(cuts=cuts, first=F.lit(1) + _newlines(F.get(pieces, F.lit(0)))), placed)
+
+    def placed(x: Column) -> Column:
+        return let(
+            running_sums(F.transform(x["cuts"], lambda c: c["breaks"])),
+            lambda sums: F.transform(
+                x["cuts"],
+                lambda c, i: record(
+                    line=x["first"] + F.get(sums, i) - c["breaks"], **{g: F.get(c["fields"], F.lit(k)) for k, g in enumerate(groups)}
+                ),
+            ),
+        )
 
-    return F.aggregate(cuts, start, step, lambda acc: acc["out"])
+    return let(pieces, found)
 
 
 def match_lines(content: Column, pattern: str) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from cipherledger.functions import vocab
-from cipherledger.functions.text import blank_out, blank_to_null, each, first_match, line_at, occurrences, record, strip, text_lines, without_marks
+from cipherledger.functions.text import blank_out, blank_to_null, each, first_match, let, line_at, occurrences, record, strip, text_lines, without_marks
 
 TOKEN = "(?i)" + vocab.PY_ALGORITHM_TOKEN
 # triple-quoted strings and comments go, ordinary strings (group 1) stay
@@ -31,15 +31,32 @@ _IMPORT = r"(?m)^[ \t]*import[ \t]+([^\n;]+)"
 _FROM = r"(?m)^[ \t]*from[ \t]+\.*([\w.]*)[ \t]+import[ \t]+(?:\(([^)]*)\)|([^\n;]+))"
 _NAME_AS = r"^\s*([\w.*]+)(?:\s+as\s+(\w+))?\s*$"
 _STRING = r"\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'"
-_FLAT = rf"(?:[^()\"']++|{_STRING})"
-_ARGS = rf"(?:{_FLAT}|\((?:{_FLAT}|\((?:{_FLAT}|\({_FLAT}*+\))*+\))*+\))*+"
-_CALL = rf"(?<![\w.])(?<!def )(?<!class )([A-Za-z_][\w.]*)[ \t]*\((?=({_ARGS})\))"
-_ARG = rf"(?:[^,()\[\]{{}}\"']++|{_STRING}|\({_ARGS}\)|\[[^\]]*+\]|\{{[^}}]*+\}})++"
-_ASSIGN = r"(?m)^[ \t]*([A-Za-z_][\w.]*)[ \t]*(?::[^=\n]+)?=(?!=)[ \t]*"
-_ASSIGN_STRING = _ASSIGN + r"\(?[rRuU]?(\"[^\"\n]*\"|'[^'\n]*')\)?[ \t]*$"
-_ASSIGN_SEQUENCE = _ASSIGN + r"([\[({][^\])}]*[\])}])[ \t]*$"
-_ASSIGN_ATTRIBUTE = _ASSIGN + r"([A-Za-z_]\w*(?:\.\w+)+)[ \t]*$"
-_DICT_KEY = r"([\"'])([^\"'\n]+)\1\s*:\s*([^,\n}]*)"
+
+
+def _bracketed(levels: int) -> str:
+    """Text between brackets, with brackets inside up to ``levels`` deep; possessive, so a failure is linear."""
+    inner = rf"(?:[^()\[\]{{}}\"']++|{_STRING})*+"
+    for _ in range(levels):
+        inner = rf"(?:[^()\[\]{{}}\"']++|{_STRING}|[(\[{{]{inner}[)\]}}])*+"
+    return inner
+
+
+# the language allows 200 open brackets, so no valid file is cut short
+_INNER = _bracketed(200)
+_GROUP = rf"[(\[{{]{_INNER}[)\]}}]"
+_CALL = rf"(?<![\w.])(?<!def )(?<!class )([A-Za-z_][\w.]*)[ \t]*\((?=({_INNER})\))"
+_ARG = rf"(?:[^,()\[\]{{}}\"']++|{_STRING}|{_GROUP})++"
+_TARGET = r"[A-Za-z_][\w.]*[ \t]*(?::[^=\n;]+)?=(?!=)[ \t]*"
+_ASSIGN = rf"(?m)(?:^|;)[ \t]*((?:{_TARGET})+)"
+_STATED = r"[ \t]*(?=;|$)"
+_ASSIGN_STRING = _ASSIGN + r"\(?[rRuU]?(\"[^\"\n]*\"|'[^'\n]*')\)?" + _STATED
+_ASSIGN_SEQUENCE = _ASSIGN + rf"({_GROUP})" + _STATED
+_ASSIGN_ATTRIBUTE = _ASSIGN + r"([A-Za-z_]\w*(?:\.\w+)+)" + _STATED
+_DICT_KEY = rf"([\"'])([^\"'\n]+)\1\s*:[ \t]*((?:[^,\n()\[\]{{}}\"']++|{_STRING}|{_GROUP})*+)"
+# strings that are elements of their own; other text passes by
+_ELEMENT = rf"{_GROUP}|({_STRING})(?=\s*(?:,|$))|{_STRING}|[^,()\[\]{{}}\"']++"
+# a triple-quoted string behind other text of its line is a value, not documentation
+_LONG_VALUE = r"(?<=[^\s\"'][ \t]{0,8})(\"\"\"|''')([^\"'\\\n]*)\1"
 
 
 def is_crypto_module(module: Column) -> Column:
@@ -68,18 +85,16 @@ def parses(content: pd.Series) -> pd.Series:
     return content.map(ok)
 
 
-def clean_files(files: DataFrame, check_syntax: bool = True) -> DataFrame:
+def clean_files(files: DataFrame) -> DataFrame:
     """Files that can hold findings: ``_lines`` for snippets and ``_code`` without comments and doc strings.
 
-    Only files with a crypto module name or an algorithm token are kept, so the
-    syntax check runs on few of them.
+    Only files with a crypto module name or an algorithm token are kept.
     """
     keys = [c for c in files.columns if c != "content"]
     tops = sorted({m.split(".")[0] for m in vocab.CRYPTO_MODULES})
     likely = files.filter(F.rlike("content", F.lit(r"\b(?:" + "|".join(tops) + r")\b")) | F.rlike("content", F.lit(TOKEN)))
-    if check_syntax:
-        likely = likely.filter(parses("content"))
-    return likely.select(*keys, text_lines(F.col("content")).alias("_lines"), blank_out(without_marks(F.col("content")), _LEXEME).alias("_code"))
+    text = F.regexp_replace(without_marks(F.col("content")), _LONG_VALUE, '"$2"')
+    return likely.select(*keys, F.col("content").alias("_source"), text_lines(F.col("content")).alias("_lines"), blank_out(text, _LEXEME).alias("_code"))
 
 
 # --- facts ---------------------------------------------------------------------------
@@ -118,9 +133,18 @@ def _tagged(kind: str, found: Column) -> Column:
     )
 
 
-def file_facts(code: DataFrame) -> DataFrame:
-    """Per file: ``_imports`` (bindings), ``_names`` (local name -> full name, last binding) and ``_facts``."""
-    keys = [c for c in code.columns if c not in ("_lines", "_code")]
+def _looked_up(name: Column) -> Column:
+    return F.coalesce(F.try_element_at("_names", name), name)
+
+
+def file_facts(code: DataFrame, check_syntax: bool = True) -> DataFrame:
+    """Per file: ``_imports`` (bindings) and ``_facts``.
+
+    A fact carries all that its findings need of the file: the lines it stands on and
+    the full names behind its own, so that rows of single facts are narrow. The syntax
+    check runs on files with a fact only.
+    """
+    keys = [c for c in code.columns if c not in ("_source", "_lines", "_code")]
     text = F.col("_code")
     plain = F.transform(occurrences(text, _IMPORT, b=1), lambda m: record(line=m["line"], a=F.lit(""), b=m["b"]))
     named = F.transform(
@@ -128,30 +152,47 @@ def file_facts(code: DataFrame) -> DataFrame:
         lambda m: record(line=m["line"], a=m["a"], b=F.coalesce(blank_to_null(m["i"]), m["p"])),
     )
     facts = F.concat(*[_tagged(kind, occurrences(text, pattern, a=a, b=b)) for kind, pattern, a, b in FACTS])
-    rows = code.select(*keys, "_lines", plain.alias("_p"), named.alias("_n"), facts.alias("_facts"))
-    rows = rows.select(
-        *keys, "_lines", "_facts", F.concat(_bindings("import", F.col("_p")), _bindings("from", F.col("_n"))).alias("_imports")
-    )
-    ordered = rows.withColumn(
-        "_o", F.array_sort(F.transform("_imports", lambda x: record(line=x["line"], local=x["local"], target=x["target"])))
-    )
-    last = F.filter(
-        "_o", lambda x, i: ~F.exists(F.slice("_o", i + 2, F.size("_o") + 1), lambda y: y["local"] == x["local"])
+    rows = code.select(*keys, "_source", "_lines", plain.alias("_p"), named.alias("_n"), facts.alias("_stated"))
+    bound = F.concat(_bindings("import", F.col("_p")), _bindings("from", F.col("_n")))
+    rows = rows.select(*keys, "_source", "_lines", "_stated", bound.alias("_bound"))
+    rows = rows.filter((F.size("_stated") > 0) | (F.size("_bound") > 0))
+    if check_syntax:
+        rows = rows.filter(parses("_source"))
+    # the last binding of a local name counts
+    ordered = F.array_sort(F.transform("_bound", lambda x: record(local=x["local"], line=x["line"], target=x["target"])))
+    rows = rows.withColumn("_o", ordered)
+    last = F.filter("_o", lambda x, i: F.coalesce(F.get("_o", i + 1)["local"] != x["local"], F.lit(True)))
+    rows = rows.withColumn("_names", F.map_from_entries(F.transform(last, lambda x: F.struct(x["local"], x["target"]))))
+    imports = F.transform(
+        "_bound",
+        lambda x: record(
+            kind=x["kind"], line=x["line"], module=x["module"], name=x["name"], local=x["local"], target=x["target"],
+            snippet=line_at(F.col("_lines"), x["line"]),
+        ),
     )
-    names = F.map_from_entries(F.transform(last, lambda x: F.struct(x["local"], x["target"])))
-    return ordered.withColumn("_names", names).drop("_o")
+
+    def told(x: Column) -> Column:
+        first = F.get(F.split(x["a"], r"\."), F.lit(0))
+        owner = F.when(x["kind"] == "attribute", F.regexp_extract(x["b"], r"^(.*)\.\w+$", 1))
+        shown = F.when(x["kind"] == "sequence", F.size(F.split(x["b"], "\n"))).when(x["kind"].isin("string", "attribute"), 1).otherwise(0)
+        return record(
+            kind=x["kind"], line=x["line"], a=x["a"], b=x["b"], lines=F.slice("_lines", x["line"], shown),
+            base=_looked_up(first), owner=_looked_up(owner), imports=F.size("_bound") > 0,
+        )
+
+    return rows.select(*keys, imports.alias("_imports"), F.transform("_stated", told).alias("_facts"))
 
 
 def import_facts(files: DataFrame, check_syntax: bool = True) -> DataFrame:
     """Import facts table: kind, line, module, name, local, target."""
     keys = [c for c in files.columns if c != "content"]
-    return each(file_facts(clean_files(files, check_syntax)), keys, F.col("_imports"), "_x").select(*keys, "_x.*")
+    return each(file_facts(clean_files(files), check_syntax), keys, F.col("_imports"), "_x").select(*keys, "_x.*").drop("snippet")
 
 
 def call_facts(files: DataFrame, check_syntax: bool = True) -> DataFrame:
     """Call facts table: line, callee, args, local (first segment), attr (last segment), depth."""
     keys = [c for c in files.columns if c != "content"]
-    rows = each(file_facts(clean_files(files, check_syntax)), keys, F.col("_facts"), "_x").select(*keys, "_x.*").filter("kind = 'call'")
+    rows = each(file_facts(clean_files(files), check_syntax), keys, F.col("_facts"), "_x").select(*keys, "_x.*").filter("kind = 'call'")
     parts = F.split("a", r"\.")
     return rows.select(
         *keys, "line", F.col("a").alias("callee"), F.col("b").alias("args"), F.get(parts, F.lit(0)).alias("local"),
@@ -233,7 +274,7 @@ def _hit(detector: str, line: Column, signal: Column, roles: Column | list[str],
     return record(line=line.cast("int"), detector=F.lit(detector), raw_signal=signal, roles=roles, algorithm_hint=hint, confidence=confidence.cast("double"))
 
 
-def _import_hits(snippet: Column) -> Column:
+def _import_hits() -> Column:
     """A bare import shows a library; a from-import an algorithm if its name or last two module segments do."""
     m = F.col("m")
     parts = F.split(m["module"], r"\.")
@@ -242,8 +283,8 @@ def _import_hits(snippet: Column) -> Column:
     )
     return F.when(
         m["kind"] == "import",
-        _hit("python.ast.import", m["line"], snippet, ["capability"], F.get(parts, F.lit(0)), 0.5),
-    ).when(token.isNotNull(), _hit("python.ast.import_from", m["line"], snippet, ["implementation"], token, 0.75))
+        _hit("python.ast.import", m["line"], m["snippet"], ["capability"], F.get(parts, F.lit(0)), 0.5),
+    ).when(token.isNotNull(), _hit("python.ast.import_from", m["line"], m["snippet"], ["implementation"], token, 0.75))
 
 
 def _contains_any(name: Column, words: list[str]) -> Column:
@@ -260,38 +301,43 @@ def _configured(value: Column, target: Column, words: list[str]) -> Column:
     return F.when(_contains_any(_last_segment(target), words) | (F.upper(token) == F.upper(value)), token)
 
 
-def _fact_hits(snippet: Column) -> Column:
-    """Findings of one fact row (kind, line, a, b, base columns of the file) as an array."""
-    kind, line, a, b = (F.col(c) for c in ("kind", "line", "a", "b"))
+def _fact_hits() -> Column:
+    """Findings of one fact row as an array."""
+    kind, line, a, b, lines = (F.col(c) for c in ("kind", "line", "a", "b", "lines"))
+    snippet = line_at(lines, F.lit(1))
     configuration = ["configuration"]
+    # an assignment may name several targets; each is one finding
+    targets = F.regexp_extract_all(a, F.lit(r"([A-Za-z_][\w.]*)[ \t]*(?::[^=\n;]+)?=(?!=)"), F.lit(1))
+
+    def each_target(hit) -> Column:
+        return F.filter(F.transform(targets, hit), lambda h: h["algorithm_hint"].isNotNull())
 
     text = F.regexp_extract(b, r"^[\"']([\s\S]*)[\"']$", 1)
-    string = _configured(text, a, vocab.ASSIGN_KEYWORDS)
+    string = each_target(lambda t: _hit("python.ast.assignment", line, snippet, configuration, _configured(text, t, vocab.ASSIGN_KEYWORDS), 0.55))
 
     is_tuple = ~b.startswith("(") | b.contains(",")
     is_list = is_tuple & (~b.startswith("{") | ~F.rlike(b, F.lit(r"[\"']\s*:")))
-    elements = F.when(is_list, occurrences(b, r"([\"'])([^\"'\n]*)\1", value=2))
-    sequence = F.transform(
-        F.filter(elements, lambda e: _configured(e["value"], a, vocab.SEQUENCE_KEYWORDS).isNotNull()),
-        lambda e: _hit(
-            "python.ast.assignment", line + e["line"] - 1, line_at(F.col("_lines"), line + e["line"] - 1), configuration,
-            algorithm_token(e["value"]), 0.55,
-        ),
-    )
+    inside = F.substring(b, F.lit(2), F.greatest(F.length(b) - 2, F.lit(0)))
+    elements = F.when(is_list, F.filter(occurrences(inside, _ELEMENT, value=1), lambda e: e["value"] != ""))
 
-    owner = F.regexp_extract(b, r"^(.*)\.\w+$", 1)
-    owner_name = F.coalesce(F.try_element_at("_names", owner), owner)
-    attribute = F.when(
-        is_crypto_module(owner_name) | owner_name.isin("hashlib", "hashes", "cryptography"), algorithm_token(_last_segment(b))
-    )
+    def listed(t: Column, e: Column) -> Column:
+        value = F.regexp_extract(e["value"], r"^[\"']([\s\S]*)[\"']$", 1)
+        hint = _configured(value, t, vocab.SEQUENCE_KEYWORDS)
+        return _hit("python.ast.assignment", line + e["line"] - 1, line_at(lines, e["line"]), configuration, hint, 0.55)
+
+    found = let(elements, lambda es: F.flatten(F.transform(targets, lambda t: F.transform(es, lambda e: listed(t, e)))))
+    sequence = F.filter(found, lambda h: h["algorithm_hint"].isNotNull())
+
+    on_module = is_crypto_module(F.col("owner")) | F.col("owner").isin("hashlib", "hashes", "cryptography")
+    named = F.when(on_module, algorithm_token(_last_segment(b)))
+    attribute = each_target(lambda t: _hit("python.ast.attribute", line, snippet, ["implementation"], named, 0.75))
 
     key_token = algorithm_token(a)
-    key = F.when((F.upper(key_token) == F.upper(a)) & (F.size("_imports") > 0), key_token)
+    key = F.when((F.upper(key_token) == F.upper(a)) & F.col("imports"), key_token)
 
     parts = F.split(a, r"\.")
-    attr, depth, local = F.element_at(parts, -1), F.size(parts), F.get(parts, F.lit(0))
-    base = F.coalesce(F.try_element_at("_names", local), local)
-    shown = F.substring(F.concat(a, F.lit("("), b, F.lit(")")), 1, 200)
+    attr, depth, base = F.element_at(parts, -1), F.size(parts), F.col("base")
+    shown = F.concat(a, F.lit("("), b, F.lit(")"))
     unresolved = lambda h: h == "UNKNOWN"
     only_code = lambda h: unresolved(h) | (F.upper(h) == "HMAC")
     call = F.when(
@@ -305,35 +351,28 @@ def _fact_hits(snippet: Column) -> Column:
             ),
         ),
     )
-    one = lambda hint, *args: F.when(hint.isNotNull(), F.array(_hit(args[0], line, args[1], args[2], hint, args[3])))
+    registry = _hit("python.ast.registry", line, F.concat(a, F.lit(": "), strip(b)), ["implementation", "configuration"], key, 0.80)
     return (
         F.when(kind == "call", call)
-        .when(kind == "string", one(string, "python.ast.assignment", snippet, configuration, 0.55))
+        .when(kind == "string", string)
         .when(kind == "sequence", sequence)
-        .when(kind == "attribute", one(attribute, "python.ast.attribute", snippet, ["implementation"], 0.75))
-        .otherwise(
-            one(
-                key, "python.ast.registry", F.concat(a, F.lit(": "), F.substring(strip(b), 1, 80)),
-                ["implementation", "configuration"], 0.80,
-            )
-        )
+        .when(kind == "attribute", attribute)
+        .otherwise(F.when(key.isNotNull(), F.array(registry)))
     )
 
 
 def scan_python(files: DataFrame, check_syntax: bool = True) -> DataFrame:
     """All Python findings of a files table (key columns, ``path``, ``content``)."""
     keys = [c for c in files.columns if c != "content"]
-    imported = F.transform("_imports", lambda x: record(kind=F.lit("binding"), m=x, f=F.lit(None).cast(_FACT)))
-    stated = F.transform("_facts", lambda x: record(kind=F.lit("fact"), m=F.lit(None).cast(_BINDING), f=x))
-    rows = file_facts(clean_files(files, check_syntax)).withColumn("_all", F.concat(imported, stated))
-    context = [*keys, "_lines", "_imports", "_names"]
-    facts = each(rows, context, F.col("_all"), "_x").select(*context, "_x.m", "_x.f.*")
-    snippet = line_at(F.col("_lines"), F.coalesce(F.col("m.line"), F.col("line")))
-    binding = _import_hits(snippet)
-    hits = F.when(F.col("m").isNotNull(), F.when(binding.isNotNull(), F.array(binding))).otherwise(_fact_hits(snippet))
+    imported = F.transform("_imports", lambda x: record(m=x, f=F.lit(None).cast(_FACT)))
+    stated = F.transform("_facts", lambda x: record(m=F.lit(None).cast(_BINDING), f=x))
+    rows = file_facts(clean_files(files), check_syntax).select(*keys, F.concat(imported, stated).alias("_all"))
+    facts = each(rows, keys, F.col("_all"), "_x").select(*keys, "_x.m", "_x.f.*")
+    binding = _import_hits()
+    hits = F.when(F.col("m").isNotNull(), F.when(binding.isNotNull(), F.array(binding))).otherwise(_fact_hits())
     found = each(facts, keys, hits, "_h").select(*keys, "_h.*")
     return found.withColumn("source_type", F.lit("python_source"))
 
 
-_FACT = "struct<kind:string,line:int,a:string,b:string>"
-_BINDING = "struct<kind:string,line:int,module:string,name:string,local:string,target:string>"
+_FACT = "struct<kind:string,line:int,a:string,b:string,lines:array<string>,base:string,owner:string,imports:boolean>"
+_BINDING = "struct<kind:string,line:int,module:string,name:string,local:string,target:string,snippet:string>"

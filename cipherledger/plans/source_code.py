@@ -134,7 +134,7 @@ def d20(spark, d):
 
 
 # --- Python --------------------------------------------------------------------------
-# Eight kinds of files; the whole document stands in front as a raw doc string.
+# Nine kinds of files; the whole document stands in front as a raw doc string.
 VARIANTS = [
     'import hashlib, os  # import hmac\nfrom Crypto.Cipher import AES as CA\nh = hashlib.sha256(b"x").hexdigest()\nc = CA.new(key, CA.MODE_GCM)',
     'import hmac as hm\nm = hm.new(key, msg,\n    hashlib.sha512)\nALGORITHM = "RS256"\nh = hm.digest(k, d, "md5")',
@@ -144,6 +144,8 @@ VARIANTS = [
     'from jwt.algorithms import RSAAlgorithm\nE = RSAAlgorithm(1)\nname = "use aes here"\nalgo_name = "use aes here"\nh2: str = hashlib.sha1',
     '# import hashlib; hashlib.md5()\ntext = "plain"\nnote = "hash of x"  # AES\nvalues = ("a", "b")',
     'import hashlib\nh = hashlib.md5()\ndef broken(',
+    'import hashlib\na = hashlib.sha256(f(g(h(i(j(1))))))\nalgo = other = "RS256"\nalgorithm = "ES256"; z = 1\nCIPHERS = [["aes256-ctr"], "rsa"]\n'
+    'h = hashlib.new("""md5""")\nREG = {"ES384": {"k": 1, "l": [2, 3]}, "zz": 1}',
 ]
 _I, _IU, _C, _IC = "implementation", "implementation,usage", "configuration", "implementation,configuration"
 # variant, line after the doc string, detector, hint, roles, confidence
@@ -163,8 +165,12 @@ EXPECTED = [
     (4, 9, "python.ast.call", "UNKNOWN", _I, 0.65),
     (5, 2, "python.ast.call", "UNKNOWN", _I, 0.65), (5, 4, "python.ast.assignment", "aes", _C, 0.55),
     (5, 5, "python.ast.attribute", "sha1", _I, 0.75),
+    (8, 1, "python.ast.import", "hashlib", "capability", 0.5), (8, 2, "python.ast.call", "sha256", _IU, 0.85),
+    (8, 3, "python.ast.assignment", "RS256", _C, 0.55), (8, 3, "python.ast.assignment", "RS256", _C, 0.55),
+    (8, 4, "python.ast.assignment", "ES256", _C, 0.55), (8, 5, "python.ast.assignment", "rsa", _C, 0.55),
+    (8, 6, "python.ast.call", "md5", _IU, 0.85), (8, 7, "python.ast.registry", "ES384", _IC, 0.80),
 ]
-_CODE = "CASE doc_id % 8 " + " ".join(
+_CODE = f"CASE doc_id % {len(VARIANTS)} " + " ".join(
     f"WHEN {i} THEN " + " || chr(10) || ".join(quoted(line) for line in v.split("\n")) for i, v in enumerate(VARIANTS)
 ) + " END"
 PYTHON = fx.Projection(
@@ -180,7 +186,7 @@ cte("py_expected", f"SELECT * FROM ({values_sql(EXPECTED)}) t(variant, rel, dete
 cte(
     "py_findings",
     "SELECT 'repo/' || d.source || '/p' || d.doc_id || '.py' AS path, len(d.text) - len(replace(d.text, chr(10), '')) + 2 + e.rel AS line, "
-    "e.detector, e.hint AS algorithm_hint, e.roles, e.confidence FROM documents d JOIN py_expected e ON e.variant = d.doc_id % 8",
+    "e.detector, e.hint AS algorithm_hint, e.roles, e.confidence FROM documents d JOIN py_expected e ON e.variant = d.doc_id % " + str(len(VARIANTS)),
     "py_expected",
 )
 cte("py_lines", line_table("python_files"), "python_files")
@@ -228,7 +234,7 @@ def d10(spark, d):
 
 @query("d13_python_negative_controls", sql(
     "SELECT 'repo/' || d.source || '/p' || d.doc_id || '.py' AS path, count(e.variant) AS findings FROM documents d "
-    "LEFT JOIN py_expected e ON e.variant = d.doc_id % 8 GROUP BY 1", "py_expected"))
+    "LEFT JOIN py_expected e ON e.variant = d.doc_id % " + str(len(VARIANTS)) + " GROUP BY 1", "py_expected"))
 def d13(spark, d):
     counts = _python(spark, d).groupBy("path").agg(F.count("*").alias("n"))
     return PYTHON(spark, d).select("path").join(counts, "path", "left").select("path", F.coalesce("n", F.lit(0)).alias("findings"))

@@ -102,3 +102,35 @@ def test_build_file_never_shows_usage(spark):
     df = detect_images.scan_build_files(files(spark, "FROM debian:12\nRUN apt install openssl-dev\nEXPOSE 443/tcp 22\n"))
     roles = {r for (rs,) in found(df, "roles") for r in rs}
     assert roles == {"capability", "configuration"}
+
+
+def test_deep_brackets_and_several_statements(spark):
+    deep = "hashlib.sha256(" + "f(" * 60 + "1" + ")" * 60 + ")"
+    source = f'import hashlib\na = {deep}\nalgo = other = "RS256"\nalgorithm = "ES256"; z = 1\nCIPHERS = [["aes256-ctr"], "rsa",\n  "x", "md5"]\nh = hashlib.new("""md5""")\n'
+    source += 'REG = {"ES384": {"k": 1, "l": [2, 3]}, "zz": 1}\n"""h = hashlib.md5()"""\n'
+    rows = found(scan_python(files(spark, source)), "line", "detector", "algorithm_hint", "raw_signal")
+    assert {(a, b, c) for a, b, c, _ in rows} == {
+        (1, "python.ast.import", "hashlib"), (2, "python.ast.call", "sha256"), (3, "python.ast.assignment", "RS256"),
+        (4, "python.ast.assignment", "ES256"), (5, "python.ast.assignment", "rsa"), (6, "python.ast.assignment", "md5"),
+        (7, "python.ast.call", "md5"), (8, "python.ast.registry", "ES384"),
+    }
+    assert any(s.endswith(")" * 61) for _, _, c, s in rows if c == "sha256")
+    assert ('ES384: {"k": 1, "l": [2, 3]}') in {s for *_, s in rows}
+
+
+def test_time_grows_with_the_size_of_a_file(spark):
+    import time
+
+    def seconds(n):
+        df = files(spark, "import hashlib\n" + "".join(f"h{i} = hashlib.sha256(b'{i}', g({i}))\n" for i in range(n)))
+        start = time.time()
+        assert scan_python(df, check_syntax=False).filter("detector = 'python.ast.call'").count() == n
+        return time.time() - start
+
+    seconds(1000)
+    assert seconds(60000) < 20 * max(seconds(6000), 1.0)
+
+
+def test_java_time_grows_with_the_size_of_a_file(spark):
+    text = "".join(f'Cipher c{i} = Cipher.getInstance("AES/GCM/NoPadding");\n' for i in range(30000))
+    assert detect_java.raw_java(files(spark, text)).count() == 30000
