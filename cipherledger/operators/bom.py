@@ -9,7 +9,6 @@ from cipherledger.functions import vocab
 from cipherledger.functions.tables import lookup
 from cipherledger.operators.inventory import top_per_key
 
-PART_SIZE = 1000
 
 
 def primitive(family: Column) -> Column:
@@ -136,20 +135,14 @@ def _serial(scan: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *cut))
 
 
-def documents(
-    parts: DataFrame, names: DataFrame, timestamp: str, tool: str = "cipherledger", tool_version: str = "1.0.0", part_size: int = PART_SIZE
-) -> DataFrame:
-    """One JSON document per scan.
+def documents(parts: DataFrame, names: DataFrame, timestamp: str, tool: str = "cipherledger", tool_version: str = "1.0.0") -> DataFrame:
+    """One JSON document per scan, whatever its size; ``names`` has scan_id and project_name.
 
-    ``names`` has scan_id and project_name.  A scan with more components than
-    ``part_size`` is written as several documents with the same serial number,
-    so no task ever holds more than about one part.
+    A document is one value, so the components of one scan meet in one row.
     """
-    counts = parts.groupBy("scan_id").agg(F.count("*").alias("asset_count"))
-    n_parts = F.ceil(F.col("asset_count") / F.lit(part_size))
-    placed = parts.join(counts, "scan_id").withColumn("part", F.pmod(F.xxhash64("asset_id"), n_parts).cast("int"))
-    grouped = placed.groupBy("scan_id", "asset_count", "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("component")["name"].alias("n"), "asset_id", "component"))).alias("c")
+    grouped = parts.groupBy("scan_id").agg(
+        F.count("*").alias("asset_count"),
+        F.array_sort(F.collect_list(F.struct(F.col("component")["name"].alias("n"), "asset_id", "component"))).alias("c"),
     )
     titled = grouped.join(names.select("scan_id", "project_name"), "scan_id", "left").withColumn(
         "project_name", F.coalesce("project_name", F.lit("unknown-project"))
@@ -172,7 +165,7 @@ def documents(
         F.lit(vocab.BOM_SCHEMA).alias("$schema"), _serial(F.col("scan_id")).alias("serialNumber"), F.lit(1).alias("version"),
         meta.alias("metadata"), F.transform("c", lambda x: x["component"]).alias("components"),
     )
-    return titled.select("scan_id", "part", "asset_count", F.to_json(document).alias("document"))
+    return titled.select("scan_id", "asset_count", F.to_json(document).alias("document"))
 
 
 _TOP = ["bomFormat", "specVersion", "serialNumber", "version", "metadata", "components"]

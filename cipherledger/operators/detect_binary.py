@@ -28,7 +28,7 @@ def file_type(content: Column) -> Column:
 
 
 def algorithm_of_symbol(symbol: Column) -> Column:
-    return first_containing(vocab.SYMBOL_ALGORITHMS, F.lower(symbol), F.substring(symbol, 1, 40))
+    return first_containing(vocab.SYMBOL_ALGORITHMS, F.lower(symbol), symbol)
 
 
 def algorithm_of_library(library: Column) -> Column:
@@ -56,7 +56,7 @@ def scan_strings(files: DataFrame) -> DataFrame:
     """String-scan findings, the first per file and algorithm."""
     keys = [c for c in files.columns if c != "content"]
     rows = string_matches(files).select(
-        *keys, "ord", F.lit("binary.string_scan").alias("detector"), F.substring("signal", 1, 60).alias("raw_signal"),
+        *keys, "ord", F.lit("binary.string_scan").alias("detector"), F.col("signal").alias("raw_signal"),
         _roles().alias("roles"), "algorithm_hint", F.lit(0.45).alias("confidence"), F.lit("binary").alias("source_type"),
         F.create_map(F.lit("file_type"), F.col("file_type"), F.lit("file_size"), F.col("file_size").cast("string")).alias("provenance"),
     )
@@ -81,7 +81,7 @@ def scan_symbols(facts: DataFrame) -> DataFrame:
     """Symbol facts (``symbol``): one finding per symbol that any pattern matches."""
     return facts.filter(F.rlike("symbol", F.lit(ANY_SYMBOL))).withColumns(
         {
-            "detector": F.lit("binary.symbol"), "raw_signal": F.substring("symbol", 1, 100), "roles": _roles(),
+            "detector": F.lit("binary.symbol"), "raw_signal": F.col("symbol"), "roles": _roles(),
             "algorithm_hint": algorithm_of_symbol(F.col("symbol")), "confidence": F.lit(0.70), "source_type": F.lit("binary"),
         }
     )

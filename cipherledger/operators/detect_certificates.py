@@ -76,7 +76,7 @@ def scan_certificates(facts: DataFrame, now: Column) -> DataFrame:
             "key_params": key_parameters(F.col("key_type"), F.col("key_size"), F.col("curve")),
             "algorithm_hint": certificate_hint(F.col("key_type"), F.col("signature_algorithm")),
             "raw_signal": F.concat(
-                F.lit("cert: "), F.substring("subject", 1, 80), F.lit(" | key="), "key_type", F.lit(" | sig="), "signature_algorithm"
+                F.lit("cert: "), "subject", F.lit(" | key="), "key_type", F.lit(" | sig="), "signature_algorithm"
             ),
             "detector": F.lit("certificate.x509_parser"),
             "roles": F.array(F.lit("observed")),

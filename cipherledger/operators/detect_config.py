@@ -25,7 +25,7 @@ def scan_config_text(files: DataFrame) -> DataFrame:
         .filter("algorithm_hint IS NOT NULL")
     )
     return hits.select(
-        *keys, "line", F.lit("config.text_scan").alias("detector"), F.substring(text, 1, 200).alias("raw_signal"),
+        *keys, "line", F.lit("config.text_scan").alias("detector"), text.alias("raw_signal"),
         F.array(F.lit("configuration")).alias("roles"), strip(F.get(F.split(text, "[=:]", 2), F.lit(0))).alias("key_name"),
         "algorithm_hint", F.lit(0.70).alias("confidence"), F.lit("config").alias("source_type"),
     )

@@ -89,7 +89,7 @@ def installed_packages(rows: DataFrame) -> DataFrame:
     )
     hits = rows.withColumn("pkg", F.explode(F.array_compact(F.array(*[named(p) for p in vocab.IMAGE_FILE_PACKAGES]))))
     signal = F.concat(
-        "pkg", F.lit(" installed in Dockerfile (line "), F.col("line").cast("string"), F.lit("): "), F.substring("line_text", 1, 60)
+        "pkg", F.lit(" installed in Dockerfile (line "), F.col("line").cast("string"), F.lit("): "), "line_text"
     )
     return _finding(hits, "container.dockerfile_package", "capability", 0.80, package_name=F.col("pkg"), raw_signal=signal)
 

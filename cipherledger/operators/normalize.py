@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from cipherledger.functions import vocab
 from cipherledger.functions.tables import alias_table, canonical_table, lookup
@@ -63,10 +64,17 @@ def effective_hint(hint: Column, hints: Column) -> Column:
 
 
 def expand_hints(findings: DataFrame) -> DataFrame:
-    """One row per algorithm hint; the package name where a finding has none."""
-    return findings.withColumn("_hint", F.explode_outer("algorithm_hints")).withColumn(
+    """One row per algorithm hint; the package name where a finding has none.
+
+    Numbers in ``ord`` that leave room for it (decimals) go up with the hint.
+    """
+    rows = findings.select("*", F.posexplode_outer("algorithm_hints").alias("_at", "_hint")).withColumn(
         "algorithm_hint", F.coalesce(blank_to_null(F.col("algorithm_hint")), F.col("_hint"), F.col("package_name"))
-    ).drop("_hint")
+    )
+    if "ord" in findings.columns and isinstance(findings.schema["ord"].dataType, DecimalType):
+        rows = rows.withColumn("ord", (F.col("ord") + F.coalesce("_at", F.lit(0))).cast("decimal(38,0)"))
+        rows = rows.withColumn("finding_id", F.concat_ws("|", "finding_id", "_at"))
+    return rows.drop("_at", "_hint")
 
 
 def source_location(file_path: Column, line: Column, archive_path: Column | None = None) -> Column:
@@ -163,7 +171,7 @@ def normalize_findings(findings: DataFrame, explode_hints: bool = False) -> Data
         _or_default(base, "source_type", "python_source").alias("source_type"),
         source_location(F.col("file_path"), F.col("line"), archive).alias("source_location"),
         _or_default(base, "detector", "unknown").alias("detector"),
-        F.substring(_or_default(base, "raw_signal", ""), 1, 500).alias("raw_signal"),
+        _or_default(base, "raw_signal", "").alias("raw_signal"),
         effective_hint(F.col("algorithm_hint"), hints).alias("hint"),
         _or_default(base, "roles", F.array(F.lit("capability"))).alias("roles"),
         _or_default(base, "confidence", 0.5).cast("double").alias("confidence"),

@@ -36,7 +36,7 @@ def scan_states(stages: DataFrame) -> DataFrame:
     ).select(
         "scan_id",
         F.when(F.col("_failed"), "failed").when(F.col("_done"), "completed").when(F.col("_idle"), "queued").otherwise("running").alias("state"),
-        F.substring("_error", 1, 2000).alias("error_message"),
+        F.col("_error").alias("error_message"),
     )
 
 

@@ -2,28 +2,52 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherledger.operators import bom, detect_certificates, detect_config, detect_dependencies, detect_images, detect_java, detect_python
 from cipherledger.operators import fuse, graph, migrate, normalize, risk
+from cipherledger.session import written
 from cipherledger.sources.files import outside_excluded_dirs, route
 
 COLUMNS = ["scan_id", "path", "line", "detector", "raw_signal", "roles", "algorithm_hint", "algorithm_hints", "package_name", "confidence", "source_type"]
+HINTS = 1_000_000  # room between the numbers of two findings
 
 
 def land_files(files: DataFrame, path: str) -> DataFrame:
-    """Text files routed to their detector and stored by it.
+    """Text files routed to their detector and stored by it, in a folder of this run.
 
     Every detector then reads its own partition only, so the content of a
-    file is read once although the detectors are separate branches.
+    file is read once although the detectors are separate branches. Landing
+    the same files again gives the same rows and leaves earlier runs alone.
     """
     routed = files.filter(outside_excluded_dirs(F.col("path"))).withColumn("artifact_type", route(F.col("path")))
     kept = routed.filter("artifact_type IS NOT NULL").select("scan_id", "path", "content", "artifact_type")
-    kept.hint("rebalance", "artifact_type").write.partitionBy("artifact_type").mode("append").parquet(path)
-    return files.sparkSession.read.schema(kept.schema).parquet(path)
+    run = f"{path}/run-{uuid.uuid4().hex}"
+    kept.hint("rebalance", "artifact_type").write.partitionBy("artifact_type").parquet(run)
+    return files.sparkSession.read.schema(kept.schema).parquet(run)
+
+
+def numbered(findings: DataFrame) -> DataFrame:
+    """``finding_id`` and ``ord`` that depend on the rows alone and are unique.
+
+    Findings of a file are numbered in order of line, detector, hint and signal; rows
+    that agree in all of these are interchangeable. ``ord`` is the hash of the path
+    (64 bits), the number in the file and room for the hints of a finding.
+    """
+    alike = ["line", "detector", F.coalesce("algorithm_hint", F.lit("")), "raw_signal", F.to_json("roles"), F.coalesce("confidence", F.lit(0.0))]
+    place = F.row_number().over(Window.partitionBy("scan_id", "file_path").orderBy(*alike))
+    number = place.cast("decimal(38,0)")
+    path = F.xxhash64("file_path").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")
+    return (
+        findings.withColumn("_place", number)
+        .withColumn("finding_id", F.concat_ws("|", "file_path", F.col("line").cast("string"), "detector", F.col("_place").cast("string")))
+        .withColumn("ord", (path * F.lit(10**17).cast("decimal(18,0)") + F.col("_place") * HINTS).cast("decimal(38,0)"))
+        .drop("_place")
+    )
 
 
 def discover(landed: DataFrame, check_syntax: bool = True) -> DataFrame:
@@ -37,9 +61,7 @@ def discover(landed: DataFrame, check_syntax: bool = True) -> DataFrame:
         detect_config.scan_config(of("config")),
     ]
     found = normalize.union_findings(*[p.select(*[c for c in COLUMNS if c in p.columns]) for p in parts])
-    return found.withColumnRenamed("path", "file_path").withColumn(
-        "finding_id", F.concat_ws("|", "file_path", F.col("line").cast("string"), "detector", "raw_signal")
-    ).withColumn("ord", F.xxhash64("file_path").bitwiseAND(F.lit(0x7FFFFFFFFF)) * 1_000_000 + F.col("line"))
+    return numbered(found.withColumnRenamed("path", "file_path"))
 
 
 def private_keys(landed: DataFrame) -> DataFrame:
@@ -63,15 +85,18 @@ class ScanResult:
 
 
 def analyze(
-    findings: DataFrame, context: DataFrame | None = None, services: DataFrame | None = None, explode_hints: bool = True, max_depth: int = 10
+    findings: DataFrame, context: DataFrame | None = None, services: DataFrame | None = None, explode_hints: bool = True, max_depth: int = 10,
+    only_usable: bool = True,
 ) -> ScanResult:
     """All results of findings of any number of scans at once.
 
     ``context`` gives x, y and the risk parameters per scan; scans without it
     get an assessment that says so.  ``services`` adds the topology.
     """
-    evidence = normalize.normalize_findings(findings, explode_hints)
-    assets = fuse.fuse_assets(evidence)
+    usable = normalize.usable_findings(findings) if only_usable else findings
+    # text is scanned once; all results are derived from these two stored tables
+    evidence = written(normalize.normalize_findings(usable, explode_hints), "evidence")
+    assets = written(fuse.fuse_assets(evidence), "assets")
     nodes, edges = graph.build_graph(evidence, assets)
     if services is not None:
         edges = edges.unionByName(graph.topology_edges(evidence, services))

@@ -32,7 +32,7 @@ cte("config_lines", line_table("config_files"), "config_files")
 
 
 @query("d21_config_lines", sql(
-    f"SELECT path, line, left(line_text, 200) AS raw_signal, trim(regexp_extract(line_text, '^[^=:]*', 0)) AS key_name, "
+    f"SELECT path, line, line_text AS raw_signal, trim(regexp_extract(line_text, '^[^=:]*', 0)) AS key_name, "
     f"regexp_extract(line_text, {regexp(vocab.CONFIG_VALUE)}, 0) AS algorithm_hint FROM config_lines WHERE line_text <> '' AND NOT starts_with(line_text, '#') "
     f"AND NOT starts_with(line_text, '//') AND regexp_matches(line_text, {regexp(vocab.CONFIG_KEY)}) AND regexp_matches(line_text, {regexp(vocab.CONFIG_VALUE)})",
     "config_lines"))
@@ -300,7 +300,7 @@ def _certificates(spark, d):
     "SELECT path, DATE '1999-01-01' > not_after AS is_expired, CASE WHEN DATE '1999-01-01' > not_after THEN NULL ELSE date_diff('day', DATE '1999-01-01', not_after)::INT END AS days_to_expiry, "
     "CASE o_custkey % 4 WHEN 0 THEN 'DNS:h' || o_custkey || ',' WHEN 1 THEN 'IP:h' || o_custkey || ',' WHEN 2 THEN 'URI:h' || o_custkey || ',' ELSE '' END || 'email:a@' || o_custkey AS names, "
     "CASE key_type WHEN 'Ed25519' THEN '256' WHEN 'Ed448' THEN '448' WHEN 'X25519' THEN '255' WHEN 'RSA' THEN key_size::VARCHAR WHEN 'EC' THEN '256' END AS key_size, "
-    f"CASE WHEN key_type = 'EC' THEN 'secp256r1' END AS curve, is_ca, 'cert: ' || left(subject, 80) || ' | key=' || key_type || ' | sig=' || {_SIGNATURE} AS raw_signal, "
+    f"CASE WHEN key_type = 'EC' THEN 'secp256r1' END AS curve, is_ca, 'cert: ' || subject || ' | key=' || key_type || ' | sig=' || {_SIGNATURE} AS raw_signal, "
     "printf('%X', serial) AS serial_number FROM certificate_facts", "certificate_facts"))
 def d32(spark, d):
     at = lambda k: F.try_element_at("key_params", F.lit(k)).alias(k)
@@ -344,7 +344,7 @@ def symbol_algorithm(column: str) -> str:
     whens = " ".join(
         f"WHEN {' OR '.join(f'''contains(lower({column}), {quoted(n)})''' for n in needles)} THEN {quoted(value)}" for needles, value in vocab.SYMBOL_ALGORITHMS
     )
-    return f"CASE {whens} ELSE left({column}, 40) END"
+    return f"CASE {whens} ELSE {column} END"
 
 
 cte(
@@ -471,7 +471,7 @@ def d42(spark, d):
 
 
 @query("d43_image_packages", sql(
-    "SELECT path, line, pkg AS package_name, pkg || ' installed in Dockerfile (line ' || line || '): ' || left(line_text, 60) AS raw_signal, 0 AS hints FROM live_lines, (VALUES "
+    "SELECT path, line, pkg AS package_name, pkg || ' installed in Dockerfile (line ' || line || '): ' || line_text AS raw_signal, 0 AS hints FROM live_lines, (VALUES "
     + ", ".join(f"({quoted(p)}, {regexp(rf'(?i)\b{re.escape(p)}(-dev|-devel|[0-9._-]*)?\b')})" for p in vocab.IMAGE_FILE_PACKAGES)
     + ") v(pkg, pattern) WHERE regexp_matches(line_text, pattern)", "live_lines"))
 def d43(spark, d):

@@ -19,18 +19,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Over all cores when a table comes in fewer splits than there are cores (files of one row group).
-
-    Only for plain scans; a large table has more splits than cores and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-LARGE_TABLES = ("documents", "events")
-
-
 @dataclass(frozen=True)
 class Projection:
     name: str
@@ -42,8 +30,6 @@ class Projection:
         df = table(spark, folder, self.source)
         if self.where:
             df = df.filter(self.where)
-        if self.source in LARGE_TABLES:
-            df = spread(df)
         return df.selectExpr(*self.columns)
 
     def register(self) -> Projection:
@@ -137,7 +123,7 @@ cte(
 SELECT *, CASE WHEN evidence_class = 'algorithm' THEN sha256(scan_id || '#' || canonical || '#' || surface) END AS asset_id
 FROM (
   SELECT h.scan_id, h.ord, h.source_type, h.file_path || ':' || h.line AS source_location, h.detector,
-    left(h.raw_signal, 500) AS raw_signal, h.hint, h.roles, h.confidence, h.finding_id,
+    h.raw_signal AS raw_signal, h.hint, h.roles, h.confidence, h.finding_id,
     sha256(h.scan_id || '#' || h.finding_id || '#' || h.hint) AS evidence_id,
     coalesce(a.canonical, nullif(trim(h.hint), ''), 'UNKNOWN') AS canonical,
     coalesce(a.family, 'unknown') AS family, coalesce(a.quantum_status, 'unknown') AS quantum_status,

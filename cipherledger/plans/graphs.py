@@ -243,7 +243,7 @@ def j11(spark, d):
 
 
 @query("s12_stored_graph", sql(
-    "SELECT e.edge_id, left(s.label, 500) AS src_label, left(t.label, 500) AS dst_label FROM edges e "
+    "SELECT e.edge_id, s.label AS src_label, t.label AS dst_label FROM edges e "
     "JOIN nodes s ON s.node_id = e.src JOIN nodes t ON t.node_id = e.dst", "edges", "nodes"))
 def s12(spark, d):
     from cipherledger.sources.store import store_graph

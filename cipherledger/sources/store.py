@@ -57,7 +57,7 @@ def store_graph(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFram
 
     base = f"{path}-{uuid.uuid4().hex}"
     spark = nodes.sparkSession
-    nodes.withColumn("label", F.substring("label", 1, 500)).write.parquet(f"{base}/nodes")
+    nodes.write.parquet(f"{base}/nodes")
     kept = spark.read.schema(nodes.schema).parquet(f"{base}/nodes")
     valid = valid_edges(edges, kept).select(*edges.columns)
     valid.write.parquet(f"{base}/edges")

@@ -39,7 +39,7 @@ def _rows(columns, rows):
 
 def compare(spark, con, folder: str, plan, oracle: str) -> tuple[bool, str]:
     df = plan(spark, folder)
-    got = df.toPandas() if False else df.collect()
+    got = df.collect()
     cur = con.execute(oracle)
     cols = [c[0] for c in cur.description]
     want = cur.fetchall()

@@ -219,3 +219,25 @@ def test_landing_stream_equals_batch(spark, tmp_path):
     batch = discover(spark.read.parquet(str(tmp_path / "in")))
     key = lambda df: sorted((r.file_path, r.line, r.detector, r.raw_signal) for r in df.collect())
     assert key(streamed) == key(batch) and streamed.count() > 5
+
+
+def test_runs_do_not_depend_on_partitions_or_earlier_landings(spark, tmp_path):
+    twice = 'import hashlib\nh = hashlib.md5(b"x"); g = hashlib.md5(b"x")\nALGO = "RS256"; other_algo = "ES256"\n'
+    raw = spark.createDataFrame([*SOURCES, ("s2", "twice.py", twice)], "scan_id string, path string, content string")
+    seen = []
+    for parts in (1, 7):
+        found = discover(land_files(raw.repartition(parts), str(tmp_path / "again")))
+        result = analyze(found.repartition(parts * 2))
+        evidence = result.evidence.collect()
+        assert len({r.evidence_id for r in evidence}) == len(evidence) >= 10
+        seen.append((sorted(r.evidence_id for r in evidence), sorted(map(str, result.assets.collect()))))
+    assert seen[0] == seen[1]
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from cipherledger import session
+
+    path = session.written(spark.range(3), "kept").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and session.clear_written(spark) > 0 and not os.path.exists(path)
