@@ -7,6 +7,7 @@ so edges are a projection of evidence rows and need no join.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -201,21 +202,22 @@ def collapse_parallel(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct()
 
 
-def blast_radius(edges: DataFrame, origins: DataFrame, max_depth: int = 10) -> DataFrame:
+def blast_radius(edges: DataFrame, origins: DataFrame, max_depth: int | None = 10) -> DataFrame:
     """Dependents of every origin: (origin, node, depth) with the smallest depth, origin excluded.
 
     Level by level for all origins at once.  Each level joins the frontier with
     the edges, removes what is already reached and is written to the shared
     folder, so a lost executor costs one level at most.  Stops when a level is
-    empty.  Origins that no edge touches simply have no rows.
+    empty, or at ``max_depth`` if one is given; ``unfinished`` tells which origins
+    go on beyond it.  Origins that no edge touches simply have no rows.
     """
-    if not 1 <= max_depth <= 20:
-        raise ValueError("max_depth must be between 1 and 20")
+    if max_depth is not None and max_depth < 1:
+        raise ValueError("max_depth must be at least 1")
     steps = written(collapse_parallel(edges).filter("src <> dst"), "edges")
     start = origins.select(F.col("origin"), F.col("origin").alias("node")).distinct()
     levels: list[DataFrame] = []
     frontier = start
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = (
             frontier.select("origin", F.col("node").alias("dst"))
             .join(steps, "dst")
@@ -235,6 +237,13 @@ def blast_radius(edges: DataFrame, origins: DataFrame, max_depth: int = 10) -> D
     return reduce(DataFrame.unionByName, levels)
 
 
+def unfinished(edges: DataFrame, radius: DataFrame, max_depth: int) -> DataFrame:
+    """Origins with dependents further away than ``max_depth``."""
+    last = radius.filter(F.col("depth") == max_depth).select("origin", F.col("node").alias("dst"))
+    beyond = last.join(collapse_parallel(edges), "dst").select("origin", F.col("src").alias("node")).filter("origin <> node")
+    return beyond.join(radius, ["origin", "node"], "left_anti").select("origin").distinct()
+
+
 def affected_counts(radius: DataFrame, origins: DataFrame) -> DataFrame:
     """Number of affected nodes and deepest level for each origin, 0 when nothing depends on it."""
     counts = radius.groupBy("origin").agg(F.count("*").alias("affected_count"), F.max("depth").alias("reached_depth"))
