@@ -8,11 +8,11 @@ fits a segment of L (the multi-match window); the hash of (L, segment number,
 substring) is a bucket key, and a line's own segments are among them. Only keys that
 two different lines share are kept.
 
-Inside a bucket all lines are held against one pivot, then another; lines that share
-a component need no more comparison. What is left across components is compared
-under a test that never rejects a pair within reach: lengths differ by at most EDITS,
-and the parities of 64 character classes in at most 2 * EDITS bits. Pairs are
-verified by banded bit-parallel edit distance: one word of 2 * EDITS + 1 bits per
+Inside a bucket all lines are held against one pivot, the line that meets most others,
+then another; lines that share a component need no more comparison. What is left across
+components is compared under a test that never rejects a pair within reach: lengths
+differ by at most EDITS, and the parities of 64 classes of characters and of neighbour
+pairs in at most 2 * EDITS and 4 * EDITS bits. Pairs are verified by banded bit-parallel edit distance: one word of 2 * EDITS + 1 bits per
 column holds the band. Classes are the connected components of verified pairs; lines
 below MIN_LINE are classes of equal lines.
 
@@ -43,35 +43,31 @@ PIVOTS = 2
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, low (two smallest line hashes), pos, line, h of every line."""
+    """doc_id, text_hash, low (smallest line hash), next_low (the one after it), pos, line, h of every line."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("lines"))
-    low = F.slice(F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))), 1, 2)
-    flat = whole.select("doc_id", "text_hash", low.alias("low"), F.posexplode("lines").alias("pos", "line"))
+    hashed = whole.withColumn("hs", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("low", F.array_min("hs"))
+    second = F.array_min(F.filter("hs", lambda x: x != F.col("low")))
+    flat = hashed.select("doc_id", "text_hash", "low", second.alias("next_low"), F.posexplode("lines").alias("pos", "line"))
     return flat.withColumn("h", F.xxhash64("line"))
 
 
-def _keys(line: str) -> F.Column:
-    """Bucket keys of a line: for each partner length the substrings that could be one of its segments."""
-    n, out = F.length(line), []
+def _keys() -> F.Column:
+    """Bucket keys of a line ``u`` (four bytes a character): for each partner length the substrings that could be one of its segments."""
+    n, out = "(octet_length(u) div 4)", []
     for less in range(EDITS + 1):
-        size = n - less
+        size = f"({n} - {less})"
         for k in range(EDITS + 1):  # segment k of a line of length ``size``
-            start = F.floor(size * k / (EDITS + 1)).cast("int")
-            end = F.floor(size * (k + 1) / (EDITS + 1)).cast("int")
+            start = f"cast({size} * {k} div {EDITS + 1} as int)"
+            end = f"cast({size} * {k + 1} div {EDITS + 1} as int)"
             left, right = k, EDITS - k
             for shift in range(max(-left, less - right), min(left, less + right) + 1):
-                # places outside the line hold no segment; they fall on the key of a shorter substring, which no segment has
-                out.append(F.xxhash64(size, F.lit(k), end - start, F.substring(line, start + shift + 1, end - start)))
-    return F.array(*out)
-
-
-def _chars(column: str) -> F.Column:
-    return F.filter(F.split(column, ""), lambda c: c != "")
+                out.append(f"xxhash64({size}, {k}, substring(u, 4 * ({start} + {shift}) + 1, 4 * ({end} - {start})))")
+    return F.expr(f"array({', '.join(out)})")
 
 
 def edit_distance_within(a: str, b: str, most: int = EDITS) -> F.Column:
-    """Whether two character arrays (columns) of more than ``most`` characters, lengths at most ``most`` apart, are within ``most`` edits.
+    """Whether two strings (columns) of more than ``most`` characters, lengths at most ``most`` apart, are within ``most`` edits.
 
     The band of a column is one word; bit i stands for the row i - most from the diagonal.
     Until the band's lower edge reaches the last row the distance is followed along that
@@ -79,61 +75,81 @@ def edit_distance_within(a: str, b: str, most: int = EDITS) -> F.Column:
     """
     width = 2 * most + 1
     mask = (1 << width) - 1
-    same = " | ".join(f"if(get({a}, s.i + {i - most}) = other_char, {1 << i}, 0)" for i in range(width))  # outside the line: 0
+    same = " | ".join(f"if(get(first_chars, s.i + {i - most}) = other_char, {1 << i}, 0)" for i in range(width))  # outside the line: 0
 
     def let(name: str, value: str, body: str) -> str:
         return f"transform(array({value}), {name} -> {body})[0]"
 
-    bottom = f"shiftright({1 << (width - 2)}, greatest(0, s.i - (size({a}) - {most})))"
+    bottom = f"shiftright({1 << (width - 2)}, greatest(0, s.i - (size(first_chars) - {most})))"
     along = f"if((d & {1 << (width - 1)}) = 0, 1, 0)"
     across = f"if((hp & {bottom}) != 0, 1, 0) - if((hn & {bottom}) != 0, 1, 0)"
     after = (
         "named_struct('i', s.i + 1, "
         f"'vp', (hn | ~(shiftright(d, 1) | hp)) & {mask}, 'vn', shiftright(d, 1) & hp, "
-        f"'dist', s.dist + if(s.i < size({a}) - {most}, {along}, {across}))"
+        f"'dist', s.dist + if(s.i < size(first_chars) - {most}, {along}, {across}))"
     )
     step = let(
         "m", same,
         let("d", f"((((m & s.vp) + s.vp) ^ s.vp) | m | s.vn) & {mask}", let("hp", f"(s.vn | ~(d | s.vp)) & {mask}", let("hn", "d & s.vp", after))),
     )
     start = f"named_struct('i', 0, 'vp', {(mask << most) & mask}, 'vn', 0, 'dist', {most})"
-    return F.expr(f"aggregate({b}, {start}, (s, other_char) -> {step}, s -> s.dist <= {most})")
+    chars = lambda x: f"filter(split({x}, ''), c -> c != '')"
+    whole = f"aggregate({chars(b)}, {start}, (s, other_char) -> {step}, s -> s.dist <= {most})"
+    return F.expr(let("first_chars", chars(a), whole))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left = texts.select(F.col("h").alias("a"), F.col("chars").alias("x"))
-    right = texts.select(F.col("h").alias("b"), F.col("chars").alias("y"))
-    return pairs.join(left, "a").join(right, "b").filter(edit_distance_within("x", "y")).select("a", "b")
+    left = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
+    right = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
+    return pairs.join(left, "a").join(right, "b").filter(edit_distance_within("line_a", "line_b")).select("a", "b")
+
 
+def _parity(items: F.Column) -> F.Column:
+    """Which of 64 classes of items occur an odd number of times."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c), F.lit(64)).cast("int"))
+    return F.aggregate(items, F.lit(0).cast("long"), lambda p, c: p.bitwiseXOR(bit(c)))
 
-def _may_match(size, other_size, parity, other_parity) -> F.Column:
-    return (F.abs(size - other_size) <= EDITS) & (F.bit_count(parity.bitwiseXOR(other_parity)) <= 2 * EDITS)
+
+def _may_match(x: str, y: str) -> F.Column:
+    """A test that never fails for lines within EDITS: an edit changes two characters and four pairs of neighbours at most."""
+    near = F.abs(F.col(f"{x}size") - F.col(f"{y}size")) <= EDITS
+    for name, each in (("ones", 2), ("twos", 4)):
+        near &= F.bit_count(F.col(f"{x}{name}").bitwiseXOR(F.col(f"{y}{name}"))) <= each * EDITS
+    return near
 
 
 def _pivots(m: DataFrame, turn: int) -> DataFrame:
-    rank = F.col("h") if turn == 0 else F.xxhash64("h", F.lit(turn))
-    pivot = F.min_by(F.struct("h", "label", "size", "parity"), rank).alias("p")
+    rank = F.struct(-F.col("met"), F.col("h")) if turn == 0 else F.xxhash64("h", F.lit(turn))
+    pivot = F.min_by(F.struct("h", "label", "size", "ones", "twos"), rank).alias("p")
     buckets = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), pivot).filter("lo != hi").select("bucket", "p")
-    near = (F.col("label") != F.col("p.label")) & _may_match(F.col("size"), F.col("p.size"), F.col("parity"), F.col("p.parity"))
+    near = (F.col("label") != F.col("p.label")) & _may_match("", "p.")
     return m.join(buckets, "bucket").filter(near).select(F.col("h").alias("a"), F.col("p.h").alias("b")).distinct()
 
 
-def _across(m: DataFrame) -> DataFrame:
-    """Pairs across components inside buckets: lines outside a bucket's largest component against all others."""
+def _across(m: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across components inside buckets: lines outside a bucket's largest component against all others.
+
+    Pairs are verified in the join itself, in the first bucket that both lines share, so
+    only links come out of it.
+    """
     parts = m.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     whole = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    m = m.join(whole.select("bucket", "main"), "bucket")
-    x = m.filter("label != main").select("bucket", F.col("h").alias("a"), F.col("label").alias("la"), F.col("size").alias("na"), F.col("parity").alias("pa"))
-    y = m.select("bucket", F.col("h").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"), F.col("parity").alias("pb"))
-    near = (F.col("la") != F.col("lb")) & _may_match(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"))
-    met = x.join(y, (x["bucket"] == y["bucket"]) & near)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    m = m.join(whole.select("bucket", "main"), "bucket").join(texts.select("h", "line", "buckets"), "h")
+    columns = ["h", "label", "size", "ones", "twos", "line", "buckets"]
+    x = m.filter("label != main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = m.select(F.col("bucket").alias("y_bucket"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    first = F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("bucket")
+    near = (F.col("x_label") != F.col("y_label")) & _may_match("x_", "y_") & first & edit_distance_within("x_line", "y_line")
+    met = x.join(y, (F.col("bucket") == F.col("y_bucket")) & near)
+    return met.select(F.least("x_h", "y_h").alias("a"), F.greatest("x_h", "y_h").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame | None:
     """(h, class) of lines that have a near but different line; None if there is none."""
     long = _lines(docs).filter(F.length("line") >= MIN_LINE).select("h", "line")
-    keys = long.select("h", F.explode(_keys("line")).alias("bucket"))
+    # made once and read twice: to find the keys that lines share, and the lines that have them
+    keyed = written(long.select("h", F.encode("line", "UTF-32").alias("u")).select("h", _keys().alias("buckets")), "keys")
+    keys = keyed.select("h", F.explode("buckets").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("bucket")
     shared = written(shared, "shared")
     if shared.isEmpty():
@@ -141,19 +157,22 @@ def classes(docs: DataFrame) -> DataFrame | None:
     hit = written(bitmap.bits(shared.select(F.col("bucket").alias("h"))), "bits")
     asked = keys.filter(bitmap.holds(hit, F.col("bucket")))
     members = written(asked.join(shared, "bucket").distinct(), "members")
-    hit = written(bitmap.bits(members.select("h")), "bits")
-    texts = long.filter(bitmap.holds(hit, F.col("h"))).join(members.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
-    texts = texts.select("h", F.length("line").alias("size"), _chars("line").alias("chars"))
-    parity = F.aggregate("chars", F.lit(0).cast("long"), lambda p, c: p.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
-    texts = written(texts.withColumn("parity", parity), "lines")
-    members = written(members.join(texts.select("h", "size", "parity"), "h"), "members")
+    # a line meets as many others as its buckets hold
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"))
+    own = members.join(sizes, "bucket").groupBy("h").agg(F.sum("n").alias("met"), F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    own = written(own, "met")
+    hit = written(bitmap.bits(own.select("h")), "bits")
+    texts = long.filter(bitmap.holds(hit, F.col("h"))).join(own, "h").dropDuplicates(["h"]).withColumn("size", F.length("line"))
+    texts = texts.withColumn("chars", F.filter(F.split("line", ""), lambda c: c != ""))
+    pairs = F.transform(F.slice("chars", 2, F.size("chars")), lambda c, i: F.concat(F.get("chars", i), c))
+    texts = written(texts.withColumn("ones", _parity(F.col("chars"))).withColumn("twos", _parity(pairs)).drop("chars"), "lines")
+    members = written(members.join(texts.select("h", "size", "ones", "twos", "met"), "h"), "members")
     found, labels = None, None
     for turn in range(PIVOTS + 1):
         m = members.withColumn("label", F.col("h"))
         if labels is not None:
             m = members.join(labels, "h", "left").withColumn("label", F.coalesce("class", "h"))
-        pairs = _pivots(m, turn) if turn < PIVOTS else _across(m)
-        new = written(_verified(pairs, texts), "links")
+        new = written(_verified(_pivots(m, turn), texts) if turn < PIVOTS else _across(m, texts), "links")
         if new.isEmpty():
             continue
         found = new if found is None else found.unionByName(new)
@@ -164,14 +183,15 @@ def classes(docs: DataFrame) -> DataFrame | None:
 def decisions(docs: DataFrame, spread: float = SPREAD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, n_lines, n_near of every row; doc_id, text_hash, pos, repeat of removed lines)."""
     named = classes(docs)
-    flat = _lines(docs).select("doc_id", "text_hash", "low", "pos", "h", F.length("line").alias("size"), F.col("line").rlike(r"\S").alias("solid"))
+    solid = F.btrim("line", F.lit(" \t\x0b\f\r")) != ""
+    flat = _lines(docs).select("doc_id", "text_hash", "low", "next_low", "pos", "h", F.length("line").alias("size"), solid.alias("solid"))
     flat = flat.withColumn("near", F.lit(False)).withColumn("class", F.col("h")) if named is None else (
         flat.join(named, "h", "left").withColumn("near", F.col("class").isNotNull()).withColumn("class", F.coalesce("class", "h"))
     )
     flat = written(flat, "occurrences")
     own = Window.partitionBy("doc_id", "text_hash", "class")
     placed = flat.filter("solid").withColumn("first", F.min("pos").over(own)).withColumn("repeat", F.col("pos") > F.col("first"))
-    key = F.coalesce(F.when(F.col("low")[0] == F.col("h"), F.get("low", F.lit(1))).otherwise(F.col("low")[0]), F.col("text_hash"))
+    key = F.coalesce(F.when(F.col("low") == F.col("h"), F.col("next_low")).otherwise(F.col("low")), F.col("text_hash"))
     first = flat.filter(f"solid and size >= {MIN_LINE}").select("class", key.alias("key"), F.struct("doc_id", "text_hash").alias("doc"))
     groups = first.groupBy("class", "key").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
     total = F.sum("n").cast("double")

@@ -125,8 +125,8 @@ def test_banded_distance(spark):
             b[i : i + rng.randint(0, 1)] = rng.choice(["", "a", "b", "é"])
         b = "".join(b)
         if abs(len(a) - len(b)) <= 2 and len(b) > 2:
-            pairs.append((list(a), list(b), brute.distance(a, b) <= 2))
-    df = spark.createDataFrame(pairs, "x array<string>, y array<string>, near boolean")
+            pairs.append((a, b, brute.distance(a, b) <= 2))
+    df = spark.createDataFrame(pairs, "x string, y string, near boolean")
     assert df.filter(line_dedup.edit_distance_within("x", "y") != df.near).count() == 0
 
 
