@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cipherledger.llm import bpe, decontaminate, language, line_dedup, near_dedup
 from cipherledger.session import written
 
-SURE = 0.4  # the least share of positions that must speak for a document's language
+SURE = 0.3  # the least share of positions that must speak for a document's language
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
