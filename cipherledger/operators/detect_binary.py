@@ -12,6 +12,7 @@ from cipherledger.operators.inventory import first_of_key
 
 ROLES = ["capability", "observed"]
 ANY_SYMBOL = "(?i)" + "|".join(vocab.BINARY_SYMBOLS)
+ANY_STRING = "(?i)" + "|".join(vocab.BINARY_SYMBOLS + vocab.BINARY_STRINGS)
 
 
 def _roles() -> Column:
@@ -48,6 +49,8 @@ def string_matches(files: DataFrame) -> DataFrame:
             for p in vocab.BINARY_SYMBOLS + vocab.BINARY_STRINGS
         ]
     )
+    # one pass tells most binaries apart from those worth a pass for each pattern
+    found = F.when(F.rlike("_t", F.lit(ANY_STRING)), found)
     rows = each_with_position(small, [*keys, "file_size", "file_type"], found, "ord", "signal")
     return rows.withColumn("algorithm_hint", algorithm_of_symbol(F.col("signal")))
 

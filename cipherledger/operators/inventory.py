@@ -158,6 +158,16 @@ def page(rows: DataFrame, order: list, number: int = 1, size: int = 50) -> DataF
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, order: list[str], last: tuple | None = None, size: int = 50) -> DataFrame:
+    """The rows that follow the key ``last`` in order; a page costs one bounded top-k, however far it is.
+
+    The columns of ``order`` are a unique key without nulls; None asks for the first page.
+    """
+    if last is not None:
+        rows = rows.filter(F.struct(*order) > F.struct(*[F.lit(v) for v in last]))
+    return rows.orderBy(*order).limit(size)
+
+
 def top_rows(rows: DataFrame, order: list, k: int) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 

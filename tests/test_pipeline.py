@@ -241,3 +241,25 @@ def test_intermediate_tables_are_deleted(spark):
 
     path = session.written(spark.range(3), "kept").inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path) and session.clear_written(spark) > 0 and not os.path.exists(path)
+
+
+def test_pages_by_last_key(spark):
+    from cipherledger.operators import inventory
+
+    rows = spark.createDataFrame([(f"s{i % 3}", i) for i in range(25)], "scan_id string, n int")
+    seen, last = [], None
+    while page := inventory.page_after(rows, ["scan_id", "n"], last, 10).collect():
+        seen += page
+        last = tuple(page[-1])
+    assert seen == rows.orderBy("scan_id", "n").collect()
+
+
+def test_open_radius(spark):
+    from cipherledger.operators import graph
+
+    edges = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, 26)], "src string, dst string")
+    origins = spark.createDataFrame([("n0",)], "origin string")
+    assert graph.blast_radius(edges, origins, None).count() == 25
+    short = graph.blast_radius(edges, origins, 4)
+    assert short.count() == 4 and graph.unfinished(edges, short, 4).count() == 1
+    assert graph.unfinished(edges, graph.blast_radius(edges, origins, None), 25).count() == 0
