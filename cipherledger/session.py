@@ -38,14 +38,23 @@ def shared_folder(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []  # intermediate tables of this process
 
 
-def clear_written(spark: SparkSession) -> int:
-    """Delete all intermediate tables; to be called when no result that reads them is needed any more."""
+def written_so_far() -> int:
+    """How many intermediate tables this process has written and not yet deleted."""
+    return len(_WRITTEN)
+
+
+def clear_written(spark: SparkSession, start: int = 0, keep: int = 0) -> int:
+    """Delete intermediate tables from the ``start``-th on, but for the last ``keep``.
+
+    To be called when no result that reads them is needed any more.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    gone = _WRITTEN[start : len(_WRITTEN) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-    return n
+    del _WRITTEN[start : len(_WRITTEN) - keep]
+    return len(gone)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
