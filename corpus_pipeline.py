@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cipherledger.llm import bpe, decontaminate, language, line_dedup, near_dedup
-from cipherledger.session import written
+from cipherledger.session import clear_written, written, written_so_far
 
 SURE = 0.3  # the least share of positions that must speak for a document's language
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -64,8 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; of the intermediate tables the last one stays."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), written_so_far()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
+        clear_written(spark, start, keep=1)
     return docs

@@ -10,7 +10,6 @@ SCHEMA = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, kept string, h int, pos int, hits string,"
     " n_words string, label string, spans string, bucket string, score string, node int, _row int"
 )
-SMALL = "/root/testdata/sf0.001"
 
 
 def _frame(spark, rows):

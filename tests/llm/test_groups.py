@@ -5,7 +5,7 @@ import random
 
 import brute
 import pytest
-from conftest import SMALL
+from brute import SMALL
 
 from cipherledger.llm import components, line_dedup, near_dedup
 
