@@ -101,7 +101,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set of the wanted nodes (node, doc_id, d1, d2): texts are read again and not shuffled."""
+    """node, sig, set of the wanted nodes (node, doc_id, d1, d2, sig): texts are read again and not shuffled."""
     import pyarrow as pa
 
     key = F.xxhash64(F.col("doc_id").cast("string"))
@@ -123,7 +123,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["d1", "d2", "set"])
 
     found = docs.select(key, F.col("text").cast("string")).mapInArrow(run, "d1 bigint, d2 bigint, set array<bigint>")
-    return written(found.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "set").dropDuplicates(["node"]), "sets")
+    return written(found.join(wanted.select("node", "d1", "d2", "sig"), ["d1", "d2"]).select("node", "sig", "set").dropDuplicates(["node"]), "sets")
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
@@ -159,18 +159,20 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _pivot_pairs(m: DataFrame, turn: int) -> DataFrame:
+def _pivot_pairs(m: DataFrame, turn: int, sets: DataFrame) -> DataFrame:
     """In every bucket of several components all nodes against one, the same one in as many buckets as possible.
 
     At first that is the node that meets most others: copies of a text with edits of
     their own meet it more often than each other.
     """
     rank = F.struct(-F.col("met"), F.col("node")) if turn == 0 else F.xxhash64("node", F.lit(turn))
-    pivot = F.min_by(F.struct("node", "label", "size", "sig"), rank).alias("p")
+    pivot = F.min_by(F.struct("node", "label", "size"), rank).alias("p")
     buckets = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), pivot).filter("lo != hi")
     met = m.join(buckets.select("bucket", "p"), "bucket").filter((F.col("label") != F.col("p.label")) & _size_fits("size", "p.size"))
-    pairs = met.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("sig").alias("sig_a"), F.col("p.sig").alias("sig_b"))
-    return pairs.dropDuplicates(["a", "b"])
+    pairs = met.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+    # rows of buckets stay narrow: signatures join the distinct pairs
+    left, right = (sets.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b")
 
 
 class _Roots(dict):
@@ -250,11 +252,11 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     meets = narrow.groupBy("node").agg(F.sum("n").alias("met"))
     wanted = written(nodes.drop("bands").join(meets, "node"), "candidates")
     sets = _sets(docs, wanted)
-    members = written(narrow.drop("n").join(wanted.select("node", "met", F.col("n_shingles").alias("size"), "sig"), "node"), "members")
+    members = written(narrow.drop("n").join(wanted.select("node", "met", F.col("n_shingles").alias("size")), "node"), "members")
     found, labels = None, None
     for turn in range(PIVOTS + 1):
         m = _labelled(members, labels)
-        new = _confirmed(_alike(_pivot_pairs(m, turn)), sets) if turn < PIVOTS else _left_over(m, sets)
+        new = _confirmed(_alike(_pivot_pairs(m, turn, sets)), sets) if turn < PIVOTS else _left_over(m, sets)
         new = written(new, "links")
         if new.isEmpty():
             continue
