@@ -68,7 +68,7 @@ def main() -> None:
         times[name] = round(statistics.median(run(QUERIES[name], spark, folder) for _ in range(again)), 3)
     result = {
         "metric": "headline_total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "lab": lab(spark) if not os.environ.get("BENCH_QUERIES") else {},
+        "lab": lab(spark) if os.environ.get("BENCH_LAB") else {},
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
     }
     print(json.dumps(result))
