@@ -17,11 +17,12 @@ column holds the band. Classes are the connected components of verified pairs; l
 below MIN_LINE are classes of equal lines.
 
 A line is a repeat if its class stood earlier in the same document, and boilerplate
-if its class is spread over at least SPREAD documents in effect and this is not the
-first of them by doc_id. The effective number is (sum of n)^2 / (sum of n^2) over
-groups of documents that share another line, their smallest line hash; so a group of
-copies or near copies counts about once, and copies stay whole for near-duplicate
-removal. Blank lines and, as boilerplate, lines below MIN_LINE always stay.
+if its class stands in at least SPREAD different texts and this is not the first of
+its documents by doc_id. Equal texts and near copies (word shingles similar to COPY
+percent, connected components) are one text, however many documents they are; so
+copies stay whole for near-duplicate removal, and a large group of copies outweighs
+nothing. Near copies are looked for only among texts with a line of SPREAD unequal
+texts. Blank lines and, as boilerplate, lines below MIN_LINE always stay.
 
 Defined results: null text is one empty line; repeated rows get the same decision;
 a null doc_id comes first; an empty table gives an empty table; other columns pass.
@@ -32,23 +33,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cipherledger.llm import bitmap
+from cipherledger.llm import bitmap, copies
 from cipherledger.llm.components import connected
 from cipherledger.session import written
 
 EDITS = 2
 MIN_LINE = 20
 SPREAD = 3
+COPY = 80  # percent
 PIVOTS = 2
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, low (smallest line hash), next_low (the one after it), pos, line, h of every line."""
+    """doc_id, text_hash, pos, line, h of every line."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     whole = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.split(text, "\n", -1).alias("lines"))
-    hashed = whole.withColumn("hs", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("low", F.array_min("hs"))
-    second = F.array_min(F.filter("hs", lambda x: x != F.col("low")))
-    flat = hashed.select("doc_id", "text_hash", "low", second.alias("next_low"), F.posexplode("lines").alias("pos", "line"))
+    flat = whole.select("doc_id", "text_hash", F.posexplode("lines").alias("pos", "line"))
     return flat.withColumn("h", F.xxhash64("line"))
 
 
@@ -180,23 +180,32 @@ def classes(docs: DataFrame) -> DataFrame | None:
     return labels
 
 
+def _boilerplate(docs: DataFrame, lines: DataFrame, spread: float) -> DataFrame:
+    """class, keeper (its first document) of the classes that stand in at least ``spread`` different texts."""
+    held = lines.groupBy("class", "text_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"))
+    wide = held.groupBy("class").agg(F.count("*").alias("texts"), F.min("doc").alias("keeper")).filter(F.col("texts") >= spread)
+    wide = written(wide.select("class", "keeper"), "wide")
+    held = written(held.select("class", "text_hash").join(wide, "class", "left_semi"), "held")
+    named = copies.near_copies(docs, held.select("text_hash").distinct(), COPY)
+    if named is None:
+        return wide
+    once = held.join(named, "text_hash", "left").select("class", F.coalesce("copy", "text_hash").alias("copy")).distinct()
+    enough = once.groupBy("class").agg(F.count("*").alias("texts")).filter(F.col("texts") >= spread)
+    return written(wide.join(enough, "class", "left_semi"), "boilerplate")
+
+
 def decisions(docs: DataFrame, spread: float = SPREAD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, n_lines, n_near of every row; doc_id, text_hash, pos, repeat of removed lines)."""
     named = classes(docs)
     solid = F.btrim("line", F.lit(" \t\x0b\f\r")) != ""
-    flat = _lines(docs).select("doc_id", "text_hash", "low", "next_low", "pos", "h", F.length("line").alias("size"), solid.alias("solid"))
+    flat = _lines(docs).select("doc_id", "text_hash", "pos", "h", F.length("line").alias("size"), solid.alias("solid"))
     flat = flat.withColumn("near", F.lit(False)).withColumn("class", F.col("h")) if named is None else (
         flat.join(named, "h", "left").withColumn("near", F.col("class").isNotNull()).withColumn("class", F.coalesce("class", "h"))
     )
     flat = written(flat, "occurrences")
     own = Window.partitionBy("doc_id", "text_hash", "class")
     placed = flat.filter("solid").withColumn("first", F.min("pos").over(own)).withColumn("repeat", F.col("pos") > F.col("first"))
-    key = F.coalesce(F.when(F.col("low") == F.col("h"), F.col("next_low")).otherwise(F.col("low")), F.col("text_hash"))
-    first = flat.filter(f"solid and size >= {MIN_LINE}").select("class", key.alias("key"), F.struct("doc_id", "text_hash").alias("doc"))
-    groups = first.groupBy("class", "key").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
-    total = F.sum("n").cast("double")
-    wide = groups.groupBy("class").agg((total * total / F.sum(F.col("n") * F.col("n"))).alias("docs"), F.min("doc").alias("keeper"))
-    wide = written(wide.filter(F.col("docs") >= spread).select("class", "keeper"), "boilerplate")
+    wide = _boilerplate(docs, flat.filter(f"solid and size >= {MIN_LINE}"), spread)
     here = F.struct("doc_id", "text_hash")
     judged = placed.join(wide, "class", "left")
     plate = F.col("keeper").isNotNull() & (F.col("size") >= MIN_LINE) & ~here.eqNullSafe(F.col("keeper"))

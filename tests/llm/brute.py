@@ -54,7 +54,7 @@ def shingles(text, k=5):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
 
-def near_groups(docs: dict):
+def near_groups(docs: dict, similar: int = 85):
     """doc_id -> (set size, component)."""
     sets = {i: shingles(t) for i, t in docs.items()}
     f = Forest(docs)
@@ -63,7 +63,7 @@ def near_groups(docs: dict):
         for j in ids:
             if i < j and sets[i] and sets[j]:
                 both = len(sets[i] & sets[j])
-                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                if 100 * both >= similar * (len(sets[i]) + len(sets[j]) - both):
                     f.join(i, j)
     return {i: (len(sets[i]), f.root(i)) for i in ids}
 

@@ -114,6 +114,43 @@ def test_lines(frame, lined, no_rows):
     assert line_dedup.removed(no_rows).collect() == [] and line_dedup.cleaned(no_rows).count() == 0
 
 
+def test_boilerplate_counts_different_texts(frame, vocabulary, no_rows):
+    rng = random.Random(21)
+    line = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    own = lambda n=4: [line(12) for _ in range(n)]
+    head, foot, skewed, often, rare = line(9), line(9), line(9), line(9), line(9)
+    texts = [[*own(), head, foot] for _ in range(30)]  # two lines together
+    texts += [[*own(), head, "the end", foot] for _ in range(30)]
+    group = own(30)
+    texts += [[*group, skewed] for _ in range(200)]  # one large group of copies and near copies
+    for i in range(60):
+        near = list(group)
+        near[i % 30] = f"{near[i % 30]} {line(1 + i % 2)}"
+        texts.append([*near, skewed])
+    texts += [[*own(), skewed] for _ in range(12)]
+    texts += [[*own(), *[often] * 500]] + [[*own(), often] for _ in range(20)]
+    texts += [[*own(), rare] for _ in range(2)]
+    rows = [(i, "\n".join(x), "en", "s") for i, x in enumerate(texts)]
+    classes, _ = brute.line_classes({x for t in texts for x in t})
+    same = brute.near_groups({i: t for i, t, *_ in rows}, 80)
+    holders = {}
+    for i, t in enumerate(texts):
+        for x in t:
+            if len(x) >= 20:
+                holders.setdefault(classes[x], set()).add(i)
+    plates = {c for c, ids in holders.items() if len({same[i][1] for i in ids}) >= 3}
+    assert {classes[x] for x in (head, foot, skewed, often)} <= plates and classes[rare] not in plates
+    assert not {classes[x] for x in group} & plates
+    for r in line_dedup.removed(frame(rows)).collect():
+        t, gone, seen = texts[r.doc_id], set(), set()
+        for k, x in enumerate(t):
+            c = classes[x]
+            if c in seen or (c in plates and min(holders[c]) < r.doc_id):
+                gone.add(k)
+            seen.add(c)
+        assert r.removed == ",".join(map(str, sorted(gone)))
+
+
 def test_banded_distance(spark):
     rng = random.Random(13)
     pairs = []
