@@ -2,8 +2,9 @@
 
 A document's set is its distinct SHINGLE-word shingles, as 64-bit hashes. LANES
 multiply-shift minima make the signature; BANDS bands of ROWS lanes make bucket
-keys. At a Jaccard similarity of 0.85 two documents miss all buckets with
-probability (1 - 0.85^5)^30 = 2e-8.
+keys. Two documents are near copies from a Jaccard similarity of ``similar`` percent
+on (SIMILAR unless given); at 0.85 they miss all buckets with probability
+(1 - 0.85^5)^30 = 2e-8, at 0.8 with 7e-6.
 
 Equal sets collapse first, by a 128-bit digest, so a group of copies is one node.
 In every bucket all nodes are then held against one pivot, and against other
@@ -12,8 +13,8 @@ comparison, which keeps a large group of near copies linear. What is left are th
 buckets whose nodes are still in different components: there the nodes outside the
 largest component are compared with all others, signatures first and then full sets,
 in blocks of about BLOCK by BLOCK shingles inside the tasks; only links that join two
-components come out. Every link has passed the signature test (LEAST equal lanes: at
-0.85 missed with probability below 1e-7) and is confirmed on the full sets; links
+components come out. Every link has passed the signature test (``least`` equal lanes,
+missed with probability below MISS) and is confirmed on the full sets; links
 between components are lost by banding or by the signature test alone.
 
 Defined results: null, empty and wordless texts have an empty set and stay alone;
@@ -24,6 +25,8 @@ component are null; an empty table gives an empty table; other columns are ignor
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ BANDS = 30
 ROWS = 5
 LANES = BANDS * ROWS
 SIMILAR = 85  # percent
-LEAST = 101  # equal lanes of LANES
+MISS = 2e-8
 PIVOTS = 2
 BLOCK = 150_000  # shingles on each side of a block
 
@@ -48,6 +51,17 @@ _ROW = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64
 _BAND = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
+def least(similar: int) -> int:
+    """The most equal lanes to ask for that a pair of exactly this similarity misses with probability below MISS."""
+    p, below, n = similar / 100, 0.0, 0
+    while n < LANES:
+        below += math.comb(LANES, n) * p**n * (1 - p) ** (LANES - n)
+        if below >= MISS:
+            break
+        n += 1
+    return n
+
+
 def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingles of a document's word hashes."""
     if not len(h):
@@ -126,30 +140,32 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(found.join(wanted.select("node", "d1", "d2", "sig"), ["d1", "d2"]).select("node", "sig", "set").dropDuplicates(["node"]), "sets")
 
 
-def _alike(pairs: DataFrame) -> DataFrame:
-    """Of (a, b, sig_a, sig_b) the pairs whose signatures agree in LEAST lanes."""
+def _alike(pairs: DataFrame, similar: int) -> DataFrame:
+    """Of (a, b, sig_a, sig_b) the pairs whose signatures agree in enough lanes."""
     import pyarrow as pa
 
+    enough = least(similar)
+
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, LANES) for i in (2, 3))
-            keep = pa.array((x == y).sum(1) >= LEAST) if batch.num_rows else pa.array([], pa.bool_())
+            keep = pa.array((x == y).sum(1) >= enough) if batch.num_rows else pa.array([], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _size_fits(a: str, b: str) -> F.Column:
-    return (100 * F.least(a, b)) >= (SIMILAR * F.greatest(a, b))
+def _size_fits(a: str, b: str, similar: int) -> F.Column:
+    return (100 * F.least(a, b)) >= (similar * F.greatest(a, b))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(left, "a").join(right, "b").filter(100 * both >= SIMILAR * either).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(100 * both >= similar * either).select("a", "b")
 
 
 def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -159,7 +175,7 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _pivot_pairs(m: DataFrame, turn: int, sets: DataFrame) -> DataFrame:
+def _pivot_pairs(m: DataFrame, turn: int, sets: DataFrame, similar: int) -> DataFrame:
     """In every bucket of several components all nodes against one, the same one in as many buckets as possible.
 
     At first that is the node that meets most others: copies of a text with edits of
@@ -168,7 +184,7 @@ def _pivot_pairs(m: DataFrame, turn: int, sets: DataFrame) -> DataFrame:
     rank = F.struct(-F.col("met"), F.col("node")) if turn == 0 else F.xxhash64("node", F.lit(turn))
     pivot = F.min_by(F.struct("node", "label", "size"), rank).alias("p")
     buckets = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), pivot).filter("lo != hi")
-    met = m.join(buckets.select("bucket", "p"), "bucket").filter((F.col("label") != F.col("p.label")) & _size_fits("size", "p.size"))
+    met = m.join(buckets.select("bucket", "p"), "bucket").filter((F.col("label") != F.col("p.label")) & _size_fits("size", "p.size", similar))
     pairs = met.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
     # rows of buckets stay narrow: signatures join the distinct pairs
     left, right = (sets.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
@@ -184,7 +200,7 @@ class _Roots(dict):
         return x
 
 
-def _compared(x, y, band: int) -> list[tuple[int, int]]:
+def _compared(x, y, band: int, similar: int) -> list[tuple[int, int]]:
     """Links between the rows of two frames of one bucket; one link is enough to join two components.
 
     A pair that shares several bands is looked at in the first of them only.
@@ -194,11 +210,11 @@ def _compared(x, y, band: int) -> list[tuple[int, int]]:
     ends = np.cumsum(y["size"].to_numpy())
     starts = ends - y["size"].to_numpy()
     nx, ny, ly, node_y = x["size"].to_numpy(), y["size"].to_numpy(), y.label.to_list(), y.node.to_numpy()
-    roots, found = _Roots(), []
+    roots, found, enough = _Roots(), [], least(similar)
     for k, (own, label) in enumerate(zip(x.set, x.label, strict=True)):
-        near = np.flatnonzero(100 * np.minimum(ny, nx[k]) >= SIMILAR * np.maximum(ny, nx[k]))
+        near = np.flatnonzero(100 * np.minimum(ny, nx[k]) >= similar * np.maximum(ny, nx[k]))
         equal = sy[near] == sx[k]
-        likely = equal.sum(1) >= LEAST
+        likely = equal.sum(1) >= enough
         near, equal = near[likely], equal[likely]
         near = near[equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band]
         mine = roots.of(label)
@@ -210,7 +226,7 @@ def _compared(x, y, band: int) -> list[tuple[int, int]]:
         at = np.minimum(np.searchsorted(own, flat[places]), len(own) - 1)
         sizes = ny[near]
         both = np.add.reduceat((own[at] == flat[places]).astype(np.int64), np.cumsum(sizes) - sizes)
-        for j in np.asarray(near)[100 * both >= SIMILAR * (nx[k] + sizes - both)]:
+        for j in np.asarray(near)[100 * both >= similar * (nx[k] + sizes - both)]:
             other = roots.of(ly[j])
             if other != roots.of(label):
                 roots[other] = roots.of(label)
@@ -218,7 +234,7 @@ def _compared(x, y, band: int) -> list[tuple[int, int]]:
     return found
 
 
-def _left_over(m: DataFrame, sets: DataFrame) -> DataFrame:
+def _left_over(m: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """Links across components inside buckets: nodes outside the largest component against all, in blocks."""
     import pandas as pd
 
@@ -235,14 +251,14 @@ def _left_over(m: DataFrame, sets: DataFrame) -> DataFrame:
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = frame[frame.asks], frame[~frame.asks]
-        found = _compared(x, y, int(frame.band.iloc[0])) if len(x) and len(y) else []
+        found = _compared(x, y, int(frame.band.iloc[0]), similar) if len(x) and len(y) else []
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     grouped = across.select(columns).unionByName(down.select(columns)).groupBy("bucket", "i", "j")
     return grouped.applyInPandas(compare, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+def links(docs: DataFrame, nodes: DataFrame, similar: int = SIMILAR) -> DataFrame | None:
     """(node, component) of nodes that are linked; ``nodes``: node, doc_id, n_shingles, d1, d2, sig, bands."""
     keys = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -256,7 +272,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     found, labels = None, None
     for turn in range(PIVOTS + 1):
         m = _labelled(members, labels)
-        new = _confirmed(_alike(_pivot_pairs(m, turn, sets)), sets) if turn < PIVOTS else _left_over(m, sets)
+        new = _confirmed(_alike(_pivot_pairs(m, turn, sets, similar), similar), sets, similar) if turn < PIVOTS else _left_over(m, sets, similar)
         new = written(new, "links")
         if new.isEmpty():
             continue
@@ -265,7 +281,7 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
     return labels
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id of every row; kept: doc_id is the component's smallest."""
     every = written(features(docs), "features")
     same = every.filter("n_shingles > 0").withColumn("_at", F.monotonically_increasing_id())
@@ -273,7 +289,7 @@ def classes(docs: DataFrame) -> DataFrame:
     named = written(same, "classes")
     unique = every.join(named.select("node", "d1", "d2", "first"), ["d1", "d2"]).filter(F.col("doc_id").eqNullSafe(F.col("first")))
     nodes = unique.select("node", "doc_id", "n_shingles", "d1", "d2", "sig", "bands").dropDuplicates(["node"])
-    labels = links(docs, written(nodes, "nodes"))
+    labels = links(docs, written(nodes, "nodes"), similar)
     if labels is None:
         leaders = named.select("d1", "d2", F.col("first").alias("component_id"))
     else:
@@ -287,8 +303,8 @@ def classes(docs: DataFrame) -> DataFrame:
     return known.select(columns).unionByName(alone.select(columns)).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def unique(docs: DataFrame) -> DataFrame:
+def unique(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """The documents that lead their component, all columns kept; of repeated rows one stays."""
-    known = written(classes(docs).select("doc_id", "text_hash", "kept"), "kept")
+    known = written(classes(docs, similar).select("doc_id", "text_hash", "kept"), "kept")
     once = known.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
     return rows.without(docs, known.filter("not kept"), once)

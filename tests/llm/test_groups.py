@@ -59,6 +59,21 @@ def test_near_groups(frame, families, no_rows):
     assert near_dedup.unique(no_rows).count() == 0
 
 
+def test_near_groups_at_a_lower_similarity(frame, vocabulary):
+    rng = random.Random(31)
+    rows = []
+    for i in range(60):  # pairs around 0.8 and 0.85
+        base = rng.choices(vocabulary, k=100 + i)
+        rows += [(10 * i, " ".join(base), "en", "s"), (10 * i + 1, " ".join(base[: 4 * i % 7 + 88] + rng.choices(vocabulary, k=4 + i // 4)), "en", "s")]
+        rows.append((10 * i + 2, " ".join(base[: len(base) - i % 25]), "en", "s"))
+    texts = {i: t for i, t, *_ in rows}
+    leaders = {x: {c for _, c in brute.near_groups(texts, x).values()} for x in (80, 85)}
+    assert len(leaders[80]) < len(leaders[85])
+    for x, ids in leaders.items():
+        assert {r.doc_id for r in near_dedup.unique(frame(rows), x).collect()} == ids
+    assert (near_dedup.least(85), near_dedup.least(80)) == (101, 91)
+
+
 @pytest.fixture(scope="module")
 def lined(odd_rows, vocabulary):
     rng = random.Random(12)
