@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cipherledger.llm import (
     bpe,
+    clustering,
     decontaminate,
     disclosure,
     language,
@@ -170,3 +171,43 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_line_dedup")
 def near_lines(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.removed(table(spark, folder, "documents"))
+
+
+def _assigned(v: str, c: str, out: str) -> str:
+    """SQL: each vector's nearest centroid; ties go to the smaller number."""
+    return f"""
+    {out} AS (
+      SELECT vec_id, n, v, pick.k AS k, pick.d AS d FROM (
+        SELECT vec_id, n, v, min(struct_pack(d := d, k := k)) AS pick FROM (
+          SELECT a.vec_id, a.n, a.v, c.k, list_sum(list_transform(list_zip(a.v, c.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+          FROM {v} a, {c} c) GROUP BY ALL))"""
+
+
+def _moved(a: str, c: str, out: str) -> str:
+    """SQL: floor of the mean of each component; centroids without vectors stay."""
+    return f"""
+    {out} AS (
+      SELECT c.k, coalesce(m.c, c.c) AS c FROM {c} c LEFT JOIN (
+        SELECT k, list(floor_mean ORDER BY j) AS c FROM (
+          SELECT k, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean
+          FROM (SELECT k, unnest(v)::HUGEINT AS x, generate_subscripts(v, 1) AS j FROM {a}) GROUP BY k, j) GROUP BY k) m USING (k))"""
+
+
+@query(
+    "op13_bit_plane_clusters",
+    """
+    WITH vectors AS (
+      SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS (
+      SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), v) - 1)::INT AS k, v AS c
+      FROM vectors QUALIFY k < 16),"""
+    + ",".join(_assigned("vectors", f"c{i}", f"a{i}") + (("," + _moved(f"a{i}", f"c{i}", f"c{i + 1}")) if i < 3 else "") for i in range(4))
+    + """
+    SELECT vec_id, k AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+      (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a3 JOIN c3 USING (k)
+    """,
+)
+def bit_plane_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.clusters(table(spark, folder, "embeddings"))
