@@ -17,6 +17,7 @@ from cipherledger.llm import (
     license_scan,
     line_dedup,
     near_dedup,
+    packing,
     perplexity,
     quality,
     sharding,
@@ -211,3 +212,8 @@ def _moved(a: str, c: str, out: str) -> str:
 )
 def bit_plane_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.clusters(table(spark, folder, "embeddings"))
+
+
+@query("op11_sequence_packing")
+def sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
