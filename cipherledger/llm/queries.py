@@ -12,6 +12,7 @@ from cipherledger.llm import (
     bpe,
     clustering,
     decontaminate,
+    dialogues,
     disclosure,
     language,
     license_scan,
@@ -217,3 +218,22 @@ def bit_plane_clusters(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_sequence_packing")
 def sequence_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns with planted faults, by a hash of ``conv_id:turn``."""
+    names = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fate = F.crc32(F.concat_ws(":", *names)) % 20
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("role", "text"))
+    rows = conversations.select(
+        "conv_id", "turn", F.when(fate == 4, "user").otherwise(role).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"), fate.alias("fate"),
+    )
+    times = F.explode(F.when(F.col("fate") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.filter("fate != 0").select("conv_id", "turn", "role", "text", times.alias("copy")).drop("copy")
+
+
+@query("op12_dialogue_repair")
+def dialogue_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return dialogues.repair(damaged(conversations), conversations)
