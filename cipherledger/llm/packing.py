@@ -28,6 +28,7 @@ table gives an empty table; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -48,15 +49,79 @@ STEPS = 2000  # simplex steps at most; any step leaves a valid packing
 BLOCKS = 64  # of pieces of one length that are counted apart
 WORDS = 1 << 18  # words in each of the two generations of a worker's cache
 LONG = 64  # longer words are not kept
-TOGETHER = 1 << 12  # new words in one call of the tokenizer
 SLICE = 1 << 21  # characters encoded at once
-MARK = "\0"  # stands between new words; words that contain it are encoded alone
 _SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
 
 # ---------------------------------------------------------------- pieces
 
 
+class Merges:
+    """The merges of a byte-level BPE with word ends, on plain words and many at a time.
+
+    A word is its bytes and one end byte; joining the last byte with it comes before all
+    merges. Tokens then follow from the order of their bytes, as ``tiktoken`` merges them,
+    and a token that ends in the end byte ends a word.
+    """
+
+    # characters that NFC leaves alone, that lower-case one by one, and white space of any tokenizer
+    PLAIN = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u024f]*")
+    WORD_END = "\0"
+
+    def __init__(self, tokenizer: dict):
+        import regex
+        import tiktoken
+
+        model, (split, _) = tokenizer["model"], tokenizer["pre_tokenizer"]["pretokenizers"]
+        self.pattern = regex.compile(split["pattern"]["Regex"])
+        suffix = model["end_of_word_suffix"]
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        hidden = [b for b in range(256) if b not in shown]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+        def raw(token: str) -> bytes:
+            end = token.endswith(suffix)
+            return bytes(byte[c] for c in token.removesuffix(suffix)) + self.WORD_END.encode() * end
+
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        tokens = [bytes([b]) for b in range(256)] + [bytes([b, 0]) for b in range(1, 256)] + [raw(a) + raw(b) for a, b in pairs]
+        ranks: dict[bytes, int] = {}
+        for t in tokens:
+            ranks.setdefault(t, len(ranks))
+        ids = {raw(t): i for t, i in model["vocab"].items()}
+        self.ids = np.array([ids.get(t, 0) for t in ranks], "<u4")
+        self.ends = np.array([t.endswith(b"\0") for t in ranks])
+        self.encoding = tiktoken.Encoding("merges", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+
+    @staticmethod
+    def fits(tokenizer: dict) -> bool:
+        """Whether words can be lower-cased, divided and merged apart from each other."""
+        steps = [n.get("type") for n in (tokenizer["normalizer"] or {}).get("normalizers", [])]
+        cuts = (tokenizer["pre_tokenizer"] or {}).get("pretokenizers", [])
+        model = tokenizer["model"]
+        return (
+            steps == ["NFC", "Replace", "Lowercase"] and [c.get("type") for c in cuts] == ["Split", "ByteLevel"] and not cuts[1]["use_regex"]
+            and not cuts[1]["add_prefix_space"] and model["type"] == "BPE" and bool(model["end_of_word_suffix"])
+            and not (model["dropout"] or model["continuing_subword_prefix"] or model["byte_fallback"] or model["ignore_merges"])
+        )
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words that are PLAIN."""
+        parts, last = [], []
+        for word in words:
+            if word.isalpha():
+                parts.append(word)
+            else:
+                parts += self.pattern.findall(word)
+            last.append(len(parts))
+        if not parts:
+            return [b""] * len(words)
+        ranks = np.array(self.encoding.encode_ordinary(self.WORD_END.join(parts) + self.WORD_END))
+        ends = np.concatenate([[0], np.flatnonzero(self.ends[ranks]) + 1]) * 4
+        raw, bounds = self.ids[ranks].tobytes(), ends[[0, *last]].tolist()
+        return [raw[low:high] for low, high in zip(bounds[:-1], bounds[1:])]
+
+
 class Vocabulary:
     """Ids of texts, as little-endian 32-bit words; the memory for words is bounded by two generations of WORDS."""
 
@@ -66,54 +131,47 @@ class Vocabulary:
 
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        plan = json.loads(data)
+        self.merges = Merges(plan) if Merges.fits(plan) else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        mark = self._ids(MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _learn(self, plain: list[str], rest: list[str]) -> None:
+        """Add words to the young generation."""
+        for words, encode in ((plain, self.merges and self.merges.encode), (rest, self._tokens)):
+            known = [(w, ids) for w in words if (ids := self.old.get(w)) is not None]
+            self.young.update(known)
+            new = [w for w in words if w not in self.young] if known else words
+            self.young.update(zip(new, encode(new), strict=True) if new else ())
 
-    def _learn(self, words: list[str]) -> None:
-        """Add words to the young generation; many go to the tokenizer as one text with marks between them."""
-        new = []
-        for word in words:
-            ids = self.old.get(word)
-            if ids is not None:
-                self.young[word] = ids
-            elif self.mark is None or MARK in word or len(word) > LONG:
-                self.young[word] = self._ids(word).tobytes()
-            else:
-                new.append(word)
-        for at in range(0, len(new), TOGETHER):
-            some = new[at : at + TOGETHER]
-            ids = self._ids(f" {MARK} ".join(some))
-            ends = np.flatnonzero(ids == self.mark)
-            raw, first = ids.tobytes(), 0
-            for word, last in zip(some, [*(4 * ends).tolist(), len(raw)], strict=True):
-                self.young[word] = raw[first:last]
-                first = last + 4
+    def _tokens(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.young) > WORDS:
             self.old, self.young = self.young, {}
-        split = [_split(t) if t else [] for t in texts]
-        missing = [w for w in set().union(*split) if w not in self.young]
-        self._learn(missing)
+        split, plain, rest = [], set(), set()
+        for text in texts:
+            if not text:
+                words = []
+            elif self.merges and Merges.PLAIN.fullmatch(text):
+                words = text.lower().split()
+                plain.update(words)
+            else:
+                words = _SPACE.split(text)
+                rest.update(words)
+            split.append(words)
+        plain = [w for w in plain if w not in self.young]
+        rest = [w for w in rest.difference(plain) if w not in self.young]
+        self._learn(plain, rest)
         out = [b"".join(map(self.young.__getitem__, words)) for words in split]
-        for word in missing:
+        for word in (*plain, *rest):
             if len(word) > LONG:
-                del self.young[word]
+                self.young.pop(word, None)
         return out
 
 
-def _split(text: str) -> list[str]:
-    """Words between white space that the tokenizer, too, takes for white space."""
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return _SPACE.split(text)
-
-
 def _slices(texts: list[str | None]):
     """(first, last) of stretches of about SLICE characters."""
     first, size = 0, 0
