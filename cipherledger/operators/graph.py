@@ -6,14 +6,11 @@ so edges are a projection of evidence rows and need no join.
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import count
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cipherledger.operators import reach
 from cipherledger.operators.normalize import sha_key
-from cipherledger.session import written
 
 NODE_COLUMNS = ["scan_id", "node_id", "node_type", "label", "properties"]
 EDGE_COLUMNS = ["scan_id", "edge_id", "src", "dst", "edge_type", "properties"]
@@ -205,36 +202,11 @@ def collapse_parallel(edges: DataFrame) -> DataFrame:
 def blast_radius(edges: DataFrame, origins: DataFrame, max_depth: int | None = 10) -> DataFrame:
     """Dependents of every origin: (origin, node, depth) with the smallest depth, origin excluded.
 
-    Level by level for all origins at once.  Each level joins the frontier with
-    the edges, removes what is already reached and is written to the shared
-    folder, so a lost executor costs one level at most.  Stops when a level is
-    empty, or at ``max_depth`` if one is given; ``unfinished`` tells which origins
-    go on beyond it.  Origins that no edge touches simply have no rows.
+    The pairs of ``reach.walk``; counts are better taken from the walk itself. Stops when
+    nothing new is reached, or at ``max_depth`` if one is given. Origins that no edge
+    touches simply have no rows.
     """
-    if max_depth is not None and max_depth < 1:
-        raise ValueError("max_depth must be at least 1")
-    steps = written(collapse_parallel(edges).filter("src <> dst"), "edges")
-    start = origins.select(F.col("origin"), F.col("origin").alias("node")).distinct()
-    levels: list[DataFrame] = []
-    frontier = start
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        reached = (
-            frontier.select("origin", F.col("node").alias("dst"))
-            .join(steps, "dst")
-            .select("origin", F.col("src").alias("node"))
-            .filter("origin <> node")
-            .distinct()
-        )
-        if levels:
-            seen = reduce(DataFrame.unionByName, levels).select("origin", "node")
-            reached = reached.join(seen, ["origin", "node"], "left_anti")
-        frontier = written(reached.withColumn("depth", F.lit(depth)), f"level-{depth}")
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    if not levels:
-        return start.withColumn("depth", F.lit(0)).limit(0)
-    return reduce(DataFrame.unionByName, levels)
+    return reach.pairs(reach.walk(edges, origins, max_depth))
 
 
 def unfinished(edges: DataFrame, radius: DataFrame, max_depth: int) -> DataFrame:
@@ -244,30 +216,6 @@ def unfinished(edges: DataFrame, radius: DataFrame, max_depth: int) -> DataFrame
     return beyond.join(radius, ["origin", "node"], "left_anti").select("origin").distinct()
 
 
-def affected_counts(radius: DataFrame, origins: DataFrame) -> DataFrame:
-    """Number of affected nodes and deepest level for each origin, 0 when nothing depends on it."""
-    counts = radius.groupBy("origin").agg(F.count("*").alias("affected_count"), F.max("depth").alias("reached_depth"))
-    return origins.select("origin").distinct().join(counts, "origin", "left").withColumns(
-        {"affected_count": F.coalesce("affected_count", F.lit(0)), "reached_depth": F.coalesce("reached_depth", F.lit(0))}
-    )
-
-
-def depth_histogram(radius: DataFrame) -> DataFrame:
-    return radius.groupBy("origin", "depth").agg(F.count("*").alias("n"))
-
-
-def affected_types(radius: DataFrame, nodes: DataFrame) -> DataFrame:
-    kinds = nodes.select(F.col("node_id").alias("node"), "node_type")
-    return radius.join(kinds, "node").groupBy("origin", "node_type").agg(F.count("*").alias("n"))
-
-
-def dependents(radius: DataFrame) -> DataFrame:
-    """Direct (depth 1) and transitive (deeper) dependents per origin."""
-    return radius.groupBy("origin").agg(
-        F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive")
-    )
-
-
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends exist."""
     ids = nodes.select("node_id")

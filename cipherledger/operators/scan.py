@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cipherledger.operators import bom, detect_certificates, detect_config, detect_dependencies, detect_images, detect_java, detect_python
-from cipherledger.operators import fuse, graph, migrate, normalize, risk
+from cipherledger.operators import fuse, graph, migrate, normalize, reach, risk
 from cipherledger.session import written
 from cipherledger.sources.files import outside_excluded_dirs, route
 
@@ -77,6 +77,7 @@ class ScanResult:
     nodes: DataFrame
     edges: DataFrame
     affected: DataFrame
+    unfinished: DataFrame
     risk: DataFrame
     candidates: DataFrame
     members: DataFrame
@@ -85,13 +86,14 @@ class ScanResult:
 
 
 def analyze(
-    findings: DataFrame, context: DataFrame | None = None, services: DataFrame | None = None, explode_hints: bool = True, max_depth: int = 10,
+    findings: DataFrame, context: DataFrame | None = None, services: DataFrame | None = None, explode_hints: bool = True, max_depth: int | None = None,
     only_usable: bool = True,
 ) -> ScanResult:
     """All results of findings of any number of scans at once.
 
     ``context`` gives x, y and the risk parameters per scan; scans without it
-    get an assessment that says so.  ``services`` adds the topology.
+    get an assessment that says so.  ``services`` adds the topology.  Dependents are
+    counted to the end; with ``max_depth``, ``unfinished`` names the assets that have more.
     """
     usable = normalize.usable_findings(findings) if only_usable else findings
     # text is scanned once; all results are derived from these two stored tables
@@ -101,8 +103,9 @@ def analyze(
     if services is not None:
         edges = edges.unionByName(graph.topology_edges(evidence, services))
     bridge = graph.asset_nodes(assets)
-    origins = bridge.select(F.col("node_id").alias("origin"))
-    counts = graph.affected_counts(graph.blast_radius(edges, origins, max_depth), origins)
+    walked = reach.walk(edges, bridge.select(F.col("node_id").alias("origin"), F.col("scan_id").alias("group")), max_depth)
+    counts = reach.affected_counts(walked)
+    unfinished = bridge.join(reach.unfinished(walked), F.col("node_id") == F.col("origin")).select("asset_id", "scan_id")
     affected = bridge.join(counts, F.col("node_id") == F.col("origin")).select("asset_id", "affected_count", "reached_depth")
     rows = assets.select("asset_id", "scan_id", "canonical", "quantum_status").join(affected, "asset_id", "left")
     if context is not None:
@@ -114,5 +117,5 @@ def analyze(
     chosen = migrate.candidates(assets)
     members = migrate.wave_members(assets, assessed)
     return ScanResult(
-        evidence, assets, nodes, edges, affected, assessed, chosen, members, migrate.waves(members), bom.components(assets, evidence)
+        evidence, assets, nodes, edges, affected, unfinished, assessed, chosen, members, migrate.waves(members), bom.components(assets, evidence)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cipherledger.operators import graph as g
+from cipherledger.operators import reach
 from cipherledger.plans import fixtures as fx
 from cipherledger.plans.registry import cte, query, sql
 
@@ -38,10 +39,10 @@ def links(spark, d) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def radius(spark, d) -> tuple[DataFrame, DataFrame]:
+def radius(spark, d) -> reach.Reach:
     edges = links(spark, d)
-    origins = edges.select(F.col("dst").alias("origin")).distinct()
-    return g.blast_radius(edges, origins, 10), origins
+    origins = edges.select(F.col("dst").alias("origin"), F.split_part("dst", F.lit("-"), F.lit(1)).alias("group"))
+    return reach.walk(edges, origins, 10)
 
 
 _LIVE = [
@@ -168,19 +169,19 @@ def g4b(spark, d):
 
 @query("g5_blast_radius", radius_sql("SELECT origin, node, depth FROM radius"))
 def g5(spark, d):
-    return radius(spark, d)[0]
+    return reach.pairs(radius(spark, d))
 
 
 @query("g6_affected_counts", radius_sql(
     "SELECT o.origin, coalesce(count(node), 0) AS affected_count, coalesce(max(depth), 0) AS reached_depth "
     "FROM origins o LEFT JOIN radius r ON r.origin = o.origin GROUP BY o.origin"))
 def g6(spark, d):
-    return g.affected_counts(*radius(spark, d))
+    return reach.affected_counts(radius(spark, d))
 
 
 @query("g6_depth_histogram", radius_sql("SELECT origin, depth, count(*) AS n FROM radius GROUP BY ALL"))
 def g6b(spark, d):
-    return g.depth_histogram(radius(spark, d)[0])
+    return reach.depth_histogram(radius(spark, d))
 
 
 @query("g6_affected_types", radius_sql(
@@ -188,7 +189,7 @@ def g6b(spark, d):
 def g6c(spark, d):
     edges = links(spark, d)
     nodes = edges.select(F.col("src").alias("node_id")).unionByName(edges.select(F.col("dst").alias("node_id"))).distinct()
-    return g.affected_types(radius(spark, d)[0], nodes.withColumn("node_type", F.split_part("node_id", F.lit("-"), F.lit(1))))
+    return reach.affected_types(radius(spark, d), nodes.withColumn("node_type", F.split_part("node_id", F.lit("-"), F.lit(1))))
 
 
 @query("g7_graph_export", sql(
@@ -212,7 +213,7 @@ def g7(spark, d):
 @query("g8_direct_transitive", radius_sql(
     "SELECT origin, count(*) FILTER (WHERE depth = 1) AS direct, count(*) FILTER (WHERE depth > 1) AS transitive FROM radius GROUP BY origin"))
 def g8(spark, d):
-    return g.dependents(radius(spark, d)[0])
+    return reach.dependents(radius(spark, d))
 
 
 @query("g9_parallel_edges", sql("SELECT DISTINCT src, dst FROM edges", "edges"))

@@ -48,22 +48,43 @@ def clear_written(spark: SparkSession, start: int = 0, keep: int = 0) -> int:
 
     To be called when no result that reads them is needed any more.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     gone = _WRITTEN[start : len(_WRITTEN) - keep]
     for name in gone:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(conf).delete(path, True)
+        remove(spark, name)
     del _WRITTEN[start : len(_WRITTEN) - keep]
     return len(gone)
 
 
+def _storage(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a file or folder of the cluster's storage, if it is there."""
+    storage, path = _storage(spark, name)
+    storage.delete(path, True)
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether the cluster's storage has a file or folder."""
+    storage, path = _storage(spark, name)
+    return storage.exists(path)
+
+
+def written_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted by ``clear_written``."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage and keeps the rows when executors are lost; the file
     sizes give the optimizer real statistics for the next join.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = written_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
