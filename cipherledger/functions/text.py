@@ -63,17 +63,17 @@ def lines(files: DataFrame, content: str = "content") -> DataFrame:
     return exploded.select(*keep, (F.col("_pos") + 1).alias("line"), strip(F.col("_raw")).alias("line_text"))
 
 
-def _newlines(c: Column) -> Column:
+def newlines(c: Column) -> Column:
     return F.octet_length(c) - F.octet_length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
 # Unicode noncharacters: never part of interchanged text
-_START, _NEXT, _END = "\ufdd0", "\ufdd1", "\ufdd2"
+START_MARK, NEXT_MARK, END_MARK = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
 def without_marks(content: Column) -> Column:
     """Text in which the marks cannot occur; to be taken once before the match functions."""
-    for mark in (_START, _NEXT, _END):
+    for mark in (START_MARK, NEXT_MARK, END_MARK):
         content = F.replace(content, F.lit(mark), F.lit(""))
     return content
 
@@ -84,8 +84,8 @@ def _marked(content: Column, pattern: str, groups: list[int]) -> Column:
     The first piece is the text before the first match; every further piece
     holds the groups, the match and the text up to the next match.
     """
-    shown = "".join(f"${g}{_NEXT}" for g in groups)
-    return F.split(F.regexp_replace(content, pattern, f"{_START}{shown}$0{_END}"), _START)
+    shown = "".join(f"${g}{NEXT_MARK}" for g in groups)
+    return F.split(F.regexp_replace(content, pattern, f"{START_MARK}{shown}$0{END_MARK}"), START_MARK)
 
 
 def let(value: Column, body) -> Column:
@@ -112,16 +112,16 @@ def occurrences(content: Column, pattern: str, **groups: int) -> Column:
     pieces = _marked(content, pattern, list(groups.values()))
 
     def cut(piece: Column) -> Column:
-        fields = F.split(F.substring_index(piece, _END, 1), _NEXT)
+        fields = F.split(F.substring_index(piece, END_MARK, 1), NEXT_MARK)
         return record(
             fields=fields,
             # line breaks of the match itself and of the text behind it
-            breaks=_newlines(F.get(fields, F.lit(len(groups)))) + _newlines(F.substring_index(piece, _END, -1)),
+            breaks=newlines(F.get(fields, F.lit(len(groups)))) + newlines(F.substring_index(piece, END_MARK, -1)),
         )
 
     def found(pieces: Column) -> Column:
         cuts = F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), cut)
-        return let(record(cuts=cuts, first=F.lit(1) + _newlines(F.get(pieces, F.lit(0)))), placed)
+        return let(record(cuts=cuts, first=F.lit(1) + newlines(F.get(pieces, F.lit(0)))), placed)
 
     def placed(x: Column) -> Column:
         return let(
@@ -160,10 +160,10 @@ def blank_out(content: Column, pattern: str, keep_group: int = 1) -> Column:
     pieces = _marked(content, pattern, [keep_group])
 
     def rest(piece: Column) -> Column:
-        kept = F.substring_index(piece, _NEXT, 1)
-        match = F.substring_index(F.substring_index(piece, _END, 1), _NEXT, -1)
+        kept = F.substring_index(piece, NEXT_MARK, 1)
+        match = F.substring_index(F.substring_index(piece, END_MARK, 1), NEXT_MARK, -1)
         return F.concat(
-            F.when(kept != "", kept).otherwise(F.repeat(F.lit("\n"), _newlines(match))), F.substring_index(piece, _END, -1)
+            F.when(kept != "", kept).otherwise(F.repeat(F.lit("\n"), newlines(match))), F.substring_index(piece, END_MARK, -1)
         )
 
     return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(rest(p))), "")

@@ -19,7 +19,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from cipherledger.functions import vocab
-from cipherledger.functions.text import blank_out, blank_to_null, each, first_match, let, line_at, occurrences, record, strip, text_lines, without_marks
+from cipherledger.functions.brackets import STRING, split_top_level, text_between, tokens, value_ends
+from cipherledger.functions.text import (
+    blank_out,
+    blank_to_null,
+    each,
+    first_match,
+    let,
+    line_at,
+    newlines,
+    occurrences,
+    record,
+    running_sums,
+    strip,
+    text_lines,
+    without_marks,
+)
 
 TOKEN = "(?i)" + vocab.PY_ALGORITHM_TOKEN
 # triple-quoted strings and comments go, ordinary strings (group 1) stay
@@ -30,33 +45,21 @@ _MODULE = "^(?:" + "|".join(re.escape(m) for m in vocab.CRYPTO_MODULES) + r")(?:
 _IMPORT = r"(?m)^[ \t]*import[ \t]+([^\n;]+)"
 _FROM = r"(?m)^[ \t]*from[ \t]+\.*([\w.]*)[ \t]+import[ \t]+(?:\(([^)]*)\)|([^\n;]+))"
 _NAME_AS = r"^\s*([\w.*]+)(?:\s+as\s+(\w+))?\s*$"
-_STRING = r"\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'"
-
-
-def _bracketed(levels: int) -> str:
-    """Text between brackets, with brackets inside up to ``levels`` deep; possessive, so a failure is linear."""
-    inner = rf"(?:[^()\[\]{{}}\"']++|{_STRING})*+"
-    for _ in range(levels):
-        inner = rf"(?:[^()\[\]{{}}\"']++|{_STRING}|[(\[{{]{inner}[)\]}}])*+"
-    return inner
 
 
-# the language allows 200 open brackets, so no valid file is cut short
-_INNER = _bracketed(200)
-_GROUP = rf"[(\[{{]{_INNER}[)\]}}]"
-_CALL = rf"(?<![\w.])(?<!def )(?<!class )([A-Za-z_][\w.]*)[ \t]*\((?=({_INNER})\))"
-_ARG = rf"(?:[^,()\[\]{{}}\"']++|{_STRING}|{_GROUP})++"
 _TARGET = r"[A-Za-z_][\w.]*[ \t]*(?::[^=\n;]+)?=(?!=)[ \t]*"
 _ASSIGN = rf"(?m)(?:^|;)[ \t]*((?:{_TARGET})+)"
 _STATED = r"[ \t]*(?=;|$)"
 _ASSIGN_STRING = _ASSIGN + r"\(?[rRuU]?(\"[^\"\n]*\"|'[^'\n]*')\)?" + _STATED
-_ASSIGN_SEQUENCE = _ASSIGN + rf"({_GROUP})" + _STATED
 _ASSIGN_ATTRIBUTE = _ASSIGN + r"([A-Za-z_]\w*(?:\.\w+)+)" + _STATED
-_DICT_KEY = rf"([\"'])([^\"'\n]+)\1\s*:[ \t]*((?:[^,\n()\[\]{{}}\"']++|{_STRING}|{_GROUP})*+)"
-# strings that are elements of their own; other text passes by
-_ELEMENT = rf"{_GROUP}|({_STRING})(?=\s*(?:,|$))|{_STRING}|[^,()\[\]{{}}\"']++"
+# strings, keys that are one token, opening brackets behind targets or a called name, other brackets
+_STRUCTURE = (
+    rf"([\"'])(?i:{vocab.PY_ALGORITHM_TOKEN})\1\s*:[ \t]*|{STRING}|(?m:^|(?<=;))[ \t]*((?:{_TARGET})+)([(\[{{])"
+    r"|(?<![\w.])(?<!def )(?<!class )([A-Za-z_][\w.]*)[ \t]*(\()|([(\[{])|([)\]}])"
+)
+_ELEMENT = rf"^[bBrRuU]{{0,2}}(?:{STRING})$"
 # a triple-quoted string behind other text of its line is a value, not documentation
-_LONG_VALUE = r"(?<=[^\s\"'][ \t]{0,8})(\"\"\"|''')([^\"'\\\n]*)\1"
+_LONG_VALUE = r"(?=[\"'])(?<=[^\s\"'][ \t]{0,8})(\"\"\"|''')([^\"'\\\n]*)\1"
 
 
 def is_crypto_module(module: Column) -> Column:
@@ -71,9 +74,11 @@ def algorithm_token(text: Column) -> Column:
 
 @F.pandas_udf(BooleanType())
 def parses(content: pd.Series) -> pd.Series:
-    """Whether the text is valid Python."""
+    """Whether the text is valid Python; false for null."""
 
-    def ok(text: str) -> bool:
+    def ok(text: str | None) -> bool:
+        if text is None:
+            return False
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
@@ -100,10 +105,37 @@ def clean_files(files: DataFrame) -> DataFrame:
 # --- facts ---------------------------------------------------------------------------
 
 # kind, pattern, groups behind a and b
-FACTS = [
-    ("call", _CALL, 1, 2), ("string", _ASSIGN_STRING, 1, 2), ("sequence", _ASSIGN_SEQUENCE, 1, 2),
-    ("attribute", _ASSIGN_ATTRIBUTE, 1, 2), ("key", _DICT_KEY, 2, 3),
-]
+FACTS = [("string", _ASSIGN_STRING, 1, 2), ("attribute", _ASSIGN_ATTRIBUTE, 1, 2)]
+
+
+def _structured(code: Column) -> Column:
+    """Calls, assigned sequences and keys as array<struct<kind, line, a, b>>."""
+
+    def facts(x: Column) -> Column:
+        raw, found = x["raw"], x["found"]
+
+        def group(t: Column, k: Column) -> Column:
+            partner = F.get(found, k + 1)
+            called = record(kind=F.lit("call"), line=t["line"], a=t["name"], b=text_between(raw, t["stop"], partner["start"]))
+            stated = F.rlike(partner["after"], F.lit(r"^[ \t]*[;\n]")) | (partner["last"] & F.rlike(partner["after"], F.lit(r"^[ \t]*$")))
+            assigned = record(kind=F.lit("sequence"), line=t["line"], a=t["targets"], b=text_between(raw, t["stop"] - 1, partner["stop"]))
+            # a bracket without partner has the next group of its depth behind it
+            return F.when((t["delta"] <= 0) | (partner["delta"] >= 0) | (partner["depth"] != t["depth"]), None).when(t["name"] != "", called).when(
+                (t["targets"] != "") & stated, assigned
+            )
+
+        def keyed(ends: Column) -> Column:
+            return F.transform(
+                found,
+                lambda t, k: F.when(t["key"] != "", record(kind=F.lit("key"), line=t["line"], a=t["key"], b=text_between(raw, t["stop"], F.get(ends, k)))),
+            )
+
+        keys = F.when(F.exists(found, lambda t: t["key"] != ""), let(value_ends(found), keyed))
+        groups = F.transform(found, group)
+        return F.filter(F.concat(groups, F.coalesce(keys, F.slice(groups, F.lit(1), F.lit(0)))), lambda f: f.isNotNull())
+
+    found = tokens(code, _STRUCTURE, {"key": "$2", "targets": "$3", "name": "$5"}, opens="$4$6$7", closes="$8")
+    return let(record(raw=code.cast("binary"), found=found), facts)
 
 
 def _imported(listing: Column) -> Column:
@@ -151,13 +183,13 @@ def file_facts(code: DataFrame, check_syntax: bool = True) -> DataFrame:
         occurrences(text, _FROM, a=1, i=2, p=3),
         lambda m: record(line=m["line"], a=m["a"], b=F.coalesce(blank_to_null(m["i"]), m["p"])),
     )
-    facts = F.concat(*[_tagged(kind, occurrences(text, pattern, a=a, b=b)) for kind, pattern, a, b in FACTS])
+    facts = F.concat(_structured(text), *[_tagged(kind, occurrences(text, pattern, a=a, b=b)) for kind, pattern, a, b in FACTS])
     rows = code.select(*keys, "_source", "_lines", plain.alias("_p"), named.alias("_n"), facts.alias("_stated"))
     bound = F.concat(_bindings("import", F.col("_p")), _bindings("from", F.col("_n")))
     rows = rows.select(*keys, "_source", "_lines", "_stated", bound.alias("_bound"))
-    rows = rows.filter((F.size("_stated") > 0) | (F.size("_bound") > 0))
-    if check_syntax:
-        rows = rows.filter(parses("_source"))
+    # a filter on the lists would be pushed down and compute them twice: files that are not valid keep a row with empty lists
+    told_any = (F.size("_stated") > 0) | (F.size("_bound") > 0)
+    rows = rows.withColumn("_valid", parses(F.when(told_any, F.col("_source"))) if check_syntax else F.lit(True))
     # the last binding of a local name counts
     ordered = F.array_sort(F.transform("_bound", lambda x: record(local=x["local"], line=x["line"], target=x["target"])))
     rows = rows.withColumn("_o", ordered)
@@ -180,7 +212,8 @@ def file_facts(code: DataFrame, check_syntax: bool = True) -> DataFrame:
             base=_looked_up(first), owner=_looked_up(owner), imports=F.size("_bound") > 0,
         )
 
-    return rows.select(*keys, imports.alias("_imports"), F.transform("_stated", told).alias("_facts"))
+    valid = F.col("_valid")
+    return rows.select(*keys, F.when(valid, imports).alias("_imports"), F.when(valid, F.transform("_stated", told)).alias("_facts"))
 
 
 def import_facts(files: DataFrame, check_syntax: bool = True) -> DataFrame:
@@ -223,7 +256,7 @@ def _value_token(value: Column) -> Column:
 
 def argument_hints(args: Column) -> Column:
     """Tokens in positional strings and attributes, and in the values of known keywords."""
-    parts = F.transform(F.regexp_extract_all(args, F.lit(_ARG), F.lit(0)), strip)
+    parts = F.filter(F.transform(split_top_level(args), strip), lambda a: a != "")
 
     def hints(a: Column) -> Column:
         value = F.regexp_extract(a, _IS_KEYWORD, 2)
@@ -301,6 +334,20 @@ def _configured(value: Column, target: Column, words: list[str]) -> Column:
     return F.when(_contains_any(_last_segment(target), words) | (F.upper(token) == F.upper(value)), token)
 
 
+def _string_elements(parts: Column) -> Column:
+    """Parts of a sequence that are strings, as array<struct<value, breaks>> with the line breaks before them."""
+    before = running_sums(F.transform(parts, newlines))
+
+    def element(part: Column, i: Column) -> Column:
+        ahead = F.coalesce(F.get(before, i - 1), F.lit(0)) + newlines(F.regexp_extract(part, r"^\s*", 0))
+        whole = strip(part)
+        return F.when(
+            F.rlike(whole, F.lit(_ELEMENT)), record(value=F.regexp_extract(whole, r"^[bBrRuU]{0,2}[\"']([\s\S]*)[\"']$", 1), breaks=ahead)
+        )
+
+    return F.filter(F.transform(parts, element), lambda e: e.isNotNull() & (e["value"] != ""))
+
+
 def _fact_hits() -> Column:
     """Findings of one fact row as an array."""
     kind, line, a, b, lines = (F.col(c) for c in ("kind", "line", "a", "b", "lines"))
@@ -318,12 +365,11 @@ def _fact_hits() -> Column:
     is_tuple = ~b.startswith("(") | b.contains(",")
     is_list = is_tuple & (~b.startswith("{") | ~F.rlike(b, F.lit(r"[\"']\s*:")))
     inside = F.substring(b, F.lit(2), F.greatest(F.length(b) - 2, F.lit(0)))
-    elements = F.when(is_list, F.filter(occurrences(inside, _ELEMENT, value=1), lambda e: e["value"] != ""))
+    elements = F.when(is_list, let(split_top_level(inside), _string_elements))
 
     def listed(t: Column, e: Column) -> Column:
-        value = F.regexp_extract(e["value"], r"^[\"']([\s\S]*)[\"']$", 1)
-        hint = _configured(value, t, vocab.SEQUENCE_KEYWORDS)
-        return _hit("python.ast.assignment", line + e["line"] - 1, line_at(lines, e["line"]), configuration, hint, 0.55)
+        hint = _configured(e["value"], t, vocab.SEQUENCE_KEYWORDS)
+        return _hit("python.ast.assignment", line + e["breaks"], line_at(lines, e["breaks"] + 1), configuration, hint, 0.55)
 
     found = let(elements, lambda es: F.flatten(F.transform(targets, lambda t: F.transform(es, lambda e: listed(t, e)))))
     sequence = F.filter(found, lambda h: h["algorithm_hint"].isNotNull())

@@ -134,3 +134,41 @@ def test_time_grows_with_the_size_of_a_file(spark):
 def test_java_time_grows_with_the_size_of_a_file(spark):
     text = "".join(f'Cipher c{i} = Cipher.getInstance("AES/GCM/NoPadding");\n' for i in range(30000))
     assert detect_java.raw_java(files(spark, text)).count() == 30000
+
+
+def test_brackets_by_depth(spark):
+    from pyspark.sql import functions as F
+
+    from cipherledger.functions.brackets import split_top_level
+
+    texts = ['a, f(b, [c, ","]), "x,(y", d', "", "one", "a,,b", "(a,b),{c:d,e:f}", "ü, g('ñ,', 1), z", "a, (b"]
+    want = [["a", ' f(b, [c, ","])', ' "x,(y"', " d"], [""], ["one"], ["a", "", "b"], ["(a,b)", "{c:d,e:f}"], ["ü", " g('ñ,', 1)", " z"], ["a", " (b"]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", split_top_level(F.col("t")).alias("p")).orderBy("i").collect()
+    assert [r["p"] for r in rows] == want
+
+
+def test_python_calls_against_the_language(spark):
+    """Generated code, compared with what the language's own parser says of calls of a known module."""
+    import ast
+    import random
+
+    rng = random.Random(12)
+
+    def expression(depth):
+        kind = rng.randrange(7) if depth else rng.randrange(3)
+        inner = lambda: expression(depth - 1)
+        return [
+            lambda: str(rng.randrange(9)), lambda: rng.choice(["'a(,'", '"]"', "'ü'", 'b")"']), lambda: "name",
+            lambda: f"hashlib.{rng.choice(['sha256', 'md5', 'other'])}({inner()},\n   {inner()})", lambda: f"[{inner()}, {inner()}]",
+            lambda: f"({inner()})", lambda: "{" + f"'k': {inner()}, 2: {inner()}" + "}",
+        ][kind]()
+
+    sources = ["import hashlib\n" + "".join(f"x{i} = {expression(5)}\nprint({expression(4)}); y = {expression(3)}\n" for i in range(12)) for _ in range(25)]
+    want = set()
+    for k, source in enumerate(sources):
+        for node in ast.walk(ast.parse(source)):
+            if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute):
+                inside = "".join(ast.get_source_segment(source, node).split("(", 1)[1:])[:-1]
+                want.add((f"f{k}", node.lineno, f"hashlib.{node.func.attr}({inside})"))
+    got = found(scan_python(files(spark, *sources)).filter("detector = 'python.ast.call'"), "path", "line", "raw_signal")
+    assert got == want
