@@ -31,6 +31,8 @@ def scan_config_text(files: DataFrame) -> DataFrame:
     )
 
 
+ERROR = "config.json_error"
+
 # plain values only: the helper is shipped to workers without this package
 _KEY = vocab.CONFIG_KEY
 _HIT = StructType([StructField(n, StringType()) for n in ("json_path", "key", "value")])
@@ -69,8 +71,8 @@ def json_strings(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"ok": [d[0] for d in done], "hits": [d[1] for d in done]})
 
 
-def scan_config_json(files: DataFrame) -> DataFrame:
-    """Findings of JSON files; invalid JSON is scanned as text.
+def scan_config_json(files: DataFrame, errors: bool = False) -> DataFrame:
+    """Findings of JSON files; invalid JSON is scanned as text, and with ``errors`` also gives a row of the detector ERROR.
 
     Files that hold no algorithm value (and no escape that could hide one)
     never leave the JVM.
@@ -85,9 +87,18 @@ def scan_config_json(files: DataFrame) -> DataFrame:
         F.concat_ws(": ", "json_path", "value").alias("raw_signal"), F.array(F.lit("configuration")).alias("roles"),
         F.col("key").alias("key_name"), "algorithm_hint", F.lit(0.70).alias("confidence"), F.lit("config").alias("source_type"),
     )
-    return structured.unionByName(scan_config_text(walked.filter("NOT _w.ok").select(*keys, "content")))
+    broken = walked.filter("NOT _w.ok").select(*keys, "content")
+    found = structured.unionByName(scan_config_text(broken))
+    if not errors:
+        return found
+    none = F.lit(None).cast("string")
+    failed = broken.select(
+        *keys, F.lit(0).alias("line"), F.lit(ERROR).alias("detector"), F.lit("not valid").alias("raw_signal"), F.array().cast("array<string>").alias("roles"),
+        none.alias("key_name"), none.alias("algorithm_hint"), F.lit(0.0).alias("confidence"), F.lit("config").alias("source_type"),
+    )
+    return found.unionByName(failed)
 
 
-def scan_config(files: DataFrame) -> DataFrame:
+def scan_config(files: DataFrame, errors: bool = False) -> DataFrame:
     is_json = F.lower("path").endswith(".json")
-    return scan_config_json(files.filter(is_json)).unionByName(scan_config_text(files.filter(~is_json)))
+    return scan_config_json(files.filter(is_json), errors).unionByName(scan_config_text(files.filter(~is_json)))

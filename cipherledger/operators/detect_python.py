@@ -36,6 +36,7 @@ from cipherledger.functions.text import (
     without_marks,
 )
 
+ERROR = "python.ast.error"
 TOKEN = "(?i)" + vocab.PY_ALGORITHM_TOKEN
 # triple-quoted strings and comments go, ordinary strings (group 1) stay
 _LEXEME = (
@@ -170,7 +171,7 @@ def _looked_up(name: Column) -> Column:
 
 
 def file_facts(code: DataFrame, check_syntax: bool = True) -> DataFrame:
-    """Per file: ``_imports`` (bindings) and ``_facts``.
+    """Per file: ``_imports`` (bindings), ``_facts`` and ``_broken`` (it has facts and is not valid).
 
     A fact carries all that its findings need of the file: the lines it stands on and
     the full names behind its own, so that rows of single facts are narrow. The syntax
@@ -213,7 +214,9 @@ def file_facts(code: DataFrame, check_syntax: bool = True) -> DataFrame:
         )
 
     valid = F.col("_valid")
-    return rows.select(*keys, F.when(valid, imports).alias("_imports"), F.when(valid, F.transform("_stated", told)).alias("_facts"))
+    return rows.select(
+        *keys, F.when(valid, imports).alias("_imports"), F.when(valid, F.transform("_stated", told)).alias("_facts"), (told_any & ~valid).alias("_broken")
+    )
 
 
 def import_facts(files: DataFrame, check_syntax: bool = True) -> DataFrame:
@@ -407,15 +410,25 @@ def _fact_hits() -> Column:
     )
 
 
-def scan_python(files: DataFrame, check_syntax: bool = True) -> DataFrame:
-    """All Python findings of a files table (key columns, ``path``, ``content``)."""
+def scan_python(files: DataFrame, check_syntax: bool = True, errors: bool = False) -> DataFrame:
+    """All Python findings of a files table (key columns, ``path``, ``content``).
+
+    With ``errors``, a file that has facts but is not valid gives one row of the detector ERROR.
+    """
     keys = [c for c in files.columns if c != "content"]
     imported = F.transform("_imports", lambda x: record(m=x, f=F.lit(None).cast(_FACT)))
     stated = F.transform("_facts", lambda x: record(m=F.lit(None).cast(_BINDING), f=x))
-    rows = file_facts(clean_files(files), check_syntax).select(*keys, F.concat(imported, stated).alias("_all"))
+    all_facts = F.concat(imported, stated)
+    if errors:
+        failed = record(m=F.lit(None).cast(_BINDING), f=F.lit(None).cast(_FACT))
+        all_facts = F.when(F.col("_broken"), F.array(failed)).otherwise(all_facts)
+    rows = file_facts(clean_files(files), check_syntax).select(*keys, all_facts.alias("_all"))
     facts = each(rows, keys, F.col("_all"), "_x").select(*keys, "_x.m", "_x.f.*")
     binding = _import_hits()
-    hits = F.when(F.col("m").isNotNull(), F.when(binding.isNotNull(), F.array(binding))).otherwise(_fact_hits())
+    hits = F.when(F.col("m").isNotNull(), F.when(binding.isNotNull(), F.array(binding))).when(F.col("kind").isNotNull(), _fact_hits())
+    if errors:
+        failed = _hit(ERROR, F.lit(0), F.lit("not valid"), F.array().cast("array<string>"), F.lit(None).cast("string"), 0.0)
+        hits = F.when(F.col("m").isNull() & F.col("kind").isNull(), F.array(failed)).otherwise(hits)
     found = each(facts, keys, hits, "_h").select(*keys, "_h.*")
     return found.withColumn("source_type", F.lit("python_source"))
 

@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cipherledger.functions import vocab
 from cipherledger.operators import bom, detect_certificates, detect_config, detect_dependencies, detect_images, detect_java, detect_python
 from cipherledger.operators import fuse, graph, migrate, normalize, reach, risk
-from cipherledger.session import written
-from cipherledger.sources.files import outside_excluded_dirs, route
+from cipherledger.session import written, written_path
+from cipherledger.sources import quarantine
 
 COLUMNS = ["scan_id", "path", "line", "detector", "raw_signal", "roles", "algorithm_hint", "algorithm_hints", "package_name", "confidence", "source_type"]
 HINTS = 1_000_000  # room between the numbers of two findings
 
 
 def land_files(files: DataFrame, path: str) -> DataFrame:
-    """Text files routed to their detector and stored by it, in a folder of this run.
-
-    Every detector then reads its own partition only, so the content of a
-    file is read once although the detectors are separate branches. Landing
-    the same files again gives the same rows and leaves earlier runs alone.
-    """
-    routed = files.filter(outside_excluded_dirs(F.col("path"))).withColumn("artifact_type", route(F.col("path")))
-    kept = routed.filter("artifact_type IS NOT NULL").select("scan_id", "path", "content", "artifact_type")
-    run = f"{path}/run-{uuid.uuid4().hex}"
-    kept.hint("rebalance", "artifact_type").write.partitionBy("artifact_type").parquet(run)
-    return files.sparkSession.read.schema(kept.schema).parquet(run)
+    """Accepted files of ``quarantine.land``: scan_id, path, content, artifact_type."""
+    return quarantine.land(files, path).accepted
 
 
 def numbered(findings: DataFrame) -> DataFrame:
@@ -50,18 +41,47 @@ def numbered(findings: DataFrame) -> DataFrame:
     )
 
 
-def discover(landed: DataFrame, check_syntax: bool = True) -> DataFrame:
-    """Findings of routed files (scan_id, path, content, artifact_type) from all text detectors."""
+def _detected(landed: DataFrame, check_syntax: bool, errors: bool) -> DataFrame:
     of = lambda kind: landed.filter(F.col("artifact_type") == kind).select("scan_id", "path", "content")
     parts = [
-        detect_python.scan_python(of("python_source"), check_syntax),
+        detect_python.scan_python(of("python_source"), check_syntax, errors),
         detect_java.scan_java(of("java_source")),
         detect_dependencies.scan_dependencies(of("dependency")),
         detect_images.scan_build_files(of("image_file")),
-        detect_config.scan_config(of("config")),
+        detect_config.scan_config(of("config"), errors),
     ]
     found = normalize.union_findings(*[p.select(*[c for c in COLUMNS if c in p.columns]) for p in parts])
-    return numbered(found.withColumnRenamed("path", "file_path"))
+    return found.withColumnRenamed("path", "file_path")
+
+
+def discover(landed: DataFrame, check_syntax: bool = True) -> DataFrame:
+    """Findings of routed files (scan_id, path, content, artifact_type) from all text detectors."""
+    return numbered(_detected(landed, check_syntax, errors=False))
+
+
+@dataclass(frozen=True)
+class Discovery:
+    """``findings`` of the accepted files; ``errors``: scan_id, path, reason, error_code of rejected files and failed detectors."""
+
+    findings: DataFrame
+    errors: DataFrame
+
+
+def discover_run(landing: quarantine.Landing, check_syntax: bool = True) -> Discovery:
+    """Findings and errors of a landing, from one pass of the detectors that is stored by what its rows are.
+
+    A detector that cannot read a file yields an error row for it; other files are not touched.
+    """
+    path = written_path(landing.accepted.sparkSession, "detected")
+    rows = _detected(landing.accepted, check_syntax, errors=True)
+    flagged = rows.withColumn("is_error", F.col("detector").isin(detect_python.ERROR, detect_config.ERROR))
+    flagged.write.partitionBy("is_error").parquet(path)
+    stored = landing.accepted.sparkSession.read.schema(flagged.schema).parquet(path)
+    failed = stored.filter("is_error").select(
+        "scan_id", F.col("file_path").alias("path"), F.col("detector").alias("reason"), F.lit(vocab.ERROR_CODES["parse_failure"]).alias("error_code")
+    )
+    errors = landing.rejected.select("scan_id", "path", "reason", "error_code").unionByName(failed)
+    return Discovery(numbered(stored.filter("NOT is_error").drop("is_error")), errors)
 
 
 def private_keys(landed: DataFrame) -> DataFrame:

@@ -117,6 +117,31 @@ def s7(spark, d):
     return archives.admit_image_members(members(spark, d), LIMITS).select("archive", "ordinal", "name", "total_size")
 
 
+_CODE = "CASE WHEN reason = 'unsafe_path' THEN 'E-1003' WHEN reason IN ('member_count', 'too_large', 'total_size') THEN 'E-1002' END"
+
+
+@query("s6_archive_quarantine", sql(
+    f"SELECT archive, ordinal, total_size, reason, {_CODE} AS error_code FROM (SELECT archive, ordinal, total_size, CASE WHEN ordinal > 50 THEN 'member_count' "
+    "ELSE coalesce(reason, CASE WHEN total_size > 1000000 THEN 'total_size' END) END AS reason FROM (SELECT *, CASE WHEN ordinal <= 50 THEN "
+    "sum(CASE WHEN reason IS NULL AND ordinal <= 50 THEN size ELSE 0 END) OVER (PARTITION BY archive ORDER BY ordinal ROWS UNBOUNDED PRECEDING) END::BIGINT AS total_size FROM ("
+    "SELECT *, CASE WHEN is_dir THEN 'not_a_file' WHEN starts_with(clean, '/') OR list_contains(string_split(clean, '/'), '..') THEN 'unsafe_path' "
+    f"WHEN list_has_any(string_split(clean, '/'), [{_EXCLUDED}]) THEN 'excluded_folder' WHEN size > 80000 THEN 'too_large' END AS reason "
+    "FROM (SELECT *, replace(name, chr(92), '/') AS clean FROM members_numbered))))", "members_numbered"))
+def s6b(spark, d):
+    """Every member, admitted or rejected, with the rule that rejects it."""
+    return archives.judge_archive_members(members(spark, d), LIMITS).select("archive", "ordinal", "total_size", "reason", "error_code")
+
+
+@query("s7_image_quarantine", sql(
+    f"SELECT archive, ordinal, total_size, reason, {_CODE} AS error_code FROM (SELECT archive, ordinal, total_size, CASE WHEN ordinal > 50 THEN 'member_count' "
+    "ELSE coalesce(reason, CASE WHEN kind = 'file' AND total_size > 1000000 THEN 'total_size' END) END AS reason FROM (SELECT *, CASE WHEN ordinal <= 50 THEN "
+    "sum(CASE WHEN kind = 'file' AND ordinal <= 50 THEN size ELSE 0 END) OVER (PARTITION BY archive ORDER BY ordinal ROWS UNBOUNDED PRECEDING) END::BIGINT AS total_size, "
+    "CASE WHEN kind <> 'file' THEN 'not_a_file' WHEN size > 80000 THEN 'too_large' WHEN starts_with(name, '/') OR list_contains(string_split(name, '/'), '..') THEN 'unsafe_path' END AS reason "
+    "FROM members_numbered))", "members_numbered"))
+def s7b(spark, d):
+    return archives.judge_image_members(members(spark, d), LIMITS).select("archive", "ordinal", "total_size", "reason", "error_code")
+
+
 @query("w1_running_size", sql(
     "SELECT archive, ordinal, sum(size) OVER (PARTITION BY archive ORDER BY ordinal ROWS UNBOUNDED PRECEDING)::BIGINT AS total_size FROM members_numbered WHERE ordinal <= 50", "members_numbered"))
 def w1(spark, d):
