@@ -67,10 +67,13 @@ def _valid() -> F.Column:
     )
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """row, doc_id, hits: every pattern match with the gap before it and the text around it; one row a document."""
+def matches(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """row, doc_id, hits: every pattern match with the gap before it and the text around it; one row a document.
+
+    ``row`` names a column that numbers the rows; without it they are numbered here.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.col("_row") if docs.schema.names[-1] == "_row" else F.monotonically_increasing_id()
+    row = F.col(row) if row else F.monotonically_increasing_id()
     d = docs.select(row.alias("row"), "doc_id", text.alias("text"))
     nothing = F.array().cast("array<string>")
     for kind, (pattern, needs) in PATTERNS.items():
@@ -160,9 +163,9 @@ def _clear_of(base: DataFrame, extra: DataFrame) -> DataFrame:
     return held.filter((F.coalesce("before", "start") <= F.col("start")) & (F.coalesce("after", "end") >= F.col("end"))).select("row", "kind", "start", "end")
 
 
-def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row and doc_id of every document; row, kind, start, end of all spans)."""
-    found = written(matches(docs), "matches")
+def spans(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(row and doc_id of every document; row, kind, start, end of all spans); ``row`` as in ``matches``."""
+    found = written(matches(docs, row), "matches")
     base = written(base_spans(found), "spans")
     terms = written(_terms(base), "contexts")
     pairs = disclosing(docs, terms)
@@ -183,17 +186,17 @@ def listed(docs: DataFrame) -> DataFrame:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with found values as ``[KIND]``, removed terms gone and generalised ones as ``[TERM]``."""
-    numbered = written(docs.drop("_row").withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    _, marked = spans(numbered)
+    # a document is one struct, so that no column of it meets a column of this function
+    numbered = written(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    _, marked = spans(numbered.select("row", "doc.doc_id", "doc.text"), "row")
     # base spans may overlap each other: a span's own part begins where the furthest earlier one ended
     order = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     placed = marked.withColumn("done", F.coalesce(F.max("end").over(order), F.lit(0)))
     word = F.when((F.col("end") <= F.col("done")) | (F.col("kind") == "remove"), "").when(F.col("kind") == "generalise", "[TERM]")
     word = word.otherwise(F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
     part = F.struct("start", "end", F.col("done").cast("int").alias("done"), word.alias("word"))
-    parts = placed.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(part)).alias("_parts"), F.max("end").cast("int").alias("_last"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cut = F.expr("transform(_parts, s -> concat(substring(text, s.done + 1, cast(greatest(0, s.start - s.done) as int)), s.word))")
-    joined = numbered.withColumn("text", text).join(parts, "_row", "left")
-    whole = F.when(F.col("_parts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(cut, ""), F.expr("substring(text, _last + 1)")))
-    return joined.withColumn("text", whole).select(docs.columns)
+    parts = placed.groupBy("row").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("end").cast("int").alias("last"))
+    joined = numbered.withColumn("whole", F.coalesce(F.col("doc.text").cast("string"), F.lit(""))).join(parts, "row", "left")
+    cut = F.expr("transform(parts, s -> concat(substring(whole, s.done + 1, cast(greatest(0, s.start - s.done) as int)), s.word))")
+    text = F.when(F.col("parts").isNull(), F.col("whole")).otherwise(F.concat(F.array_join(cut, ""), F.expr("substring(whole, last + 1)")))
+    return joined.select(*[text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])

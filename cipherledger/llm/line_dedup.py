@@ -240,18 +240,21 @@ def removed(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
 def cleaned(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     """The documents without removed lines, all columns kept; documents that lose their last solid line go."""
     _, gone = decisions(docs, spread)
-    lost = gone.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).agg(F.array_sort(F.collect_set("pos")).alias("_gone"))
-    lost = written(lost.withColumn("_h", F.xxhash64("_doc", "_text")), "lost")
+    lost = gone.groupBy(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash")).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    lost = written(lost.withColumn("lost_key", F.xxhash64("lost_id", "lost_hash")), "lost")
     # positions become one flag a line, so that a document is rebuilt in one pass
-    marks = F.expr("array_join(transform(_gone, (p, i) -> concat(repeat('0', p - if(i = 0, -1, _gone[i - 1]) - 1), '1')), '')")
-    flags = written(lost.select("_h", "_doc", "_text", F.split(marks, "").alias("_flags")), "flags")
-    hit = written(bitmap.bits(lost.select(F.col("_h").alias("h"))), "bits")
+    marks = F.expr("array_join(transform(gone, (p, i) -> concat(repeat('0', p - if(i = 0, -1, gone[i - 1]) - 1), '1')), '')")
+    flags = written(lost.select("lost_key", "lost_id", "lost_hash", F.split(marks, "").alias("flags")), "flags")
+    hit = written(bitmap.bits(lost.select(F.col("lost_key").alias("h"))), "bits")
+    # a document is one struct, so that no column of it meets a column of this function
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_text_hash", F.xxhash64(text)).withColumn("_key", F.xxhash64("doc_id", "_text_hash"))
-    touched = bitmap.holds(hit, F.col("_key"))  # the others need no join
-    on = (F.col("_key") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_text"))
-    met = keyed.filter(touched).join(flags, on, "left").withColumn("_lines", F.split(text, "\n", -1))
-    stays = F.expr("filter(_lines, (x, i) -> coalesce(get(_flags, i), '0') = '0')")
-    rebuilt = met.withColumn("_kept", stays).filter(F.col("_flags").isNull() | F.exists("_kept", lambda x: x.rlike(r"\S")))
-    rebuilt = rebuilt.withColumn("text", F.when(F.col("_flags").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
-    return keyed.filter(~touched).select(docs.columns).unionByName(rebuilt.select(docs.columns))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", text.alias("whole"), F.xxhash64(text).alias("text_hash"))
+    keyed = keyed.withColumn("key", F.xxhash64("doc_id", "text_hash"))
+    touched = bitmap.holds(hit, F.col("key"))  # the others need no join
+    on = (F.col("key") == F.col("lost_key")) & F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash"))
+    met = keyed.filter(touched).join(flags, on, "left").withColumn("lines", F.split("whole", "\n", -1))
+    stays = F.expr("filter(lines, (x, i) -> coalesce(get(flags, i), '0') = '0')")
+    rebuilt = met.withColumn("stay", stays).filter(F.col("flags").isNull() | F.exists("stay", lambda x: x.rlike(r"\S")))
+    left = F.when(F.col("flags").isNull(), F.col("doc.text")).otherwise(F.array_join("stay", "\n"))
+    columns = [left.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return keyed.filter(~touched).select("doc.*").unionByName(rebuilt.select(*columns))

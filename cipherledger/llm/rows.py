@@ -18,18 +18,20 @@ def text_hash() -> F.Column:
 
 
 def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
-    """``docs`` without the rows of ``gone`` and with one row of each of ``once`` (both: doc_id, text_hash)."""
-    key = F.xxhash64("_doc", "_text")
-    narrow = gone.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_text")).distinct()
-    lost = written(narrow.withColumn("_h", key), "gone")
-    marked = lost.select(F.col("_h").alias("h"))
+    """``docs`` without the rows of ``gone`` and with one row of each of ``once`` (both: doc_id, text_hash).
+
+    A document is one struct meanwhile, so that no column of it meets a column of this function.
+    """
+    lost = written(gone.select("doc_id", "text_hash").distinct().toDF("lost_id", "lost_hash").withColumn("lost_key", F.xxhash64("lost_id", "lost_hash")), "gone")
+    marked = lost.select(F.col("lost_key").alias("h"))
     if once is not None:
         marked = marked.unionByName(once.select(F.xxhash64("doc_id", "text_hash").alias("h")))
     hit = written(bitmap.bits(marked), "bits")
-    keyed = docs.withColumn("_text_hash", text_hash()).withColumn("_key", F.xxhash64("doc_id", "_text_hash"))
-    touched = bitmap.holds(hit, F.col("_key"))
-    on = (F.col("_key") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", text_hash().alias("text_hash"))
+    keyed = keyed.withColumn("key", F.xxhash64("doc_id", "text_hash"))
+    touched = bitmap.holds(hit, F.col("key"))
+    on = (F.col("key") == F.col("lost_key")) & F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash"))
     met = keyed.filter(touched).join(lost, on, "left_anti")
     if once is not None:
-        met = met.dropDuplicates(["doc_id", "_text_hash"])
-    return keyed.filter(~touched).select(docs.columns).unionByName(met.select(docs.columns))
+        met = met.dropDuplicates(["doc_id", "text_hash"])
+    return keyed.filter(~touched).select("doc.*").unionByName(met.select("doc.*"))

@@ -20,8 +20,10 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: not ``und``, and with a share of at least SURE."""
     learned = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    named = language.with_language(docs, language.train(language.sample(learned)), "_lang_pred", "_lang_score")
-    return named.filter((F.col("_lang_pred") != language.UNKNOWN) & (F.col("_lang_score") >= SURE)).select(docs.columns)
+    longest = max(docs.columns, key=len)  # names that no column has
+    name, share = f"{longest}_lang", f"{longest}_share"
+    named = language.with_language(docs, language.train(language.sample(learned)), name, share)
+    return named.filter((F.col(name) != language.UNKNOWN) & (F.col(share) >= SURE)).select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
