@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cipherledger.functions import vocab
 from cipherledger.functions.tables import lookup
 from cipherledger.operators.inventory import top_per_key
-
+from cipherledger.operators.ranks import positioned
 
 
 def primitive(family: Column) -> Column:
@@ -135,18 +137,14 @@ def _serial(scan: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *cut))
 
 
-def documents(parts: DataFrame, names: DataFrame, timestamp: str, tool: str = "cipherledger", tool_version: str = "1.0.0") -> DataFrame:
-    """One JSON document per scan, whatever its size; ``names`` has scan_id and project_name.
-
-    A document is one value, so the components of one scan meet in one row.
-    """
-    grouped = parts.groupBy("scan_id").agg(
-        F.count("*").alias("asset_count"),
-        F.array_sort(F.collect_list(F.struct(F.col("component")["name"].alias("n"), "asset_id", "component"))).alias("c"),
-    )
-    titled = grouped.join(names.select("scan_id", "project_name"), "scan_id", "left").withColumn(
+def _titled(counts: DataFrame, names: DataFrame) -> DataFrame:
+    return counts.join(names.select("scan_id", "project_name"), "scan_id", "left").withColumn(
         "project_name", F.coalesce("project_name", F.lit("unknown-project"))
     )
+
+
+def _head(timestamp: str, tool: str, tool_version: str) -> list[Column]:
+    """Fields of a document in front of its components."""
     prop = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("value"))
     meta = F.struct(
         F.lit(timestamp).alias("timestamp"),
@@ -160,12 +158,58 @@ def documents(parts: DataFrame, names: DataFrame, timestamp: str, tool: str = "c
             prop("bomStandard", F.lit(f"{vocab.BOM_FORMAT} {vocab.BOM_VERSION}")),
         ).alias("properties"),
     )
-    document = F.struct(
+    return [
         F.lit(vocab.BOM_FORMAT).alias("bomFormat"), F.lit(vocab.BOM_VERSION).alias("specVersion"),
         F.lit(vocab.BOM_SCHEMA).alias("$schema"), _serial(F.col("scan_id")).alias("serialNumber"), F.lit(1).alias("version"),
-        meta.alias("metadata"), F.transform("c", lambda x: x["component"]).alias("components"),
+        meta.alias("metadata"),
+    ]
+
+
+@dataclass(frozen=True)
+class Bill:
+    """A bill as tables: one header row a scan and its components in order.
+
+    ``headers``: scan_id, asset_count, project_name, header (struct of all fields but the
+    components); ``rows``: scan_id, position, asset_id, name, component, evidence_count (all
+    evidence of the asset; a component shows the first occurrences and methods only).
+    """
+
+    headers: DataFrame
+    rows: DataFrame
+
+
+def bill(parts: DataFrame, assets: DataFrame, names: DataFrame, timestamp: str, tool: str = "cipherledger", tool_version: str = "1.0.0") -> Bill:
+    """Components by scan, name and asset id; a scan with many assets spreads over tasks and is never one value."""
+    counts = assets.select("asset_id", "evidence_count")
+    named = parts.select("scan_id", F.col("component")["name"].alias("name"), "asset_id", "component").join(counts, "asset_id", "left")
+    rows = positioned(named, "scan_id", ["name", "asset_id"])
+    headers = _titled(parts.groupBy("scan_id").agg(F.count("*").alias("asset_count")), names)
+    return Bill(headers.select("scan_id", "asset_count", "project_name", F.struct(*_head(timestamp, tool, tool_version)).alias("header")), rows)
+
+
+def export(whole: Bill, folder: str) -> None:
+    """Write a bill as JSON lines, a folder a scan: the header is line 0, components follow by position.
+
+    Files of a scan hold neighbouring positions; no task holds a whole scan.
+    """
+    head = whole.headers.select("scan_id", F.lit(0).cast("long").alias("position"), F.to_json("header").alias("value"))
+    rows = whole.rows.select("scan_id", "position", F.to_json("component").alias("value"))
+    lines = head.unionByName(rows).repartitionByRange("scan_id", "position").sortWithinPartitions("scan_id", "position")
+    lines.select("scan_id", "value").write.partitionBy("scan_id").text(folder)
+
+
+def documents(parts: DataFrame, names: DataFrame, timestamp: str, tool: str = "cipherledger", tool_version: str = "1.0.0") -> DataFrame:
+    """One JSON document per scan; ``names`` has scan_id and project_name.
+
+    A document is one value, so the components of one scan meet in one row: for scans
+    beyond what a row can hold (2 GB) use ``bill`` and ``export``.
+    """
+    grouped = parts.groupBy("scan_id").agg(
+        F.count("*").alias("asset_count"),
+        F.array_sort(F.collect_list(F.struct(F.col("component")["name"].alias("n"), "asset_id", "component"))).alias("c"),
     )
-    return titled.select("scan_id", "asset_count", F.to_json(document).alias("document"))
+    document = F.struct(*_head(timestamp, tool, tool_version), F.transform("c", lambda x: x["component"]).alias("components"))
+    return _titled(grouped, names).select("scan_id", "asset_count", F.to_json(document).alias("document"))
 
 
 _TOP = ["bomFormat", "specVersion", "serialNumber", "version", "metadata", "components"]

@@ -136,6 +136,28 @@ def b7(spark, d):
     )
 
 
+@query("b7_bill", sql(
+    "SELECT a.scan_id, row_number() OVER (PARTITION BY a.scan_id ORDER BY a.canonical, a.asset_id)::BIGINT AS position, a.asset_id, a.canonical AS name, "
+    "a.evidence_count::BIGINT AS evidence_count, least(a.evidence_count, 10)::INT AS occurrences, least(a.evidence_count, 5)::INT AS methods FROM assets a UNION ALL "
+    "SELECT a.scan_id, 0, NULL, coalesce(any_value(s.project_id), 'unknown-project'), count(*), NULL, NULL "
+    "FROM assets a LEFT JOIN scans s ON s.scan_id = a.scan_id GROUP BY a.scan_id", "assets", "scans"))
+def b7_bill(spark, d):
+    """Header and component rows in order, with the true number of evidence rows beside the shown ones."""
+    assets, evidence = fx.assets(spark, d), fx.evidence(spark, d)
+    names = fx.SCANS(spark, d).select("scan_id", F.col("project_id").alias("project_name"))
+    whole = bom.bill(bom.components(assets, evidence), assets, names, STAMP)
+    shown = F.col("component")["evidence"]
+    rows = whole.rows.select(
+        "scan_id", "position", "asset_id", "name", F.col("evidence_count").cast("long").alias("evidence_count"), F.size(shown["occurrences"]).alias("occurrences"),
+        F.size(shown["identity"]["methods"]).alias("methods"),
+    )
+    heads = whole.headers.select(
+        "scan_id", F.lit(0).cast("long").alias("position"), F.lit(None).cast("string").alias("asset_id"), F.col("header")["metadata"]["component"]["name"].alias("name"),
+        F.col("asset_count").alias("evidence_count"), F.lit(None).cast("int").alias("occurrences"), F.lit(None).cast("int").alias("methods"),
+    )
+    return rows.unionByName(heads)
+
+
 @query("b8_validate_documents", sql(
     "SELECT scan_id, true AS is_valid, 0 AS errors FROM (SELECT DISTINCT scan_id FROM assets)", "assets"))
 def b8(spark, d):
