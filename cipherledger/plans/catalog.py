@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cipherledger.plans import artifacts, boms, fixtures, fusion, graphs, inventories, migrations, risks, runs_and_stores, source_code, whole_runs  # noqa: F401
+from cipherledger.plans import artifacts, boms, fixtures, fusion, graphs, inventories, migrations, risks, runs_and_stores, sets, source_code, whole_runs  # noqa: F401
 from cipherledger.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
