@@ -488,3 +488,31 @@ def l5(spark, d):
     content = F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("C328"))).otherwise(F.unhex(F.lit(""))))
     rows = docs.select("doc_id", path.alias("path"), content.alias("content"))
     return runs.input_errors(rows, 8000).select("doc_id", "error_code")
+
+
+def _streamed(spark, d) -> DataFrame:
+    """Stages from a stream of four landings: events by time, the late ones, and some once more."""
+    from cipherledger.streaming import stages as stream
+
+    root = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    events = STAGES(spark, d).select("scan_id", F.col("event_id").cast("bigint"), "stage", "state", F.col("updated_at").cast("timestamp"), "error")
+    span = events.agg(F.min("updated_at").alias("a"), F.max("updated_at").alias("b")).first()
+    half = span["a"] + (span["b"] - span["a"]) / 2
+    late = F.col("event_id") % 10 == 0
+    for part in (events.filter(~late & (F.col("updated_at") < half)), events.filter(~late & (F.col("updated_at") >= half)), events.filter(late), events.filter("event_id % 7 = 0")):
+        part.coalesce(2).write.mode("append").parquet(f"{root}/in")
+    delay = f"{(span['b'] - span['a']).days + 1} days"
+    stream.keep(stream.watch(spark, f"{root}/in", 2), f"{root}/out", f"stages-{uuid.uuid4().hex}", delay).awaitTermination()
+    return stream.stored(spark, f"{root}/out")
+
+
+@query("l1_streamed_stages", sql("SELECT scan_id, stage, state, error FROM stages", "stages"))
+def l1_streamed(spark, d):
+    return _streamed(spark, d).select("scan_id", "stage", "state", "error")
+
+
+@query("l2_streamed_states", sql(
+    "SELECT scan_id, CASE WHEN bool_or(state = 'failed') THEN 'failed' WHEN bool_or(stage = 'export' AND state = 'done') THEN 'completed' WHEN bool_and(state = 'pending') THEN 'queued' ELSE 'running' END AS state "
+    "FROM stages GROUP BY scan_id", "stages"))
+def l2_streamed(spark, d):
+    return runs.scan_states(_streamed(spark, d)).select("scan_id", "state")
