@@ -16,7 +16,7 @@ from cipherledger.plans import graphs, migrations  # noqa: F401  (shared sub-que
 from cipherledger.plans.registry import cte, query, sql
 from cipherledger.plans.source_code import pick
 from cipherledger.session import shared_folder
-from cipherledger.sources import archives, files, records, store
+from cipherledger.sources import archives, files, records, store, versions
 
 # --- files -----------------------------------------------------------------------------
 NAMES = (
@@ -228,6 +228,21 @@ def s14b(spark, d):
     return store.read_store(spark, path, first.schema).select("scan_id", "asset_id", "run")
 
 
+@query("s14_versioned_rescan", sql(
+    "SELECT scan_id, asset_id, 'old' AS run FROM assets WHERE CAST(substr(scan_id, 6) AS INT) % 4 <> 0 UNION ALL "
+    "SELECT scan_id, asset_id, 'new' FROM assets WHERE CAST(substr(scan_id, 6) AS INT) % 4 = 0 AND surface = 'code'", "assets"))
+def s14c(spark, d):
+    """A re-scan as a new version of its buckets, made visible by a manifest; a later change that was never committed stays unseen."""
+    path = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    a = fx.assets(spark, d).select("scan_id", "asset_id", "surface")
+    first = a.withColumn("run", F.lit("old")).drop("surface")
+    versions.rescan(first, path, 8)
+    again = a.filter("CAST(substr(scan_id, 6) AS INT) % 4 = 0 AND surface = 'code'").withColumn("run", F.lit("new")).drop("surface")
+    versions.rescan(again, path, 8)
+    versions.prepare(first.withColumn("run", F.lit("lost")), path, 8)
+    return versions.read(spark, path, first.schema)
+
+
 @query("s15_report_files", sql(
     "SELECT asset_id, canonical, family, quantum_status, claim_state, round(confidence, 6) AS confidence, array_to_string(roles, ',') AS roles, evidence_count FROM assets", "assets"))
 def s15(spark, d):

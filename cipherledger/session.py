@@ -55,21 +55,22 @@ def clear_written(spark: SparkSession, start: int = 0, keep: int = 0) -> int:
     return len(gone)
 
 
-def _storage(spark: SparkSession, name: str):
+def storage(spark: SparkSession, name: str):
+    """The file system and path object behind a name."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def remove(spark: SparkSession, name: str) -> None:
     """Delete a file or folder of the cluster's storage, if it is there."""
-    storage, path = _storage(spark, name)
-    storage.delete(path, True)
+    files, path = storage(spark, name)
+    files.delete(path, True)
 
 
 def exists(spark: SparkSession, name: str) -> bool:
     """Whether the cluster's storage has a file or folder."""
-    storage, path = _storage(spark, name)
-    return storage.exists(path)
+    files, path = storage(spark, name)
+    return files.exists(path)
 
 
 def written_path(spark: SparkSession, name: str) -> str:

@@ -33,7 +33,7 @@ def store_by_scan(rows: DataFrame, path: str, mode: str = "append", buckets: int
 
 
 def read_store(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
-    return spark.read.schema(StructType(columns.fields).add(_BUCKET, IntegerType())).parquet(path)
+    return spark.read.schema(StructType([*columns.fields]).add(_BUCKET, IntegerType())).parquet(path)
 
 
 def store_and_read(rows: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
@@ -52,7 +52,7 @@ def rescan(incoming: DataFrame, path: str, buckets: int = BUCKETS) -> None:
 
 
 def store_graph(nodes: DataFrame, edges: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes with labels of at most 500 characters, then the edges whose both ends are stored."""
+    """Nodes, then the edges whose both ends are stored."""
     from cipherledger.operators.graph import valid_edges
 
     base = f"{path}-{uuid.uuid4().hex}"
