@@ -14,7 +14,7 @@ SCHEMA = (
 
 def _frame(spark, rows):
     wide = [(i, t, x, s, len(t or ""), "r", "k", 1, 2, "x", "w", "l", "s", "b", "o", 3, 4) for i, t, x, s in rows]
-    return spark.createDataFrame(wide, SCHEMA).drop("_row").repartition(4)
+    return spark.createDataFrame(wide, SCHEMA).repartition(4)
 
 
 @pytest.fixture(scope="session")
