@@ -15,6 +15,7 @@ from cipherledger.session import clear_written, written, written_so_far
 
 SURE = 0.3  # the least share of positions that must speak for a document's language
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+ALIKE = 80  # percent of shared shingles from which two documents are near copies
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near_dedup.unique(docs)
+    return near_dedup.unique(docs, ALIKE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

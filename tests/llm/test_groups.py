@@ -200,7 +200,7 @@ def test_pipeline_stages(spark):
         if name == "language_id":
             assert len(ids) >= 0.98 * len(before)
         if name == "near_dedup":
-            assert ids == {c for _, c in brute.near_groups(before).values()}
+            assert ids == {c for _, c in brute.near_groups(before, 80).values()}
         if name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
             assert ids == {i for i, x in brute.contamination(before, items).items() if not x[1]}
