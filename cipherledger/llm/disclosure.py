@@ -5,18 +5,24 @@ Patterns are written so that a failed attempt is never repeated inside the same
 of characters, so matching is linear in the text. Positions come from the lengths
 of the pieces between matches, summed in order.
 
-Method: information-theoretic sanitisation. A found value is a protected entity;
-the REACH characters on both sides of each occurrence are its contexts. With counts
-over the whole corpus, a term t near an entity c has PMI(c; t) = log2 p(t | c) / p(t),
-where p(t | c) is the share of c's distinct contexts that hold t and p(t) the
-chance that a context of average size holds it. IC(c) = -log2 p(c) is what there is
-to know; PMI(c; t) = IC(c) means that t occurs only with c. A term of at least
-SUPPORT distinct contexts with PMI >= REMOVE * IC is removed, with PMI >= GENERALISE
-* IC generalised to its kind of word, wherever it stands near that entity. Contexts
-that are equal on both sides count once, so plain copies add no evidence.
+Method: information-theoretic sanitisation. A found value is a protected entity e, and
+the unit of co-occurrence is the whole text: with x of the n occurrences of a term t
+in texts that hold e, p(e | t) = x / n and PMI(e; t) = log2 p(e | t) / p(e), against
+IC(e) = -log2 p(e), what there is to know. IC - PMI = -log2 p(e | t) is what stays
+unknown of e to somebody who sees t, in bits; it does not depend on how many texts
+there are. p(e | t) is taken at its lower confidence bound (Wilson, Z deviations), so
+a value seen once is served as well, and a single occurrence is no evidence. A term
+that leaves at most REMOVE bits is removed, one that leaves at most GENERALISE bits is
+generalised to its kind of word, at every place in the texts that hold that entity.
+Equal texts count once, so plain copies add no evidence.
+
+Entities that stand in the same texts are one class, and so are terms with the same
+counts in the same texts; so a text with many values and many rare words makes few
+pairs. Terms that can't reach a threshold with any entity are left out by counts.
 
 Defined results: null is the empty text, without spans; repeated rows repeat their
-spans and add no evidence; a term inside a found value is no term; an empty table
+spans and add no evidence; a place inside a found value is not marked again; of two
+entities that a term gives away the one with fewer bits left decides; an empty table
 gives an empty table; other columns are ignored.
 """
 
@@ -25,13 +31,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cipherledger.llm import bitmap, rows
 from cipherledger.session import written
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")  # in the order of listing
-REACH = 80
-SUPPORT = 3
-GENERALISE = 0.6
-REMOVE = 0.9
+LETTERS = 3  # shorter words are no terms
+Z = 1.0
+GENERALISE = 0.75
+REMOVE = 0.5
 _TERM = r"[\p{L}\p{N}]+"
 _LOCAL = "[A-Za-z0-9._%+-]"
 
@@ -46,6 +53,10 @@ PATTERNS = {
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
+def _digest() -> F.Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def _digits(value: str) -> F.Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -68,7 +79,7 @@ def _valid() -> F.Column:
 
 
 def matches(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """row, doc_id, hits: every pattern match with the gap before it and the text around it; one row a document.
+    """row, doc_id, digest, hits, whole: every pattern match with the gap before it, and the text if there is one; one row a document.
 
     ``row`` names a column that numbers the rows; without it they are numbered here.
     """
@@ -88,68 +99,90 @@ def matches(docs: DataFrame, row: str | None = None) -> DataFrame:
         def one(value, i):
             return F.struct(
                 F.lit(kind).alias("kind"), i.alias("i"), F.length(gaps[i]).alias("gap"), value.alias("value"),
-                F.right(gaps[i], F.lit(REACH + 1)).alias("before"), F.left(gaps[i + 1], F.lit(REACH + 1)).alias("after"),
             )
 
         return F.transform(kind, one)
 
-    return d.select("row", "doc_id", F.concat(*[hit(k) for k in PATTERNS]).alias("hits"))
+    d = d.select("row", "doc_id", _digest().alias("digest"), F.concat(*[hit(k) for k in PATTERNS]).alias("hits"), "text")
+    return d.withColumn("whole", F.when(F.size("hits") > 0, F.col("text"))).drop("text")
 
 
 def base_spans(found: DataFrame) -> DataFrame:
-    """row, kind, value, start, end, before, after of valid matches; positions are code points."""
-    flat = found.select("row", F.explode_outer("hits").alias("h")).filter("h is not null").select("row", "h.*")
+    """row, digest, kind, value, start, end of valid matches; positions are code points."""
+    flat = found.filter(F.size("hits") > 0).select("row", "digest", F.explode("hits").alias("h")).select("row", "digest", "h.*")
     order = Window.partitionBy("row", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.length("value")).over(order)
     placed = flat.withColumn("end", end).withColumn("start", F.col("end") - F.length("value"))
-    return placed.filter(_valid()).select("row", "kind", "value", "start", "end", "before", "after")
+    return placed.filter(_valid()).select("row", "digest", "kind", "value", "start", "end")
 
 
-def _terms(spans: DataFrame) -> DataFrame:
-    """row, kind, value, context, term, start, end of the words in the reach of each span; windows are short."""
+def _found_terms(text: F.Column) -> F.Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
 
-    def words_of(side: str, origin: F.Column):
-        whole = F.col(side)
-        gaps, found = F.split(whole, _TERM, -1), F.regexp_extract_all(whole, F.lit(_TERM), F.lit(0))
 
-        def one(word, i):
-            passed = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g))
-            passed = passed + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, g: a + F.length(g))
-            return F.struct(F.lower(word).alias("term"), (origin + passed).alias("start"), (origin + passed + F.length(word)).alias("end"))
-
-        return F.transform(found, one)
-
-    # a window that was cut begins or ends inside a word: that word is left out
-    cut = spans.withColumn("whole_before", F.when(F.length("before") > REACH, F.regexp_replace("before", rf"^{_TERM}", "")).otherwise(F.col("before")))
-    cut = cut.withColumn("whole_after", F.when(F.length("after") > REACH, F.regexp_replace("after", rf"{_TERM}$", "")).otherwise(F.col("after")))
-    placed = cut.select(
-        "row", "kind", "value", F.xxhash64("before", "after").alias("context"),
-        F.explode(F.concat(words_of("whole_before", F.col("start") - F.length("whole_before")), words_of("whole_after", F.col("end")))).alias("t"),
-    )
-    return placed.select("row", "kind", "value", "context", "t.*").filter(F.col("term").rlike(r"\p{L}") & (F.length("term") >= 3))
+def _is_term(term: str) -> F.Column:
+    return (F.length(term) >= LETTERS) & F.col(term).rlike(r"\p{L}")
 
 
 def corpus_counts(docs: DataFrame) -> DataFrame:
-    """term, n: how often each term occurs in all texts."""
-    terms = F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit(_TERM), F.lit(0))
-    return docs.select(F.explode_outer(terms).alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("n"))
-
-
-def disclosing(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """kind, value, term, ratio = PMI / IC of all pairs with enough support and at least GENERALISE."""
-    contexts = terms.select("kind", "value", "context").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_value"))
-    joint = terms.select("kind", "value", "term", "context").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("n_joint"))
-    size = terms.groupBy("row", "kind", "value", "context").agg(F.countDistinct("start").alias("k")).agg(F.avg("k").alias("size"))
-    counts = written(corpus_counts(docs), "terms")
-    total = counts.agg(F.sum("n").alias("total"))
-    known = joint.filter(F.col("n_joint") >= SUPPORT).join(contexts, ["kind", "value"]).join(counts, "term")
-    width = F.coalesce(size.select("size").scalar(), F.lit(1.0)) / F.coalesce(total.select("total").scalar(), F.lit(1))
-    known = known.withColumn("width", width)
-    p_term = F.least(F.lit(1.0), F.col("n") * F.col("width"))
-    p_value = F.least(F.lit(1.0), F.col("n_value") * F.col("width"))
-    pmi = F.log2(F.col("n_joint") / F.col("n_value")) - F.log2(p_term)
-    known = known.withColumn("ratio", pmi / F.greatest(-F.log2(p_value), F.lit(1e-9)))
-    return known.filter(F.col("ratio") >= GENERALISE).select("kind", "value", "term", "ratio")
+    """key, n: how often each term (by its hash) occurs in all different texts.
+
+    Texts that may have copies, by a fixed bitmap, are made one by digest before they are counted.
+    """
+    known = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").withColumn("h", rows.text_hash())
+    twice = known.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    hit = written(bitmap.bits(twice.select("h")), "bits")
+    copied = bitmap.holds(hit, F.col("h"))
+    keys = F.transform(F.filter(_found_terms(F.col("text")), lambda w: F.length(w) >= LETTERS), lambda w: F.xxhash64(w))
+    single = known.filter(~copied).select(keys.alias("keys"))
+    copies = known.filter(copied).select(_digest().alias("digest"), keys.alias("keys")).groupBy("digest").agg(F.first("keys").alias("keys"))
+    both = single.unionByName(copies.select("keys"))
+    return both.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def unknown_bits(x, n) -> F.Column:
+    """-log2 of the lower Wilson bound of x / n at Z deviations."""
+    x, n = F.col(x).cast("double"), F.col(n).cast("double")
+    z2 = Z * Z
+    low = (x + z2 / 2 - Z * F.sqrt(x * (n - x) / n + z2 / 4)) / (n + z2)
+    return -F.log2(F.greatest(low, F.lit(1e-12)))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, base: DataFrame) -> DataFrame:
+    """digest, term, bits: for each text with values its terms that leave at most GENERALISE bits of one of them."""
+    held = base.select("digest", "kind", "value").distinct()
+    sign = F.bit_xor(F.xxhash64("digest"))
+    entities = held.groupBy("kind", "value").agg(F.count("*").alias("n_e"), sign.alias("sign_e"))
+    # one class: the same number of texts with the same sign
+    classes = written(held.join(entities, ["kind", "value"]).select("digest", "n_e", "sign_e").distinct(), "entities")
+
+    texts = found.join(base.select("row").distinct(), "row", "left_semi").groupBy("digest").agg(F.first("whole").alias("whole"))
+    own = texts.select("digest", F.explode(_found_terms(F.col("whole"))).alias("term")).filter(_is_term("term"))
+    own = written(own.groupBy("digest", "term").agg(F.count("*").alias("c")).withColumn("key", F.xxhash64("term")), "terms")
+    # x is at most the occurrences in all texts with values: what stays below the bound with these can't reach it
+    least = 2.0**-GENERALISE
+    near = own.groupBy("key").agg(F.sum("c").alias("n_near"), F.max("c").alias("most"), F.bit_xor(F.xxhash64("digest", "c")).alias("sign_t"))
+    near = near.join(corpus_counts(docs), "key").filter((F.col("n") > 1) & (F.col("n_near") >= least * F.col("n")))
+    rare = written(own.join(near, "key").select("digest", "term", "c", "n", "most", "sign_t"), "rare")
+
+    groups = rare.select("digest", "c", "n", "most", "sign_t").distinct()
+    pairs = written(groups.join(classes, "digest").filter(F.col("n_e") * F.col("most") >= least * F.col("n")), "pairs")
+    joint = pairs.groupBy("n_e", "sign_e", "n", "sign_t").agg(F.sum("c").alias("x"))
+    known = joint.withColumn("bits", unknown_bits("x", "n")).filter(F.col("bits") <= GENERALISE)
+    told = pairs.join(known, ["n_e", "sign_e", "n", "sign_t"]).groupBy("digest", "n", "sign_t").agg(F.min("bits").alias("bits"))
+    return rare.join(told, ["digest", "n", "sign_t"]).select("digest", "term", "bits")
+
+
+def _places(found: DataFrame, told: DataFrame) -> DataFrame:
+    """row, kind, start, end of every occurrence of a text's disclosing terms."""
+    texts = found.filter("whole is not null").join(told.select("digest").distinct(), "digest", "left_semi")
+    gaps, words = F.split("whole", _TERM, -1), F.regexp_extract_all("whole", F.lit(_TERM), F.lit(0))
+    pieces = F.transform(words, lambda w, i: F.struct(w.alias("word"), F.length(gaps[i]).alias("gap")))
+    flat = texts.select("row", "digest", F.posexplode(pieces).alias("i", "p")).select("row", "digest", "i", "p.*")
+    end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("row").orderBy("i"))
+    placed = flat.withColumn("end", end).withColumn("start", F.col("end") - F.length("word")).withColumn("term", F.lower("word"))
+    act = F.when(F.col("bits") <= REMOVE, "remove").otherwise("generalise")
+    return placed.join(told, ["digest", "term"]).select("row", act.alias("kind"), "start", "end")
 
 
 def _clear_of(base: DataFrame, extra: DataFrame) -> DataFrame:
@@ -167,11 +200,8 @@ def spans(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame
     """(row and doc_id of every document; row, kind, start, end of all spans); ``row`` as in ``matches``."""
     found = written(matches(docs, row), "matches")
     base = written(base_spans(found), "spans")
-    terms = written(_terms(base), "contexts")
-    pairs = disclosing(docs, terms)
-    act = F.when(F.col("ratio") >= REMOVE, "remove").otherwise("generalise")
-    flagged = terms.join(pairs, ["kind", "value", "term"]).groupBy("row", "start", "end").agg(F.max("ratio").alias("ratio"))
-    extra = written(flagged.select("row", act.alias("kind"), "start", "end"), "disclosing")
+    told = written(disclosing(docs, found, base), "told")
+    extra = written(_places(found, told), "disclosing")
     return found.select("row", "doc_id"), base.select("row", "kind", "start", "end").unionByName(_clear_of(base, extra))
 
 

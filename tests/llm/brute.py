@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import math
 import re
 
 SMALL = "/root/testdata/sf0.001"
@@ -125,6 +127,33 @@ def personal(text):
     return ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans), tuple(sum(x[2] == k for x in spans) for k in order)
 
 
+def disclosed(texts, z=1.0, generalise=0.75, remove=0.5):
+    """text -> set of (kind, start, end) of terms that give a found value away, from counts over the different texts."""
+    texts = {t for t in texts if t}
+    spans = {t: [(k, m) for k in KINDS for m in re.finditer(KINDS[k], t) if _valid(k, m.group())] for t in texts}
+    words = {t: [(m.group().lower(), m) for m in re.finditer(r"[^\W_]+", t)] for t in texts}
+    total = collections.Counter(w for t in texts for w, _ in words[t])
+    held = collections.defaultdict(set)
+    for t in texts:
+        for k, m in spans[t]:
+            held[k, m.group()].add(t)
+    told = {t: {} for t in texts}
+    for where in held.values():
+        x = collections.Counter(w for t in where for w, _ in words[t])
+        for w, c in x.items():
+            n = total[w]
+            low = (c + z * z / 2 - z * math.sqrt(c * (n - c) / n + z * z / 4)) / (n + z * z)
+            if len(w) >= 3 and any(ch.isalpha() for ch in w) and n > 1 and -math.log2(max(low, 1e-12)) <= generalise:
+                for t in where:
+                    told[t][w] = min(told[t].get(w, 9.0), -math.log2(low))
+    out = {}
+    for t in texts:
+        base = [m.span() for _, m in spans[t]]
+        marks = [("remove" if told[t][w] <= remove else "generalise", *m.span()) for w, m in words[t] if w in told[t]]
+        out[t] = {(k, a, b) for k, a, b in marks if all(b <= c or a >= d for c, d in base)}
+    return out
+
+
 def rules(text):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     text = text or ""

@@ -105,6 +105,33 @@ def test_personal_data_and_disclosing_terms(frame, odd_rows, no_rows):
     assert disclosure.listed(no_rows).collect() == []
 
 
+def test_disclosing_terms_by_brute_force(frame, odd_rows, vocabulary):
+    """Whole texts: values seen once, places far from the value, copies, shared values, many values and many rare words in one text."""
+    rng = random.Random(15)
+
+    def fill(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    values = [f"user{i}@mail.example.org" for i in range(12)] + [f"10.2.{i}.7" for i in range(8)]
+    texts = [f"Blauwal {fill(300)} call +49 30 1234567 walross {fill(300)} blauwal, walross Walross"]  # one text holds the value, 2000 characters away
+    texts += [f"{fill(40)} {' '.join(rng.sample(values, rng.randint(1, 3)))} {fill(rng.randint(5, 90))} tag{rng.randint(0, 9)}x tag{rng.randint(0, 30)}y" for _ in range(60)]
+    texts += [f"{fill(50)} tag{i % 10}x" for i in range(9)]
+    texts += [" ".join(f"list{i}@many.example.org word{i}q word{i}q" for i in range(150)), "single odd@one.example.org hapaxword"]
+    texts += [texts[0]] * 5 + [texts[3]] * 4
+    rows = odd_rows + [(1000 + i, t, "en", "s") for i, t in enumerate(texts)]
+    expected = brute.disclosed([t for _, t, *_ in rows])
+    got = disclosure.listed(frame(rows)).collect()
+    source = {i: t for i, t, *_ in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert {(s.kind, s.start, s.end) for s in r.spans if s.place > 4} == expected.get(source[r.doc_id], set())
+    marked = {(r.doc_id, s.kind, source[r.doc_id][s.start : s.end]) for r in got for s in r.spans if s.place > 4}
+    assert {(1000, "generalise", "Blauwal"), (1000, "generalise", "blauwal")} <= marked
+    assert (1000, "remove", "Walross") in marked and not any(w == "hapaxword" for _, _, w in marked)
+    bare = {i for i, t, *_ in rows if not brute.personal(t)[0]}
+    assert not bare & {i for i, *_ in marked}
+
+
 # 5 sharding
 
 
