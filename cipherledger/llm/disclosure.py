@@ -177,8 +177,9 @@ def _places(found: DataFrame, told: DataFrame) -> DataFrame:
     """row, kind, start, end of every occurrence of a text's disclosing terms."""
     texts = found.filter("whole is not null").join(told.select("digest").distinct(), "digest", "left_semi")
     gaps, words = F.split("whole", _TERM, -1), F.regexp_extract_all("whole", F.lit(_TERM), F.lit(0))
-    pieces = F.transform(words, lambda w, i: F.struct(w.alias("word"), F.length(gaps[i]).alias("gap")))
-    flat = texts.select("row", "digest", F.posexplode(pieces).alias("i", "p")).select("row", "digest", "i", "p.*")
+    # zipped, so that each is made once for a text; the gap after the last word has no word
+    pieces = F.arrays_zip(words.alias("word"), F.transform(gaps, F.length).alias("gap"))
+    flat = texts.select("row", "digest", F.posexplode(pieces).alias("i", "p")).select("row", "digest", "i", "p.*").filter("word is not null")
     end = F.sum(F.col("gap") + F.length("word")).over(Window.partitionBy("row").orderBy("i"))
     placed = flat.withColumn("end", end).withColumn("start", F.col("end") - F.length("word")).withColumn("term", F.lower("word"))
     act = F.when(F.col("bits") <= REMOVE, "remove").otherwise("generalise")
