@@ -500,7 +500,7 @@ def j14(spark, d):
 def l5(spark, d):
     docs = fx.table(spark, d, "documents")
     path = F.expr("CASE WHEN doc_id % 9 = 0 THEN 'a/../d' ELSE 'd' END || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.json' ELSE '.txt' END")
-    content = F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("C328"))).otherwise(F.unhex(F.lit(""))))
+    content = F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("C328"))).otherwise(F.unhex(F.lit(""))))
     rows = docs.select("doc_id", path.alias("path"), content.alias("content"))
     return runs.input_errors(rows, 8000).select("doc_id", "error_code")
 
