@@ -24,3 +24,12 @@ def test_copied_edges_keep_old_ends(spark):
     known = {"a", "b", "x"}
     new = lambda c, i: key(c, i) if i in known else i
     assert got == {(c, key(c, e), new(c, s), new(c, d)) for c in ("c1", "c2") for scan, e, s, d in EDGE_ROWS if scan == "s"}
+
+
+def test_copies_move_no_row_by_scan(spark):
+    """The scans of the copies are a stored small table, so evidence is not dealt by its few scans."""
+    rows = spark.range(1000).selectExpr("'s' || id % 5 AS scan_id", "string(id) AS evidence_id", "string(id % 7) AS asset_id")
+    copies = spark.range(50).selectExpr("'s' || id AS from_scan", "'c' || id AS to_scan")
+    plan = store.copy_evidence(rows, rows.select("asset_id").distinct(), copies)
+    assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count() == 1000
