@@ -11,6 +11,12 @@ def _tables(spark):
     return nodes, spark.createDataFrame(EDGE_ROWS, EDGES)
 
 
+def test_stored_edges_have_both_ends(spark, tmp_path):
+    nodes, edges = store.store_graph(*_tables(spark), str(tmp_path / "g"))
+    assert nodes.count() == 3
+    assert {r.edge_id for r in edges.collect()} == {"1", "6"}
+
+
 def test_missing_ends_are_ids_without_a_node(spark):
     nodes, edges = _tables(spark)
     assert {r.end for r in graph.missing_ends(edges, nodes).collect()} == {"gone", "lost"}
