@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, AtomicType, DataType, IntegralType, StringType, VariantType
 
 from cipherledger.functions import vocab
 
@@ -118,12 +119,31 @@ def expected_set_check(assets: DataFrame, expected: list[str]) -> DataFrame:
 
 
 def first_of_key(rows: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
-    """First row of each key in ``order``; partial aggregation keeps one row per key and task."""
+    """First row of each key in ``order``; partial aggregation keeps one row per key and task.
+
+    Columns that are keys themselves are taken from the key, and those of ``order`` are
+    carried once where all other columns can be compared.
+    """
     named = [k.alias(f"_k{i}") for i, k in enumerate(key)]
-    picked = rows.select("*", *named).groupBy(*[f"_k{i}" for i in range(len(key))]).agg(
-        F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")
-    )
-    return picked.select("_row.*")
+    keyed = rows.select(*named)
+    same = {name: f"_k{i}" for i, name in enumerate(rows.select(*key).columns) if name in rows.columns and _exact(keyed.schema[f"_k{i}"].dataType)}
+    ordered = [c for c in order if c not in same]
+    rest = [c for c in rows.columns if c not in same and c not in ordered]
+    if ordered and all(_comparable(rows.schema[c].dataType) for c in rest):
+        picked = F.min(F.struct(*ordered, *rest))
+    else:
+        picked = F.min_by(F.struct(*ordered, *rest) if ordered or rest else F.lit(True), F.struct(*order))
+    found = rows.select("*", *named).groupBy(*[f"_k{i}" for i in range(len(key))]).agg(picked.alias("_row"))
+    return found.select(*[F.col(same[c] if c in same else f"_row.{c}").alias(c) for c in rows.columns])
+
+
+def _exact(kind: DataType) -> bool:
+    """Whether equal keys of this type are the same value (0.0 and -0.0 are equal)."""
+    return isinstance(kind, (StringType, IntegralType)) or isinstance(kind, ArrayType) and _exact(kind.elementType)
+
+
+def _comparable(kind: DataType) -> bool:
+    return isinstance(kind, AtomicType) and kind != VariantType() or isinstance(kind, ArrayType) and _comparable(kind.elementType)
 
 
 def top_per_key(rows: DataFrame, key: str, order: list, n: int, rank: str = "rn") -> DataFrame:
