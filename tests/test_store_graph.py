@@ -39,3 +39,24 @@ def test_copies_move_no_row_by_scan(spark):
     plan = store.copy_evidence(rows, rows.select("asset_id").distinct(), copies)
     assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
     assert plan.count() == 1000
+
+
+def test_few_cuts_reach_the_location_join(spark):
+    """Only substrings with the ends of a repository are joined, and matches are those of a search."""
+    repos = {"a": ["svc/1/src", "/svc/1/"], "b": ["vc/2/sr"], "c": ["/"], "d": ["//x/"]}
+    places = ["svc/1/src/f3.py:1", "svc/2/src/f3.py:12", "x/svc/1/g", "none", "x/"]
+    services = spark.createDataFrame(list(repos.items()), "service string, repositories array<string>")
+    rows = spark.createDataFrame([(p,) for p in places], "source_location string")
+    want = {(s, p) for s, rs in repos.items() for p in places if any(r in p or p.startswith(r.lstrip("/")) for r in rs)}
+    assert {tuple(r) for r in graph.location_matches(services, rows).collect()} == want
+    parts = spark.createDataFrame([("svc/1/src", False), ("/svc/1/", False), ("vc/2/sr", False), ("svc/1/", True)], "part string, at_start boolean")
+    cuts = {tuple(r) for r in graph._cuts(rows.filter("source_location like 'svc/1%'"), parts).collect()}
+    assert cuts == {("svc/1/src/f3.py:1", p, f) for p, f in (("svc/1/src", False), ("vc/1/sr", False), ("svc/1/", True))}
+
+
+def test_rows_of_assets_need_no_digest(spark):
+    rows = spark.range(3).selectExpr("id", "if(id > 0, 'algorithm', 'library') AS evidence_class")
+    rows = rows.withColumn("asset_id", graph.F.when(graph.F.col("evidence_class") == "algorithm", graph.sha_key(graph.F.col("id").cast("string"))))
+    plan = graph.of_assets(rows).select("id")
+    assert {r.id for r in plan.collect()} == {1, 2} and "sha2" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert graph.of_assets(rows.drop("evidence_class")).count() == 2
