@@ -58,12 +58,14 @@ def string_matches(files: DataFrame) -> DataFrame:
 def scan_strings(files: DataFrame) -> DataFrame:
     """String-scan findings, the first per file and algorithm."""
     keys = [c for c in files.columns if c != "content"]
-    rows = string_matches(files).select(
-        *keys, "ord", F.lit("binary.string_scan").alias("detector"), F.col("signal").alias("raw_signal"),
+    # only what differs between rows goes through the aggregation
+    rows = string_matches(files).select(*keys, "ord", F.col("signal").alias("raw_signal"), "algorithm_hint", "file_type", "file_size")
+    first = first_of_key(rows, [*[F.col(k) for k in keys], F.col("algorithm_hint")], ["ord"])
+    return first.select(
+        *keys, "ord", F.lit("binary.string_scan").alias("detector"), "raw_signal",
         _roles().alias("roles"), "algorithm_hint", F.lit(0.45).alias("confidence"), F.lit("binary").alias("source_type"),
         F.create_map(F.lit("file_type"), F.col("file_type"), F.lit("file_size"), F.col("file_size").cast("string")).alias("provenance"),
     )
-    return first_of_key(rows, [*[F.col(k) for k in keys], F.col("detector"), F.col("algorithm_hint")], ["ord"])
 
 
 _LIBRARY = "^(" + "|".join(vocab.CRYPTO_LIBRARIES) + ")"
