@@ -180,3 +180,39 @@ def line_classes(lines, least=20, most=2):
                 f.join(a, b)
                 near |= {a, b}
     return {x: f.root(x) for x in lines}, near
+
+
+def _discounts(counts):
+    c = [sum(n == k for n in counts.values()) for k in range(5)]
+    if min(c[1:]) == 0:
+        return [0.0, 0.5, 0.75, 0.9]
+    y = c[1] / (c[1] + 2 * c[2])
+    return [0.0] + [min(max(k - (k + 1) * y * c[k + 1] / c[k], 0.1), k - 0.01) for k in (1, 2, 3)]
+
+
+def kneser_ney(texts, order):
+    """A function p(n-gram) of an interpolated modified Kneser-Ney model of bytes; zero bytes stand before a text."""
+    levels = {order: collections.Counter(g for t in texts for g in byte_grams(t, order))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = collections.Counter(g[1:] for g in levels[k + 1])
+    followers = {}
+    for k, counts in levels.items():
+        for g, n in counts.items():
+            followers.setdefault((k, g[:-1]), []).append(n)
+    cuts = {k: _discounts(c) for k, c in levels.items()}
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k, rest = len(g), followers.get((len(g), g[:-1]))
+        if not rest:
+            return p(g[1:])
+        n, d = levels[k][g], cuts[k]
+        return (n - d[min(n, 3)] + sum(d[min(m, 3)] for m in rest) * p(g[1:])) / sum(rest)
+
+    return p
+
+
+def byte_grams(text, order):
+    padded = bytes(order - 1) + text
+    return [padded[i : i + order] for i in range(len(text))]

@@ -1,7 +1,9 @@
 """Operators that work text by text."""
 
 import base64
+import math
 import random
+import zlib
 
 import brute
 import numpy as np
@@ -184,6 +186,51 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(model.logp(every).astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_scores_are_those_of_the_other_fold(frame, odd_rows, vocabulary):
+    rng = random.Random(14)
+    rows = odd_rows[:6] + odd_rows[8:] + [(100 + i, " ".join(rng.choices(vocabulary, k=40)), "en", "s") for i in range(30)]
+    texts = {(t or "").encode() for _, t, *_ in rows}
+    models = [brute.kneser_ney([t.encode() for _, t, *_ in rows if t and zlib.crc32(t.encode()) & 1 == 1 - fold], perplexity.LONG) for fold in (0, 1)]
+    expected = {}
+    for i, t, *_ in rows:
+        if t:
+            model = models[zlib.crc32(t.encode()) & 1]
+            grams = brute.byte_grams(t.encode(), perplexity.LONG)
+            expected[i] = -sum(math.log(model(g)) for g in grams) / len(grams)
+    assert len(texts) > 30
+    for r in perplexity.judged(frame(rows)).collect():
+        assert r.score == (None if r.doc_id not in expected else pytest.approx(expected[r.doc_id], abs=1e-3))
+
+
+def test_capitals_other_scripts_and_word_order(frame):
+    rng = random.Random(15)
+    small = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 7))) for _ in range(300)]
+    follow = {w: rng.sample(small, 2) for w in small}
+
+    def text():
+        w = rng.choice(small)
+        return [w := rng.choice(follow[w]) for _ in range(150)]
+
+    def mixed(word):
+        return "".join(rng.choice("abcdefghijklmnop") for _ in word)
+
+    forms = [("upper", str.upper), ("greek", lambda w: w.translate({97 + k: 0x3B1 + k for k in range(16)})), ("order", str)]
+    rows, odd = [], set()
+    for lang, form in forms:
+        for _ in range(120):
+            rows.append((len(rows), " ".join(map(form, text())), lang, "s"))
+        for _ in range(10):
+            own = text()
+            own = rng.sample(own, len(own)) if lang == "order" else list(map(mixed, own))
+            odd.add(len(rows))
+            rows.append((len(rows), " ".join(map(form, own)), lang, "s"))
+    kept = {r.doc_id: r.kept for r in perplexity.judged(frame(rows)).collect()}
+    for lang, _ in forms:
+        plain = [kept[i] for i, _, x, _ in rows if x == lang and i not in odd]
+        junk = [kept[i] for i, _, x, _ in rows if x == lang and i in odd]
+        assert sum(plain) >= 0.95 * len(plain) and sum(junk) <= 0.1 * len(junk), (lang, sum(plain), sum(junk))
+
+
 # 8 quality
 
 
