@@ -5,8 +5,9 @@ shingles is at least a given percentage; groups are the connected components. BA
 bands of ROWS minima make the bucket keys: at 0.8 two texts miss all buckets with
 probability (1 - 0.8^3)^20 = 6e-7. Lane k of a signature is the hash of the set
 nearest to a fixed random word in the XOR order. In a bucket all texts are held
-against one pivot, then another, and what is left across components against all;
-every link is confirmed on the full sets.
+against one pivot, then another, and what is left across components against all,
+under a test that never rejects near copies: an unshared shingle changes one of
+64 * SKETCH parities at most. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ SHINGLE = 5
 BANDS = 20
 ROWS = 3
 PIVOTS = 2
+SKETCH = 16  # words of 64 parities
 
 _rng = random.Random(78)
 _LANE = [_rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
@@ -65,12 +67,31 @@ def _against_pivot(m: DataFrame, turn: int, similar: int) -> DataFrame:
     return m.join(buckets, "bucket").filter(near).select(F.col("text_hash").alias("a"), F.col("p.text_hash").alias("b")).distinct()
 
 
-def _across(m: DataFrame, similar: int) -> DataFrame:
+def _sketches(sets: DataFrame) -> DataFrame:
+    """text_hash, sketch: which of 64 * SKETCH classes of shingles occur an odd number of times in the set."""
+    each = sets.select("text_hash", F.explode("set").alias("s"))
+    bit = F.expr("shiftleft(1L, cast(s & 63 as int))")
+    word = F.pmod(F.shiftright("s", 6), F.lit(SKETCH))
+    words = [F.bit_xor(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(SKETCH)]
+    made = each.select("text_hash", bit.alias("bit"), word.alias("word")).groupBy("text_hash").agg(*words)
+    return made.select("text_hash", F.array(*[f"w{k}" for k in range(SKETCH)]).alias("sketch"))
+
+
+def _may_match(a: str, b: str, similar: int) -> F.Column:
+    """A test that sets similar enough never fail: they leave at most (100 - similar) / (100 + similar) of both sizes unshared."""
+    unlike = sum((F.bit_count(F.col(f"{a}sketch")[k].bitwiseXOR(F.col(f"{b}sketch")[k])) for k in range(SKETCH)), F.lit(0))
+    return (100 + similar) * unlike <= (100 - similar) * (F.col(f"{a}size") + F.col(f"{b}size"))
+
+
+def _across(m: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     parts = m.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     whole = parts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    m = m.join(whole.select("bucket", "main"), "bucket")
-    x = m.filter("label != main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("text_hash", "label", "size")])
-    met = x.join(m, "bucket").filter((F.col("x_label") != F.col("label")) & _fits("x_size", "size", similar))
+    m = written(m.join(whole.select("bucket", "main"), "bucket").select("bucket", "text_hash", "label", "size", "main"), "apart")
+    m = m.join(_sketches(sets.join(m.select("text_hash").distinct(), "text_hash", "left_semi")), "text_hash")
+    x = m.filter("label != main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("text_hash", "label", "size", "sketch")])
+    y = m.select(F.col("bucket").alias("y_bucket"), "text_hash", "label", "size", "sketch")
+    near = (F.col("x_label") != F.col("label")) & _fits("x_size", "size", similar) & _may_match("x_", "", similar)
+    met = x.join(y, (F.col("bucket") == F.col("y_bucket")) & near)
     return met.select(F.least("x_text_hash", "text_hash").alias("a"), F.greatest("x_text_hash", "text_hash").alias("b")).distinct()
 
 
@@ -97,7 +118,7 @@ def near_copies(docs: DataFrame, wanted: DataFrame, similar: int) -> DataFrame |
         m = members.withColumn("label", F.col("text_hash"))
         if labels is not None:
             m = members.join(labels, "text_hash", "left").withColumn("label", F.coalesce("copy", "text_hash"))
-        new = written(_alike(_against_pivot(m, turn, similar) if turn < PIVOTS else _across(m, similar), sets, similar), "links")
+        new = written(_alike(_against_pivot(m, turn, similar) if turn < PIVOTS else _across(m, sets, similar), sets, similar), "links")
         if new.isEmpty():
             continue
         found = new if found is None else found.unionByName(new)

@@ -7,7 +7,7 @@ import brute
 import pytest
 from brute import SMALL
 
-from cipherledger.llm import components, line_dedup, near_dedup
+from cipherledger.llm import components, copies, line_dedup, near_dedup
 
 
 def test_components(spark):
@@ -44,6 +44,19 @@ def families(odd_rows, vocabulary):
     return rows + [(5000, "a b c", "en", "s"), (5001, "A  b c", "en", "s"), (5002, "a b", "en", "s")]
 
 
+def test_only_near_copies_of_a_bucket_are_paired(spark):
+    rng = random.Random(21)
+    shared = [rng.getrandbits(63) for _ in range(150)]
+    sets = {i: shared + [rng.getrandbits(63) for _ in range(150)] for i in range(120)}  # alike, but no copies
+    for i in range(30):  # 300 of 334 and 300 of 300 + 75 shared: just inside
+        sets[200 + i] = sets[i] + [rng.getrandbits(63) for _ in range(1 + i * 74 // 29)]
+    table = spark.createDataFrame([(i, s) for i, s in sets.items()], "text_hash bigint, set array<bigint>")
+    members = spark.createDataFrame([(7, i, i, len(s)) for i, s in sets.items()], "bucket bigint, text_hash bigint, label bigint, size int")
+    got = [tuple(r) for r in copies._across(members, table, 80).collect()]
+    assert set(got) >= {(i, 200 + i) for i in range(30)} and len(got) == len(set(got)) <= 40
+    assert {tuple(r) for r in copies._alike(copies._across(members, table, 80), table, 80).collect()} == {(i, 200 + i) for i in range(30)}
+
+
 def test_near_groups(frame, families, no_rows):
     expected = brute.near_groups({i: t for i, t, *_ in families if i is not None})
     got = near_dedup.classes(frame(families)).collect()
