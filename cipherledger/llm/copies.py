@@ -3,11 +3,12 @@
 Two texts are near copies if the Jaccard similarity of their sets of SHINGLE-word
 shingles is at least a given percentage; groups are the connected components. BANDS
 bands of ROWS minima make the bucket keys: at 0.8 two texts miss all buckets with
-probability (1 - 0.8^3)^20 = 6e-7. Lane k of a signature is the hash of the set
-nearest to a fixed random word in the XOR order. In a bucket all texts are held
-against one pivot, then another, and what is left across components against all,
-under a test that never rejects near copies: an unshared shingle changes one of
-64 * SKETCH parities at most. Every link is confirmed on the full sets.
+probability (1 - 0.8^3)^20 = 6e-7. A lane is the hash of the set nearest to a fixed
+word in the XOR order; the words differ in their six highest bits alone, so it is the
+least hash of one of 64 cells, or else of the nearest cell that has any. In a bucket all texts are held
+against PIVOTS pivots, and what is left across components against all, under a test
+that never rejects near copies: an unshared shingle changes one of 64 * SKETCH parities
+at most. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cipherledger.llm import bitmap, rows
 from cipherledger.llm.components import connected
-from cipherledger.session import written
+from cipherledger.session import clear_written, written, written_so_far
 
 SHINGLE = 5
 BANDS = 20
@@ -28,8 +29,8 @@ ROWS = 3
 PIVOTS = 2
 SKETCH = 16  # words of 64 parities
 
-_rng = random.Random(78)
-_LANE = [_rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+CELLS = 64  # by the highest bits of a hash
+_LANE = random.Random(78).sample(range(CELLS), BANDS * ROWS)
 
 
 def _worded(docs: DataFrame, hit: DataFrame) -> DataFrame:
@@ -47,9 +48,17 @@ def _shingle(i) -> F.Column:
     return F.xxhash64(*[F.get("w", i + k) for k in range(SHINGLE)])  # beyond the last word: nothing
 
 
+def _slice(i) -> F.Column:
+    """The same hash, of a slice: cheaper where expressions are interpreted."""
+    return F.xxhash64(F.slice("w", i + 1, SHINGLE))
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left, right = (sets.select(F.col("text_hash").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    """The pairs (a, b) whose full sets are similar enough; only sets of texts that stand in a pair are moved."""
+    pairs = written(pairs, "pairs")
+    left, right = (
+        sets.select(F.col("text_hash").alias(x), F.col("set").alias(f"set_{x}")).join(pairs.select(x), x, "left_semi") for x in "ab"
+    )
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= similar * either).select("a", "b")
@@ -59,12 +68,12 @@ def _fits(a: str, b: str, similar: int) -> F.Column:
     return 100 * F.least(a, b) >= similar * F.greatest(a, b)
 
 
-def _against_pivot(m: DataFrame, turn: int, similar: int) -> DataFrame:
-    rank = F.struct(-F.col("met"), F.col("text_hash")) if turn == 0 else F.xxhash64("text_hash", F.lit(turn))
-    pivot = F.min_by(F.struct("text_hash", "label", "size"), rank).alias("p")
-    buckets = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), pivot).filter("lo != hi").select("bucket", "p")
-    near = (F.col("label") != F.col("p.label")) & _fits("size", "p.size", similar)
-    return m.join(buckets, "bucket").filter(near).select(F.col("text_hash").alias("a"), F.col("p.text_hash").alias("b")).distinct()
+def _against_pivots(m: DataFrame, similar: int) -> DataFrame:
+    ranks = [F.struct(-F.col("met"), F.col("text_hash")), *[F.xxhash64("text_hash", F.lit(turn)) for turn in range(1, PIVOTS)]]
+    pivots = F.array(*[F.min_by(F.struct("text_hash", "size"), rank) for rank in ranks])
+    met = m.join(m.groupBy("bucket").agg(pivots.alias("pivots")), "bucket").select("text_hash", "size", F.explode("pivots").alias("p"))
+    near = met.filter((F.col("text_hash") != F.col("p.text_hash")) & _fits("size", "p.size", similar))
+    return near.select(F.least("text_hash", "p.text_hash").alias("a"), F.greatest("text_hash", "p.text_hash").alias("b")).distinct()
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
@@ -95,12 +104,22 @@ def _across(m: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return met.select(F.least("x_text_hash", "text_hash").alias("a"), F.greatest("x_text_hash", "text_hash").alias("b")).distinct()
 
 
+def _lanes(each: DataFrame) -> DataFrame:
+    """text_hash, lanes: for each cell the least hash of it, or of the nearest cell in the XOR order that has one."""
+    least = [F.expr(f"min(s) FILTER (WHERE cell = {c})") for c in range(CELLS)]
+    cells = each.withColumn("cell", F.shiftrightunsigned("s", 58).cast("int")).groupBy("text_hash").agg(F.array(*least).alias("cells"))
+    steps = F.array(*[F.lit(1 << i) for i in range(6)])
+    fill = F.aggregate(steps, F.col("cells"), lambda has, step: F.transform(has, lambda x, c: F.coalesce(x, F.get(has, c.bitwiseXOR(step)))))
+    return cells.select("text_hash", fill.alias("lanes"))
+
+
 def near_copies(docs: DataFrame, wanted: DataFrame, similar: int) -> DataFrame | None:
     """(text_hash, copy) of the wanted texts (text_hash) that have a near copy among them; None if there is none."""
+    start = written_so_far()
     hit = written(bitmap.bits(wanted.select(F.col("text_hash").alias("h"))), "bits")
     each = _worded(docs, hit).select("text_hash", "w", F.explode_outer(_places()).alias("i")).select("text_hash", _shingle(F.col("i")).alias("s"))
-    lanes = each.groupBy("text_hash").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(a))).alias(f"l{k}") for k, a in enumerate(_LANE)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"l{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)])
+    lanes = _lanes(each)
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("lanes", F.lit(c)) for c in _LANE[b * ROWS : (b + 1) * ROWS]]) for b in range(BANDS)])
     keys = written(lanes.join(wanted, "text_hash", "left_semi").select("text_hash", bands.alias("bands")), "bands")
     keys = keys.select("text_hash", F.explode("bands").alias("bucket"))
     shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -109,16 +128,17 @@ def near_copies(docs: DataFrame, wanted: DataFrame, similar: int) -> DataFrame |
         return None
     met = written(narrow.groupBy("text_hash").agg(F.sum("n").alias("met")), "met")
     hit = written(bitmap.bits(met.select(F.col("text_hash").alias("h"))), "bits")
-    sets = _worded(docs, hit).select("text_hash", F.array_distinct(F.transform(_places(), _shingle)).alias("set"))
+    sets = _worded(docs, hit).select("text_hash", F.array_distinct(F.transform(_places(), _slice)).alias("set"))
     sets = written(sets.join(met, "text_hash").dropDuplicates(["text_hash"]), "sets")
     sizes = sets.select("text_hash", "met", F.size("set").alias("size"))
     members = written(narrow.select("bucket", "text_hash").join(sizes, "text_hash"), "members")
+    clear_written(docs.sparkSession, start, keep=2)  # sets and members are read below
     found, labels = None, None
-    for turn in range(PIVOTS + 1):
+    for work in ("pivots", "across"):
         m = members.withColumn("label", F.col("text_hash"))
         if labels is not None:
             m = members.join(labels, "text_hash", "left").withColumn("label", F.coalesce("copy", "text_hash"))
-        new = written(_alike(_against_pivot(m, turn, similar) if turn < PIVOTS else _across(m, sets, similar), sets, similar), "links")
+        new = written(_alike(_against_pivots(m, similar) if work == "pivots" else _across(m, sets, similar), sets, similar), "links")
         if new.isEmpty():
             continue
         found = new if found is None else found.unionByName(new)

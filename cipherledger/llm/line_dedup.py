@@ -8,8 +8,8 @@ fits a segment of L (the multi-match window); the hash of (L, segment number,
 substring) is a bucket key, and a line's own segments are among them. Only keys that
 two different lines share are kept.
 
-Inside a bucket all lines are held against one pivot, the line that meets most others,
-then another; lines that share a component need no more comparison. What is left across
+Inside a bucket all lines are held against PIVOTS pivots, the line that meets most others
+among them; lines that share a component need no more comparison. What is left across
 components is compared under a test that never rejects a pair within reach: lengths
 differ by at most EDITS, and the parities of 64 classes of characters and of neighbour
 pairs in at most 2 * EDITS and 4 * EDITS bits. Pairs are verified by banded bit-parallel edit distance: one word of 2 * EDITS + 1 bits per
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from cipherledger.llm import bitmap, copies
 from cipherledger.llm.components import connected
-from cipherledger.session import written
+from cipherledger.session import clear_written, written, written_so_far
 
 EDITS = 2
 MIN_LINE = 20
@@ -118,12 +118,12 @@ def _may_match(x: str, y: str) -> F.Column:
     return near
 
 
-def _pivots(m: DataFrame, turn: int) -> DataFrame:
-    rank = F.struct(-F.col("met"), F.col("h")) if turn == 0 else F.xxhash64("h", F.lit(turn))
-    pivot = F.min_by(F.struct("h", "label", "size", "ones", "twos"), rank).alias("p")
-    buckets = m.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), pivot).filter("lo != hi").select("bucket", "p")
-    near = (F.col("label") != F.col("p.label")) & _may_match("", "p.")
-    return m.join(buckets, "bucket").filter(near).select(F.col("h").alias("a"), F.col("p.h").alias("b")).distinct()
+def _against_pivots(m: DataFrame) -> DataFrame:
+    ranks = [F.struct(-F.col("met"), F.col("h")), *[F.xxhash64("h", F.lit(turn)) for turn in range(1, PIVOTS)]]
+    pivots = F.array(*[F.min_by(F.struct("h", "size", "ones", "twos"), rank) for rank in ranks])
+    met = m.join(m.groupBy("bucket").agg(pivots.alias("pivots")), "bucket").select("h", "size", "ones", "twos", F.explode("pivots").alias("p"))
+    near = met.filter((F.col("h") != F.col("p.h")) & _may_match("", "p."))
+    return near.select(F.least("h", "p.h").alias("a"), F.greatest("h", "p.h").alias("b")).distinct()
 
 
 def _across(m: DataFrame, texts: DataFrame) -> DataFrame:
@@ -147,6 +147,7 @@ def _across(m: DataFrame, texts: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame | None:
     """(h, class) of lines that have a near but different line; None if there is none."""
     long = _lines(docs).filter(F.length("line") >= MIN_LINE).select("h", "line")
+    start = written_so_far()
     # made once and read twice: to find the keys that lines share, and the lines that have them
     keyed = written(long.select("h", F.encode("line", "UTF-32").alias("u")).select("h", _keys().alias("buckets")), "keys")
     keys = keyed.select("h", F.explode("buckets").alias("bucket"))
@@ -167,12 +168,13 @@ def classes(docs: DataFrame) -> DataFrame | None:
     pairs = F.transform(F.slice("chars", 2, F.size("chars")), lambda c, i: F.concat(F.get("chars", i), c))
     texts = written(texts.withColumn("ones", _parity(F.col("chars"))).withColumn("twos", _parity(pairs)).drop("chars"), "lines")
     members = written(members.join(texts.select("h", "size", "ones", "twos", "met"), "h"), "members")
+    clear_written(docs.sparkSession, start, keep=2)  # lines and members are read below
     found, labels = None, None
-    for turn in range(PIVOTS + 1):
+    for work in ("pivots", "across"):
         m = members.withColumn("label", F.col("h"))
         if labels is not None:
             m = members.join(labels, "h", "left").withColumn("label", F.coalesce("class", "h"))
-        new = written(_verified(_pivots(m, turn), texts) if turn < PIVOTS else _across(m, texts), "links")
+        new = written(_verified(_against_pivots(m), texts) if work == "pivots" else _across(m, texts), "links")
         if new.isEmpty():
             continue
         found = new if found is None else found.unionByName(new)
@@ -182,10 +184,14 @@ def classes(docs: DataFrame) -> DataFrame | None:
 
 def _boilerplate(docs: DataFrame, lines: DataFrame, spread: float) -> DataFrame:
     """class, keeper (its first document) of the classes that stand in at least ``spread`` different texts."""
-    held = lines.groupBy("class", "text_hash").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"))
-    wide = held.groupBy("class").agg(F.count("*").alias("texts"), F.min("doc").alias("keeper")).filter(F.col("texts") >= spread)
+    often = lines.select("class", "text_hash").distinct().groupBy("class").agg(F.count("*").alias("texts")).filter(F.col("texts") >= spread)
+    often = written(often.select("class"), "often")
+    # minima of plain columns: a minimum of structs would sort all lines; a null doc_id comes first
+    held = lines.join(often, "class", "left_semi").groupBy("class", "text_hash")
+    held = written(held.agg(F.min("doc_id").alias("doc_id"), F.max(F.col("doc_id").isNull()).alias("unnamed")), "held")
+    first = F.struct(F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id"), "text_hash")
+    wide = held.groupBy("class").agg(F.min(first).alias("keeper"))
     wide = written(wide.select("class", "keeper"), "wide")
-    held = written(held.select("class", "text_hash").join(wide, "class", "left_semi"), "held")
     named = copies.near_copies(docs, held.select("text_hash").distinct(), COPY)
     if named is None:
         return wide
@@ -195,7 +201,7 @@ def _boilerplate(docs: DataFrame, lines: DataFrame, spread: float) -> DataFrame:
 
 
 def decisions(docs: DataFrame, spread: float = SPREAD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, n_lines, n_near of every row; doc_id, text_hash, pos, repeat of removed lines)."""
+    """(doc_id, text_hash, n_near of documents with near lines; doc_id, text_hash, pos, repeat of removed lines)."""
     named = classes(docs)
     solid = F.btrim("line", F.lit(" \t\x0b\f\r")) != ""
     flat = _lines(docs).select("doc_id", "text_hash", "pos", "h", F.length("line").alias("size"), solid.alias("solid"))
@@ -210,16 +216,16 @@ def decisions(docs: DataFrame, spread: float = SPREAD) -> tuple[DataFrame, DataF
     judged = placed.join(wide, "class", "left")
     plate = F.col("keeper").isNotNull() & (F.col("size") >= MIN_LINE) & ~here.eqNullSafe(F.col("keeper"))
     gone = judged.filter(F.col("repeat") | plate).select("doc_id", "text_hash", "pos", "repeat").distinct()
-    count = flat.groupBy("doc_id", "text_hash", "pos").agg(F.max("near").alias("near"))
-    count = count.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_lines"), F.sum(F.col("near").cast("long")).alias("n_near"))
-    return count, written(gone, "removed")
+    near = flat.filter("near").groupBy("doc_id", "text_hash").agg(F.countDistinct("pos").alias("n_near"))
+    return near, written(gone, "removed")
 
 
 def removed(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
     """One row a document: doc_id, n_lines, n_near, n_repeated, n_boilerplate, removed (positions, comma-joined)."""
-    count, gone = decisions(docs, spread)
+    near, gone = decisions(docs, spread)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"))
+    n_lines = F.size(F.split(text, "\n", -1)).cast("long")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), n_lines.alias("n_lines"))
     lost = gone.groupBy("doc_id", "text_hash").agg(
         F.sum(F.col("repeat").cast("long")).alias("n_repeated"), F.sum((~F.col("repeat")).cast("long")).alias("n_boilerplate"),
         F.array_join(F.array_sort(F.collect_list("pos")), ",").alias("removed"),
@@ -231,8 +237,8 @@ def removed(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
         return left.join(right, on, how).drop("_doc", "_text")
 
     none = F.lit(0).cast("long")
-    return meet(meet(rows, count, "inner"), lost, "left").select(
-        "doc_id", "n_lines", "n_near", F.coalesce("n_repeated", none).alias("n_repeated"), F.coalesce("n_boilerplate", none).alias("n_boilerplate"),
+    return meet(meet(rows, near, "left"), lost, "left").select(
+        "doc_id", "n_lines", F.coalesce("n_near", none).alias("n_near"), F.coalesce("n_repeated", none).alias("n_repeated"), F.coalesce("n_boilerplate", none).alias("n_boilerplate"),
         F.coalesce("removed", F.lit("")).alias("removed"),
     )
 

@@ -8,6 +8,7 @@ import pytest
 from brute import SMALL
 
 from cipherledger.llm import components, copies, line_dedup, near_dedup
+from cipherledger.llm import rows as llm_rows
 
 
 def test_components(spark):
@@ -179,6 +180,30 @@ def test_boilerplate_counts_different_texts(frame, vocabulary, no_rows):
         assert r.removed == ",".join(map(str, sorted(gone)))
 
 
+def test_near_copies_of_all_sizes(frame, vocabulary):
+    """Links are those of brute force for sets that fill all cells and for sets that fill a few, and no table of keys is left."""
+    from cipherledger import session
+
+    rng = random.Random(34)
+    texts = []
+    for n in (5, 7, 12, 40, 150, 600):
+        for _ in range(12):
+            words = rng.choices(vocabulary, k=n)
+            texts.append(" ".join(words))
+            if n >= 12:
+                at = rng.randrange(n - 1)
+                texts += [" ".join(words + ["end"]), " ".join(words[:at] + ["other"] + words[at + 1 :])]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    docs, start = frame(rows).withColumn("text_hash", llm_rows.text_hash()), session.written_so_far()
+    named = {r.text_hash: r.copy for r in copies.near_copies(docs, docs.select("text_hash").distinct(), 80).collect()}
+    mine = {r.doc_id: named.get(r.text_hash, r.text_hash) for r in docs.select("doc_id", "text_hash").collect()}
+    groups = {}
+    for i, (_, c) in brute.near_groups({i: t for i, t, *_ in rows}, 80).items():
+        groups.setdefault(c, set()).add(i)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(i for i in mine if mine[i] == c) for c in set(mine.values())}
+    assert not any(p.rsplit("/", 1)[-1].startswith(("bits-", "bands-", "buckets-", "met-")) for p in session._WRITTEN[start:])
+
+
 def test_banded_distance(spark):
     rng = random.Random(13)
     pairs = []
