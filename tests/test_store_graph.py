@@ -1,3 +1,5 @@
+import hashlib
+
 from cipherledger.operators import graph
 from cipherledger.sources import store
 
@@ -60,3 +62,34 @@ def test_rows_of_assets_need_no_digest(spark):
     plan = graph.of_assets(rows).select("id")
     assert {r.id for r in plan.collect()} == {1, 2} and "sha2" not in plan._jdf.queryExecution().optimizedPlan().toString()
     assert graph.of_assets(rows.drop("evidence_class")).count() == 2
+
+
+def _topology(spark):
+    services = spark.createDataFrame(
+        [("a", ["svc/1/src", "/svc/1/"], [("d1", "x")]), ("a", ["svc/2/"], [("d2", "x"), ("d2", "y")]), ("b", ["/svc/1/", "c/1/s", "/"], []), ("c", ["1/1"], [("d3", "x")])],
+        "service string, repositories array<string>, data_assets array<struct<name: string, sensitivity: string>>",
+    )
+    places = ["svc/1/src/svc/1/src:1", "x/svc/1/svc/2/", "svc/2/1/1/1", "none", "\U0001d51bsvc/2/"]
+    rows = spark.range(20).selectExpr("'s' || id % 2 AS scan_id", "'k' AS canonical", "string(id) AS evidence_id", "id % 5 AS at", "'algorithm' AS evidence_class")
+    rows = rows.withColumn("source_location", graph.F.element_at(graph.F.array(*map(graph.F.lit, places)), (graph.F.col("at") + 1).cast("int"))).drop("at")
+    return rows, services
+
+
+def test_services_of_one_name_do_not_multiply(spark):
+    """One USES edge for each evidence row and service row, one PROTECTS edge for each data asset of a service row that was met."""
+    rows, services = _topology(spark)
+    met = [(e, s) for e in rows.collect() for s in services.collect() if any(r in e.source_location or e.source_location.startswith(r.lstrip("/")) for r in s.repositories)]
+    sha = lambda *p: hashlib.sha256("#".join(p).encode()).hexdigest()
+    want = [(sha(e.scan_id, s.service, e.evidence_id), "USES") for e, s in met]
+    want += [(sha(*p), "PROTECTS") for p in {(e.scan_id, s.service, a.name) for e, s in met for a in s.data_assets}]
+    assert sorted(tuple(r) for r in graph.topology_edges(rows, services).select("edge_id", "edge_type").collect()) == sorted(want)
+    placed = graph.service_matches(rows.select("scan_id", "source_location"), services.selectExpr("*", "'low' AS business_criticality", "true AS internet_exposure"))
+    nodes = [(r.scan_id, r.node_type, r.label) for r in graph.topology_nodes(placed).collect()]
+    assert sorted(nodes) == sorted({(e.scan_id, "service", s.service) for e, s in met} | {(e.scan_id, "data_asset", a.name) for e, s in met for a in s.data_assets})
+
+
+def test_topology_moves_no_evidence(spark):
+    """Only the names of scans, services and data assets are shuffled, not locations or evidence."""
+    plan = graph.topology_edges(*_topology(spark))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert len(moved) == 1 and "source_location" not in moved[0], moved
