@@ -1,4 +1,7 @@
+import glob
 import hashlib
+import tempfile
+import time
 
 from cipherledger.operators import graph
 from cipherledger.sources import store
@@ -93,3 +96,55 @@ def test_topology_moves_no_evidence(spark):
     plan = graph.topology_edges(*_topology(spark))._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
     assert len(moved) == 1 and "source_location" not in moved[0], moved
+
+
+def test_cuts_of_all_shapes_are_those_of_a_search(spark):
+    """Short, long, overlapping and many repositories, and places with repeats, other scripts and line ends."""
+    places = ["", "a", "ab", "aab\naab", "abababab", "svc/1/src/svc/1/src", "xsvc/12/src", "\U0001d51b/ab.c*d", "/svc/1/", "q\\E?.{1}"]
+    shapes = [["ab", "b"], ["svc/1/src", "svc/12/src", "/svc/1/"], ["/"], ["abab", "/ab.c", ".c*d"], ["\\E?.", "aab\n", "/\U0001d51b"], ["abababab", "baba", "abab", "svc/1/src/s"]]
+    shapes.append([chr(97 + i % 26) + chr(97 + i // 26) + "xx" for i in range(70)] + ["abab", "svc/1/"])  # more heads than a pattern looks for
+    shapes.append([f"svc/{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(70)] + ["svc/1/"])  # more tails
+    rows = spark.createDataFrame([(p,) for p in places], "source_location string")
+    for repos in shapes:
+        services = spark.createDataFrame([("all", repos), *((r, [r]) for r in repos)], "service string, repositories array<string>")
+        got = sorted(tuple(r) for r in graph.service_matches(rows, services).select("source_location", "service").collect())
+        want = sorted((p, s.service) for p in places for s in services.collect() if any(r in p or p.startswith(r.lstrip("/")) for r in s.repositories))
+        assert got == want, repos
+
+
+def test_ids_of_any_shape_are_told_apart(spark, tmp_path):
+    """Digests, what looks like them, and text: an end is there only if a node has the very same id."""
+    hexed = "ab" * 32
+    ids = [hexed, hexed.upper(), hexed + "\n", "61", "a", "", "#" * 33, bytes.fromhex("61" * 32).decode(), "61" * 32, "\U0001d51b"]
+    for have in range(0, len(ids), 3):
+        nodes = spark.createDataFrame([("s", i, i) for i in ids[have : have + 3]] + [("s", None, "none")], NODES)
+        edges = spark.createDataFrame([("s", str(k), i, ids[have]) for k, i in enumerate([*ids, None])], EDGES)
+        assert {r.end for r in graph.missing_ends(edges, nodes).collect()} == set(ids) - set(ids[have : have + 3])
+        assert {r.src for r in store.store_graph(nodes, edges, str(tmp_path / f"g{have}"))[1].collect()} == set(ids[have : have + 3])
+
+
+def test_stored_graph_is_labelled_without_a_shuffle(spark):
+    """Edges are stored with the labels of their ends, so that digests are not joined again to find them."""
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["s12_stored_graph"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan, plan
+    assert rows.filter("src_label IS NOT NULL AND dst_label IS NOT NULL").count() == rows.count() > 0
+
+
+def test_shuffles_of_a_store_do_not_stay(spark, tmp_path):
+    from cipherledger.session import shuffles_dropped
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    files = lambda: {f for f in glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*")}
+    there = files()
+    with shuffles_dropped(spark):
+        spark.range(1000).repartition(4, "id").write.parquet(str(tmp_path / "t"))
+        for _ in range(50):
+            if not files() - there:
+                break
+            time.sleep(0.1)
+        assert not files() - there
+    assert spark.conf.get(name) == before
