@@ -148,3 +148,19 @@ def test_shuffles_of_a_store_do_not_stay(spark, tmp_path):
             time.sleep(0.1)
         assert not files() - there
     assert spark.conf.get(name) == before
+
+
+def test_ids_made_at_reading_are_those_stored(spark, tmp_path):
+    """Columns that follow from others are not written, and nothing changes for a reader."""
+    from cipherledger.plans import fixtures as fx
+
+    evidence, assets = (f(spark, "/root/testdata/sf0.001") for f in (fx.evidence, fx.assets))
+    nodes, edges = graph.build_graph(evidence, assets)[0], graph.evidence_edges(evidence, labels=True)
+    got = store.store_graph(nodes, edges, str(tmp_path / "made"), graph.node_keys(), graph.edge_keys())
+    want = store.store_graph(nodes, edges, str(tmp_path / "stored"))
+    for a, b, first in zip(got, want, (nodes, edges)):
+        assert a.columns == b.columns == first.columns
+        rows = lambda df: sorted(map(str, df.collect()))
+        assert rows(a) == rows(b) == rows(first)
+    written = spark.read.parquet(*glob.glob(str(tmp_path / "made-*/edges"))).columns
+    assert not {"edge_id", "src", "dst"} & set(written) and {"src_label", "dst_label", "properties"} <= set(written)
